@@ -388,35 +388,39 @@ class SemanticModel:
 # ---------------------------------------------------------------------------
 # Ready-made questions
 # ---------------------------------------------------------------------------
+def _ask(model, frames, measure: str, name: str, by: Sequence[str], **options) -> DataFrame:
+    """One measure, highest first, under the question's own column name."""
+    _, logical = model.resolve_measure(measure)
+    out = model.query(frames, [measure], by, order_by=logical, inner=True, **options)
+    return out.withColumnRenamed(logical, name)
+
+
 def alarms_by_region(model, frames):
-    return model.query(frames, ["alarm_count"], ["region"], order_by="alarm_count", inner=True)
+    return _ask(model, frames, "alarm_count", "total_alarms", ["region"])
 
 
 def avg_sinr_by_site(model, frames):
-    return model.query(frames, ["sinr"], ["site_name", "region"], order_by="sinr_db", inner=True)
+    return _ask(model, frames, "sinr", "avg_sinr_db", ["site_name", "region"])
 
 
 def top_cells_call_drop(model, frames, k: int = 3):
-    return model.query(frames, ["drop rate"], ["cell.cell_id"], order_by="call_drop_rate_percent",
-                       limit=k, inner=True)
+    return _ask(model, frames, "drop rate", "avg_drop_rate", ["cell.cell_id"], limit=k)
 
 
 def top_cells_call_drop_ar(model, frames, k: int = 3):
-    return model.query(frames, ["معدل انقطاع المكالمات"], ["الخلية"], order_by="call_drop_rate_percent",
-                       limit=k, inner=True)
+    return _ask(model, frames, "معدل انقطاع المكالمات", "avg_drop_rate", ["الخلية"], limit=k)
 
 
 def failure_prob_by_region(model, frames):
-    return model.query(frames, ["failure_probability"], ["region"], order_by="failure_probability", inner=True)
+    return _ask(model, frames, "failure_probability", "avg_failure_prob", ["region"])
 
 
 def throughput_by_technology(model, frames):
-    return model.query(frames, ["downlink throughput"], ["technology"],
-                       order_by="throughput_downlink_mbps", inner=True)
+    return _ask(model, frames, "downlink throughput", "avg_dl_mbps", ["technology"])
 
 
 def call_drop_by_technology(model, frames):
-    return model.query(frames, ["drop rate"], ["technology"], order_by="call_drop_rate_percent", inner=True)
+    return _ask(model, frames, "drop rate", "avg_drop_rate", ["technology"])
 
 
 def critical_alarms_on(model, frames, day_key: int):
