@@ -74,13 +74,21 @@ def group_means(df: DataFrame, keys: Sequence[str], measures: Mapping[str, str])
 
 
 def linear_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Least-squares line of y over x per group, with fit and correlation."""
-    yx = (F.col(y), F.col(x))
-    return df.groupBy(*keys).agg(
-        F.regr_count(*yx).alias("points"), F.regr_slope(*yx).alias("slope"),
-        F.regr_intercept(*yx).alias("intercept"), F.regr_r2(*yx).alias("r2"),
-        F.corr(y, x).alias("correlation"),
-    )
+    """Least-squares line of y over x per group, with fit and correlation.
+
+    Null pairs are left out; where x (or y) does not vary, the values that
+    would divide by zero are null.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    xs, ys = (F.when(both, F.col(c).cast("double")) for c in (x, y))
+    sums = df.groupBy(*keys).agg(
+        F.count_if(both).alias("points"), F.avg(xs).alias("_mx"), F.avg(ys).alias("_my"),
+        F.covar_pop(ys, xs).alias("_xy"), F.var_pop(xs).alias("_xx"), F.var_pop(ys).alias("_yy"))
+    slope, spread = F.try_divide("_xy", "_xx"), F.col("_xx") * F.col("_yy")
+    return sums.select(
+        *keys, "points", slope.alias("slope"), (F.col("_my") - slope * F.col("_mx")).alias("intercept"),
+        F.try_divide(F.col("_xy") * F.col("_xy"), spread).alias("r2"),
+        F.try_divide(F.col("_xy"), F.sqrt(spread)).alias("correlation"))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], column: str, probabilities: Mapping[str, float],

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from mastline_queries import warehouse  # noqa: F401
+from mastline_queries import serving, tables, warehouse  # noqa: F401

@@ -208,7 +208,8 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     )
     base = line.join(site, line["l_suppkey"] == site["s_suppkey"]).select(
         F.expr(HASH).alias("h"), F.col("l_suppkey").alias("site"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("message_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.date_format("l_shipdate", "yyyyMMdd"), F.floor("l_extendedprice")).alias("message_id"),
         F.expr(
             "TIMESTAMP_NTZ '2026-01-01 00:00:00' "
             "+ make_dt_interval(0, 0, datediff(l_shipdate, DATE '1995-01-01'), l_linenumber * 7)").alias("at"),
@@ -262,12 +263,12 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return summed.select(*[F.col(f.name) for f in wanted.fields], F.lit("lineitem").alias("source_file"))
 
 
-def broker_rows(spark: SparkSession, sf: str) -> DataFrame:
+def broker_rows(raw: DataFrame) -> DataFrame:
     """Snapshots as keyed binary JSON messages."""
-    raw = snapshots(spark, sf).drop("source_file")
-    return raw.select(
+    body = raw.drop("source_file")
+    return body.select(
         F.lit("ran_telemetry").alias("topic"), F.col("ran_metadata.site_id").cast("binary").alias("key"),
-        F.to_json(F.struct(*raw.columns)).cast("binary").alias("value"))
+        F.to_json(F.struct(*body.columns)).cast("binary").alias("value"))
 
 
 def weather(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,7 +281,7 @@ def weather(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("event_timestamp"),
         F.expr(WEATHER["source_system"]).alias("source_system"),
         F.expr(f"concat(CAST({LATITUDE} AS string), ',', CAST({LONGITUDE} AS string))").alias("location_query"),
-        F.expr("CASE WHEN k % 5 = 0 THEN '' ELSE concat('SITE_', site) END").alias("ran_site_id"),
+        F.expr("CASE WHEN k % 5 = 0 OR site % 10 = 3 THEN '' ELSE concat('SITE_', site) END").alias("ran_site_id"),
         F.expr("concat('Tower ', site)").alias("ran_site_name"),
         F.expr("concat('Zone ', site % 5)").alias("ran_region"),
         *[F.expr(WEATHER[c]).alias(c) for c in (

@@ -11,7 +11,8 @@ MSG = f"""msg AS (
          site_id, site_name, region, CASE WHEN {I.BAD_TIME} THEN 'not a time'
          ELSE strftime(seen_at, '%Y-%m-%dT%H:%M:%SZ') END AS time_text
   FROM (SELECT {I.HASH} AS h, l_suppkey AS site,
-               concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS message_id,
+               concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                         strftime(l_shipdate, '%Y%m%d'), CAST(floor(l_extendedprice) AS BIGINT)) AS message_id,
                TIMESTAMP '2026-01-01 00:00:00'
                  + to_minutes(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)))
                  + to_seconds(l_linenumber * 7) AS seen_at,
@@ -84,7 +85,7 @@ WEATHER = f"""wx AS (
   SELECT k, site, ingested_at, strftime(ingested_at, '%Y-%m-%dT%H:%M:%SZ') AS event_timestamp,
          {I.WEATHER['source_system']} AS source_system,
          concat(CAST({I.LATITUDE} AS VARCHAR), ',', CAST({LON} AS VARCHAR)) AS location_query,
-         CASE WHEN k % 5 = 0 THEN '' ELSE concat('SITE_', site) END AS ran_site_id,
+         CASE WHEN k % 5 = 0 OR site % 10 = 3 THEN '' ELSE concat('SITE_', site) END AS ran_site_id,
          concat('Tower ', site) AS ran_site_name, concat('Zone ', site % 5) AS ran_region,
          {', '.join(I.WEATHER[c].format(text='VARCHAR') + ' AS ' + c for c in I.WEATHER if c != 'source_system')},
          strftime(ingested_at, '%Y-%m-%d %H:%M') AS weather_observed_at,
