@@ -3,9 +3,9 @@
 The wide equipment fact is declared as a list of parts. Every part is reduced
 to one row per (site, bucket) before anything is joined:
 
-* raw rows -> partial + final hash aggregate per (site, bucket, component);
-* slot numbering and pivot over those few component rows;
-* left joins on (site, bucket), whose inputs are already partitioned that way.
+* raw rows -> numeric hash aggregate per component and state (see ``rollup``);
+* one shuffle of the result by (site, bucket), on which everything else runs:
+  modes, slot numbering, pivot, and the left joins of all parts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from mastline.functions import scalars as S
 from mastline.operators import slots as slot_ops
 from mastline.operators.blocks import join_keys
 from mastline.operators.joins import assemble_wide
-from mastline.operators.timebuckets import mode_agg, time_bucket
+from mastline.operators import rollup as R
+from mastline.operators.timebuckets import time_bucket
 
 SITE_BUCKET = ["site_id", "bucket_start"]
 
@@ -145,11 +146,18 @@ class Part:
             return patterns
         return [p.format(slot=i) for i in range(1, self.slots + 1) for p in patterns]
 
+    def labels(self) -> list[str]:
+        return [*self.first.values(), *self.modes.values()]
+
+    def numbers(self) -> list[str]:
+        return [source for source, _ in self.means.values()]
+
     def aggregates(self) -> list[Column]:
+        """Final aggregates over reduced rows."""
         out = [F.max(source).alias(name) for name, source in self.first.items()]
-        out += [mode_agg(source).alias(name) for name, source in self.modes.items()]
+        out += [R.mode_of(source).alias(name) for name, source in self.modes.items()]
         for name, (source, digits) in self.means.items():
-            mean = F.round(F.avg(source), digits)
+            mean = F.round(R.mean_of(source), digits)
             out.append((mean.cast("int") if name in self.whole else mean).alias(name))
         return out
 
@@ -235,10 +243,13 @@ def build_part(silver: DataFrame, part: Part) -> DataFrame:
     """One row per (site, bucket) with the part's columns."""
     rows = silver if part.where is None else silver.where(F.col(part.where[0]) == part.where[1])
     rows = time_bucket(rows, day=None)
+    keys = [*SITE_BUCKET, part.component] if part.slots else SITE_BUCKET
+    reduced = R.reduce_rows(rows, keys, part.labels(), part.numbers(), spread_by=SITE_BUCKET)
     if not part.slots:
-        return rows.groupBy(*SITE_BUCKET).agg(*part.aggregates())
-    per_component = rows.groupBy(*SITE_BUCKET, F.col(part.component).alias("_component")).agg(
-        *part.aggregates())
+        return reduced.groupBy(*SITE_BUCKET).agg(*part.aggregates())
+    # The component's id is also an output column, so it is grouped under its own name.
+    per_component = reduced.withColumn("_component", F.col(part.component)).groupBy(
+        *SITE_BUCKET, "_component").agg(*part.aggregates())
     columns = {p: p for p in [*part.first, *part.modes, *part.means]}
     return slot_ops.slot_pivot(per_component, SITE_BUCKET, "_component", part.slots, columns)
 
@@ -283,20 +294,21 @@ BUCKET_SECONDS = 900
 def fact_cells(cells: DataFrame) -> DataFrame:
     """Radio KPIs per cell and 15-minute bucket.
 
-    Status modes belong to (site, cell, bucket), while KPI rows also split by
-    sector and technology; the modes are therefore aggregated on their own (over
-    five columns) and joined to the already reduced KPI rows.
+    Three aggregates over pruned columns, each as cheap as its kind allows, are
+    joined once they are small: the wide numeric one is a pure hash aggregate;
+    status modes belong to (site, cell, bucket), without sector and technology;
+    and the earliest message id is text, which needs a (narrow) sort.
     """
     bucketed = time_bucket(cells, day=None)
     owner = ["site_id", "cell_id", "bucket_start"]
-    modes = bucketed.groupBy(*owner).agg(
-        mode_agg("cell_status").alias("cell_status"), mode_agg("cell_op_state").alias("op_state"))
+    group = [*owner, "sector_id", "technology"]
+    modes = R.reduce_rows(bucketed, owner, ["cell_status", "cell_op_state"]).groupBy(*owner).agg(
+        R.mode_of("cell_status").alias("cell_status"), R.mode_of("cell_op_state").alias("op_state"))
 
     def mean(c: str) -> Column:
         return F.round(F.avg(c), 3 if c == "spectral_efficiency_bps_per_hz" else 2).alias(c)
 
-    kpis = bucketed.groupBy(*owner, "sector_id", "technology").agg(
-        F.min_by("message_id", F.struct("snapshot_time", "message_id")).alias("RAN_msg_Sk"),
+    kpis = bucketed.groupBy(*group).agg(
         F.avg("connected_users").cast("int").alias("connected_users"),
         F.avg("active_users").cast("int").alias("active_users"),
         F.max("connected_users").alias("peak_users"),
@@ -304,7 +316,9 @@ def fact_cells(cells: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in CELL_SUMS],
         F.max(F.when(F.col("prb_utilization_percent") > CONGESTED_PRB, 1).otherwise(0)).alias("congestion_flag"),
     )
-    agg = join_keys(kpis, modes, owner)
+    messages = bucketed.groupBy(*group).agg(
+        F.min_by("message_id", F.struct("snapshot_time", "message_id")).alias("RAN_msg_Sk"))
+    agg = join_keys(join_keys(kpis, modes, owner), messages, group)
     ts = F.col("bucket_start")
     both_ways = F.col("throughput_downlink_mbps") + F.col("throughput_uplink_mbps")
     attempts, failures = F.col("handover_attempts"), F.col("handover_failures")
