@@ -29,7 +29,9 @@ def reduce_rows(rows: DataFrame, keys: Sequence[str], labels: Sequence[str], num
     aggs += [F.max(c).alias(f"_max_{c}") for c in peaks]
     aggs += [F.min(c).alias(f"_min_{c}") for c in firsts]
     unique = list(dict.fromkeys([*keys, *labels]))
-    return rows.groupBy(*unique).agg(*aggs).repartition(*[F.col(c) for c in (spread_by or keys)])
+    reduced = rows.groupBy(*unique).agg(*aggs).repartition(*[F.col(c) for c in (spread_by or keys)])
+    # Modes read these copies, as their results may bear the labels' own names.
+    return reduced.withColumns({f"_of_{c}": F.col(c) for c in labels})
 
 
 def mean_of(c: str) -> Column:
@@ -44,20 +46,22 @@ def peak_of(c: str) -> Column:
     return F.max(f"_max_{c}")
 
 
-def mode_of(label: str) -> Column:
+def mode_of(label: str, labels: Sequence[str] | None = None) -> Column:
     """Most frequent non-null label, smallest on ties.
 
     Works on reduced rows, so the list holds one entry per combination of
-    labels in the group, not one per reading.
+    labels in the group, not one per reading. Modes of one aggregation should
+    name the same ``labels``: they then share a single list.
     """
-    seen = F.collect_list(F.when(F.col(label).isNotNull(), F.struct(F.col(label).alias("v"), F.col("_n").alias("n"))))
-    votes = F.transform(
-        F.array_distinct(F.transform(seen, lambda s: s["v"])),
-        lambda v: F.struct(
-            (-F.aggregate(seen, F.lit(0).cast("long"),
-                          lambda acc, s: acc + F.when(s["v"] == v, s["n"]).otherwise(0))).alias("n"),
-            v.alias("v")))
-    return F.array_min(votes)["v"]
+    seen = F.collect_list(F.struct(*[F.col(f"_of_{c}") for c in (labels or [label])], F.col("_n").alias("n")))
+    of = f"_of_{label}"
+    values = F.array_distinct(F.filter(F.transform(seen, lambda s: s[of]), lambda v: v.isNotNull()))
+    votes = F.transform(values, lambda v: F.struct(
+        (-F.aggregate(seen, F.lit(0).cast("long"),
+                      lambda acc, s: acc + F.when(s[of] == v, s["n"]).otherwise(0))).alias("n"),
+        v.alias("v")))
+    # Most groups hold one value only, which needs no counting.
+    return F.when(F.size(values) <= 1, F.get(values, 0)).otherwise(F.array_min(votes)["v"])
 
 
 def earliest_of(value: str, by: str) -> Column:

@@ -155,7 +155,7 @@ class Part:
     def aggregates(self) -> list[Column]:
         """Final aggregates over reduced rows."""
         out = [F.max(source).alias(name) for name, source in self.first.items()]
-        out += [R.mode_of(source).alias(name) for name, source in self.modes.items()]
+        out += [R.mode_of(source, list(self.modes.values())).alias(name) for name, source in self.modes.items()]
         for name, (source, digits) in self.means.items():
             mean = F.round(R.mean_of(source), digits)
             out.append((mean.cast("int") if name in self.whole else mean).alias(name))
@@ -302,8 +302,9 @@ def fact_cells(cells: DataFrame) -> DataFrame:
     bucketed = time_bucket(cells, day=None)
     owner = ["site_id", "cell_id", "bucket_start"]
     group = [*owner, "sector_id", "technology"]
-    modes = R.reduce_rows(bucketed, owner, ["cell_status", "cell_op_state"]).groupBy(*owner).agg(
-        R.mode_of("cell_status").alias("cell_status"), R.mode_of("cell_op_state").alias("op_state"))
+    states = ["cell_status", "cell_op_state"]
+    modes = R.reduce_rows(bucketed, owner, states).groupBy(*owner).agg(
+        R.mode_of("cell_status", states).alias("cell_status"), R.mode_of("cell_op_state", states).alias("op_state"))
 
     def mean(c: str) -> Column:
         return F.round(F.avg(c), 3 if c == "spectral_efficiency_bps_per_hz" else 2).alias(c)
