@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,10 +29,10 @@ def build_session(app_name: str = "mastline", master: str | None = None, **conf:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the cluster's shared folder.
 
-    Only when the session names none (tests on one machine) is a local
-    temporary folder used.
+    A session that names none gets a folder in its warehouse, which driver and
+    executors share too; a machine-local temporary folder is never used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="mastline-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
