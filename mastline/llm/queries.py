@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mastline.llm import lines, minhash, mixing, packing, quality
+from mastline.llm import fingerprints, licenses, lines, minhash, mixing, packing, pii, quality, substrings, suffixes
 from mastline.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def _query(fn: Callable) -> Callable:
     return fn
 
 
+@_query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 @_query
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
@@ -29,6 +34,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.later_lines(documents(spark, sf_dir))
 
 
+@_query
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+@_query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of ``documents`` under stand-in paths; doc_id ends each path."""
+    rows = licenses.scan(licenses.document_paths(documents(spark, sf_dir)))
+    return rows.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).try_cast("long"))
+
+
 @_query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
@@ -58,6 +75,11 @@ FROM rated
 """
 
 
+@_query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract columns, then the ledger's mask and its other measurements."""
@@ -67,6 +89,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        quality.passes().alias("kept"), "fail_bits", "n_lines", "n_upper", "n_letters", "n_marks")
 
 
+@_query
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
