@@ -27,15 +27,14 @@ SHARD_PIECES = 20_000
 SEARCH_BINS, SEARCH_ROUNDS = 400, 8
 END_ID = 1
 #: Entries of the per-worker memo of encoded words; it is emptied when full.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_000_000
 
-_memo: dict[bytes, bytes] = {}
-_tails: dict[str, bytes] = {}
+#: Latin-1 letters; their normal form is their lower case.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Marks that form a token of their own behind letters.
+_TAIL = b".,!?;:"
 #: The vocabulary is over bytes: those without a visible Latin-1 character stand at 256 and on, in order.
 _BYTE_SYMBOL = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-#: Latin-1 letters, then a run of common marks.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]{0,3})")
-_tokenizer: dict[str, object] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -44,58 +43,60 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _load(path: str):
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizer:
-        _tokenizer[path] = Tokenizer.from_file(path)
-    return _tokenizer[path]
-
-
-def _encode_missing(path: str, words: list[bytes]) -> None:
-    """Ids of words. Latin letters with a tail of marks are two known tokens of
-    the pre-tokeniser (their normal form is their lower case), so the model is
-    asked for the letters at once; all else goes through the whole tokeniser."""
-    tokenizer = _load(path)
-    model, other = tokenizer.model, []
-    for w in words:
-        m = _PLAIN.fullmatch(s := w.decode("utf-8", "replace"))
-        if m is None:
-            other.append((w, s))
-            continue
-        letters = m[1].lower()
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(_BYTE_SYMBOL)
-        ids = b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(letters))
-        if tail := m[2]:
-            if tail not in _tails:
-                _tails[tail] = np.array(tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
-            ids += _tails[tail]
-        _memo[w] = ids
-    for (w, _), got in zip(other, tokenizer.encode_batch_fast([s for _, s in other], add_special_tokens=False)):
-        _memo[w] = np.array(got.ids, "<u4").tobytes()
-
-
-def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each UTF-8 text.
+class Encoder(dict):
+    """Word -> its ids as little-endian 32-bit bytes, filled as words appear.
 
     The vocabulary's pre-tokeniser never joins what white space separates, so a
-    text's ids are its words' ids in order, and repeated words cost one lookup.
+    text's ids are its words' ids in order. Letters are one token of the
+    pre-tokeniser and go to the model at once, as does one mark behind them;
+    every other word goes through the whole tokeniser.
     """
-    out = []
-    for text in texts:
-        words = text.split()
-        missing = [w for w in set(words) if w not in _memo]
-        if missing:
-            if len(_memo) + len(missing) > MEMO_ENTRIES:
-                _memo.clear()
-                missing = list(set(words))
-            _encode_missing(path, missing)
-        out.append(b"".join(map(_memo.__getitem__, words)))
-    return out
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.raw = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.tails = {k: self._whole(bytes([k])) for k in _TAIL}
+
+    def _whole(self, word: bytes) -> bytes:
+        return b"".join([self.raw[k] for k in self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids])
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) > 200:
+            return self._whole(word)
+        if word.isalpha():
+            ids = b"".join([self.raw[t.id] for t in self.tokenize(word.lower().decode())])
+        elif word[-1] in self.tails and len(word) > 1 and _LETTERS.fullmatch(word[:-1].decode("utf-8", "replace")):
+            ids = self[word[:-1]] + self.tails[word[-1]]
+        elif _LETTERS.fullmatch(text := word.decode("utf-8", "replace")):
+            ids = b"".join([self.raw[t.id] for t in self.tokenize(text.lower().encode().decode("latin-1").translate(_BYTE_SYMBOL))])
+        else:
+            ids = self._whole(word)
+        self[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a UTF-8 text. ASCII is lowered first, as the vocabulary does,
+        unless a special token's name may be in the text."""
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -108,16 +109,14 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
                 row, piece, start, length, crc = [], [], [], [], []
-                # Words that are new to several texts are encoded together.
-                fresh = {w for t in texts for w in t.split() if w not in _memo}
-                if len(_memo) + len(fresh) <= MEMO_ENTRIES:
-                    _encode_missing(path, list(fresh))
-                for k, ids in enumerate(encode(texts, path)):
+                for k, text in enumerate(texts):
+                    ids = words.encode(text)
                     ids += end
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at:at + 4 * capacity]
