@@ -24,6 +24,8 @@ WIDTH, THRESHOLD = 5, 75  # words of a shingle, percent
 BANDS, ROWS = 32, 4
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 _BLOCK = 2048
+#: Bits of a parity sketch, and members of a bucket that are compared in one task.
+SKETCH_BITS, BLOCK_MEMBERS = 2048, 1024
 
 
 def _permute(x: np.ndarray) -> np.ndarray:
@@ -69,13 +71,65 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_shingles", "digest", "bands"])
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """One bit per hashed cell: whether the set has an odd number of shingles in it.
+    Two sketches differ in at most as many bits as the sets in shingles."""
+    cell = (mix64(shingles) % U64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=SKETCH_BITS) & 1).tobytes()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = buffers(batch.column(1))
         for lo, hi in pieces(off):
             found = shingle_sets(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], WIDTH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "shingles"])
+                [batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in found], pa.binary()),
+                 pa.array([parity_sketch(s) for s in found], pa.binary())], names=["node", "shingles", "sketch"])
+
+
+def _possible(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block that sizes and sketches allow to reach the threshold and
+    that no chain of links joins yet. A block holds one part of a bucket, or two
+    parts that meet each other."""
+    node, n, c, own = (table.column(k).to_numpy() for k in ("node", "n", "c", "own"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U64).reshape(len(node), -1)
+    within = len(np.unique(own)) == 1 and table.column("i")[0] == table.column("j")[0]
+    left, right = [], []
+    for x in range(len(node) - 1):
+        m = n[x + 1:]
+        y = np.flatnonzero((c[x + 1:] != c[x]) & (m * 100 >= n[x] * THRESHOLD) & (n[x] * 100 >= m * THRESHOLD) & (within | (own[x + 1:] != own[x]))) + x + 1
+        if not len(y):
+            continue
+        total = n[x] + n[y]
+        apart = total - 2 * -(-total * THRESHOLD // (100 + THRESHOLD))
+        y = y[np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= apart]
+        left.append(np.full(len(y), node[x]))
+        right.append(node[y])
+    none = [np.zeros(0, np.int64)]
+    a, b = np.concatenate(left or none), np.concatenate(right or none)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block; a block is compared when its last row is there."""
+    held: pa.Table | None = None
+
+    def compare(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        found = [_possible(table.slice(a, b - a)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1]
+        none = [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found] or none)) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        keys = [table.column(k).to_numpy() for k in ("h", "i", "j")]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if len(change):
+            yield compare(table, np.concatenate(([0], change)))
+            table = table.slice(int(change[-1]))
+        held = table
+    if held is not None and held.num_rows:
+        yield compare(held, np.array([0, held.num_rows]))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +161,25 @@ def _pairs(left: DataFrame) -> DataFrame:
     return left.where(close & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _rest(open_rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of members that are in one bucket but not yet connected
+    and that may be similar. Large buckets are split into parts, and every two
+    parts meet in a task of their own, so no task holds more than two parts."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "c", "sketch")
+    return dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_possible_pairs, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, representative) of equal sets, and verified links between representatives.
 
     A bucket is not expanded into all its pairs. Its members are first verified
-    against one lead, the member met in most buckets; then only members that
-    are still outside the bucket's largest component meet the others. Every
-    pair of a bucket is thus verified or already connected, so no component is
-    lost, and a group of near copies costs about one comparison a member.
+    against one lead, the member met in most buckets. Members that no chain of
+    links joins to each other meet next: sizes and parity sketches, which bound
+    the similarity from above, discard most of these pairs inside the task, and
+    the rest is verified. Every pair of a bucket is thus connected, verified or
+    proven too unlike, so no component is lost.
     """
     known = signed.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
@@ -125,7 +190,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     nodes = rows.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    sets = cut(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles binary").distinct(), "sets")
+    sets = cut(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles binary, sketch binary").distinct(), "sets")
 
     degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
     lead = rows.join(degree, "node").groupBy("h").agg(
@@ -137,13 +202,10 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = cut(_verified(star, sets).unionByName(same), "links")
 
     placed = rows.join(connected(found), "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c"))
-    counted = placed.groupBy("h", "c").agg(F.count("*").alias("k"))
-    split = counted.groupBy("h").agg(F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select(
-        "h", F.col("most.c").alias("most"))
-    open_rows = cut(placed.join(split, "h"), "open")
-    rest = open_rows.where("c <> most").select("h", F.col("node").alias("x"), "n", "c").join(
-        open_rows.select("h", F.col("node").alias("y"), F.col("n").alias("m"), F.col("c").alias("d")), "h").where("c <> d")
-    more = cut(_verified(_pairs(rest).join(star, ["a", "b"], "left_anti"), sets), "links")
+    open_buckets = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high").select(
+        "h", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("parts"))
+    open_rows = cut(placed.join(open_buckets, "h").join(sets.select("node", "sketch").dropDuplicates(["node"]), "node"), "open")
+    more = cut(_verified(_rest(open_rows).join(star, ["a", "b"], "left_anti"), sets), "links")
     return member, found.unionByName(more)
 
 
