@@ -33,7 +33,8 @@ def main() -> None:
     only = sys.argv[1:]
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": str(max(8, 2 * int(cpus))), "spark.ui.enabled": "false",
-        "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
+        "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": os.environ.get("SCRATCH_DIR", "/tmp/mastline-bench"), "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
 

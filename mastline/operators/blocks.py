@@ -26,14 +26,20 @@ from pyspark.sql import functions as F
 
 
 
-def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on null-safe keys, keeping the left key columns."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    cond = None
-    for k in keys:
-        one = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = one if cond is None else cond & one
-    return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
+def plain_keys(df: DataFrame, keys: Sequence[str], prefix: str = "_key") -> tuple[DataFrame, list[str]]:
+    """Null-free stand-ins for ``keys``: per key a value and an is-null flag.
+
+    Aggregates, windows and joins over the stand-ins treat nulls as one value
+    and compare with plain equality, so they share one hash partitioning.
+    """
+    blank = {"string": F.lit(""), "boolean": F.lit(False), "date": F.lit("1970-01-01").cast("date"),
+             "timestamp": F.lit(0).cast("timestamp"), "timestamp_ntz": F.lit("1970-01-01").cast("timestamp_ntz")}
+    made: dict[str, Column] = {}
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType.simpleString()
+        made[f"{prefix}{i}"] = F.coalesce(F.col(f"`{k}`"), blank.get(kind, F.lit(0)).cast(kind))
+        made[f"{prefix}{i}_null"] = F.col(f"`{k}`").isNull()
+    return df.withColumns(made), list(made)
 
 
 def chunk_of(ts: str, unit: str = "day") -> Column:
@@ -45,21 +51,23 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], chu
     """Add each row's 1-based position in its key's order.
 
     ``chunk`` must rise with the first order column; a null chunk sorts first,
-    as nulls do in the order itself.
+    as nulls do in the order itself. Keys and chunk may be null: both sides of
+    the inner join use their null-free stand-ins.
     """
-    tagged = df.withColumn("_chunk", chunk)
-    counts = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*keys)
+    tagged, plain = plain_keys(df.withColumn("_chunk", chunk), [*keys, "_chunk"])
+    series = plain[:-2]
+    counts = tagged.groupBy(*plain).agg(F.count(F.lit(1)).alias("_n"))
+    chunk_order = [F.desc(plain[-1]), F.col(plain[-2])]
+    earlier = Window.partitionBy(*series).orderBy(*chunk_order).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*series)
     offsets = counts.select(
-        *keys, "_chunk",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        *plain, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         *([F.sum("_n").over(everything).alias(total)] if total else []),
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inside = Window.partitionBy(*plain).orderBy(*order)
     ranked = tagged.withColumn("_rank", F.row_number().over(inside))
-    placed = join_keys(ranked, offsets, [*keys, "_chunk"])
-    return placed.withColumn(name, F.col("_before") + F.col("_rank")).drop("_chunk", "_rank", "_before")
+    placed = ranked.join(offsets, plain)
+    return placed.withColumn(name, F.col("_before") + F.col("_rank")).drop("_chunk", "_rank", "_before", *plain)
 
 
 def blocked(positioned: DataFrame, block_rows: int, lookback: int, pos: str = "_pos") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,17 +60,15 @@ def add_series_features(
     """
     if block_rows is None:
         w = Window.partitionBy(*keys).orderBy(*order)
-        # The inner select evaluates every backward frame; the outer one only
-        # looks forward over the lagged columns. Both use the same partitioning.
         made = {**rolling_columns(w, roll, roll_sizes), **delta_columns(w, delta, delta_steps)}
         raw = {f"{c}_lag{k}": F.lag(c, k).over(w) for c in lag for k in lag_steps}
-        out = df.withColumns({**made, **raw})
-        if backfill and raw:
-            ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        if not (backfill and raw):
+            out = df.withColumns({**made, **raw})
+        else:
+            out = df.withColumns({**made, **raw, "_row": F.row_number().over(w)})
             whole = Window.partitionBy(*keys)
             out = out.withColumns({
-                f"{c}_lag{k}": F.coalesce(
-                    F.first(f"{c}_lag{k}", ignorenulls=True).over(ahead), F.avg(c).over(whole))
+                f"{c}_lag{k}": F.coalesce(next_known(f"{c}_lag{k}", keys, "_row"), F.avg(c).over(whole))
                 for c in lag for k in lag_steps
             })
         return out.select(*df.columns, *feature_names(roll, roll_sizes, lag, lag_steps, delta, delta_steps))
@@ -97,26 +96,32 @@ def _backfill_blocks(computed: DataFrame, keys: Sequence[str], columns: Sequence
     ]
     totals = [x for c in columns for x in (
         F.sum(c).alias(f"_sum_{c}"), F.count(c).alias(f"_cnt_{c}"))]
-    summary = computed.groupBy(*keys, "_block").agg(*firsts, *totals)
-    by_block = Window.partitionBy(*keys).orderBy("_block")
-    later = by_block.rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy(*keys)
+    computed, plain = B.plain_keys(computed, [*keys, "_block"])
+    summary = computed.groupBy(*plain, "_block").agg(*firsts, *totals)
+    by_block = Window.partitionBy(*plain[:-2]).orderBy(F.desc("_block"))
+    later = by_block.rowsBetween(Window.unboundedPreceding, -1)  # descending: the blocks behind this one
+    whole = Window.partitionBy(*plain[:-2])
     summary = summary.select(
-        *keys, "_block",
-        *[F.first(f"_first_{n}", ignorenulls=True).over(later).alias(f"_next_{n}") for n in lag_names],
+        *plain,
+        *[F.last(f"_first_{n}", ignorenulls=True).over(later).alias(f"_next_{n}") for n in lag_names],
         *[F.try_divide(F.sum(f"_sum_{c}").over(whole), F.sum(f"_cnt_{c}").over(whole)).alias(f"_avg_{c}")
           for c in columns],
     )
-    joined = B.join_keys(computed, summary, [*keys, "_block"])
-    ahead = B.block_window(keys).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    joined = computed.join(summary, plain)
     return joined.withColumns({
         f"{c}_lag{k}": F.coalesce(
-            F.first(f"{c}_lag{k}", ignorenulls=True).over(ahead),
-            F.col(f"_next_{c}_lag{k}"), F.col(f"_avg_{c}"))
+            next_known(f"{c}_lag{k}", plain, "_pos"), F.col(f"_next_{c}_lag{k}"), F.col(f"_avg_{c}"))
         for c in columns for k in steps
     })
 
 
+def next_known(column: str, keys: Sequence[str], order: str) -> Column:
+    """The value at or after this row: looking back in descending order keeps
+    the frame growing by one row, where a frame of all following rows is rescanned for each."""
+    behind = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.last(column, ignorenulls=True).over(behind)
+
+
 def feature_names(roll, roll_sizes, lag, lag_steps, delta, delta_steps) -> list[str]:
     """Window-major rolling names, then lags, then deltas."""
     return [
@@ -130,33 +135,31 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str
               columns: Sequence[str], chunk: str = "day", tie: Sequence[str] = ()) -> DataFrame:
     """Each left row with the newest right row at or before it (left outer).
 
-    Both sides are merged into one series per (key, time chunk), so a hot key
-    is split by time. The state entering a chunk comes from a summary with one
+    Null keys match nothing, as in SQL. Both sides are merged into one series
+    per (key, time chunk), so a hot key is split by time. The state entering a chunk comes from a summary with one
     row per (key, chunk). ``columns`` are the right columns to attach; ``tie``
     orders right rows of equal time.
     """
     payload = F.struct(*[F.col(c).alias(c) for c in columns], F.col(right_ts).alias("_matched_ts"),
                        *[F.col(t).alias(f"_tie_{i}") for i, t in enumerate(tie)])
-    r = right.where(F.col(right_ts).isNotNull()).select(
+    known = lambda ts: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (*on, ts)])
+    r = right.where(known(right_ts)).select(
         *[F.col(k) for k in on], F.col(right_ts).alias("_ts"), payload.alias("_right"))
-    l = left.select(
-        *[F.col(k) for k in on], F.col(left_ts).alias("_ts"),
-        F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
+    whole_row = F.struct(*[F.col(c) for c in left.columns]).alias("_left")
+    l = left.where(known(left_ts)).select(*[F.col(k) for k in on], F.col(left_ts).alias("_ts"), whole_row)
     merged = l.unionByName(r, allowMissingColumns=True).withColumn("_chunk", B.chunk_of("_ts", chunk))
     order = F.struct(F.col("_ts"), *[F.col(f"_right._tie_{i}") for i in range(len(tie))])
-    carry = B.carry_between_chunks(
-        merged.where(F.col("_right").isNotNull() | F.col("_left").isNotNull()),
-        on, "_chunk", F.col("_right"), order, "_carried")
+    carry = B.carry_between_chunks(merged, on, "_chunk", F.col("_right"), order, "_carried")
     inside = (
         Window.partitionBy(*on, "_chunk")
         .orderBy("_ts", F.col("_left").isNotNull(), *[F.col(f"_right._tie_{i}") for i in range(len(tie))])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     here = merged.withColumn("_seen", F.last("_right", ignorenulls=True).over(inside))
-    both = B.join_keys(here.where(F.col("_left").isNotNull()), carry, [*on, "_chunk"])
-    # A row without a time matches nothing.
-    match = F.when(F.col("_ts").isNotNull(), F.coalesce("_seen", "_carried"))
-    picked = both.select("_left", match.alias("_match"))
+    both = here.where(F.col("_left").isNotNull()).join(carry, [*on, "_chunk"], "left")
+    picked = both.select("_left", F.coalesce("_seen", "_carried").alias("_match"))
+    # Rows without a key or a time match nothing and need no series.
+    picked = picked.unionByName(left.where(~known(left_ts)).select(whole_row), allowMissingColumns=True)
     return picked.select(
         *[F.col(f"_left.{c}").alias(c) for c in left.columns],
         *[F.col(f"_match.{c}").alias(c) for c in columns],

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mastline.functions import scalars as S
 from mastline.operators import slots as slot_ops
-from mastline.operators.blocks import join_keys
+from mastline.operators.blocks import plain_keys
 from mastline.operators.joins import assemble_wide
 from mastline.operators import rollup as R
 from mastline.operators.timebuckets import time_bucket
@@ -139,6 +139,7 @@ class Part:
     modes: Mapping[str, str] = field(default_factory=dict)
     means: Mapping[str, tuple[str, int]] = field(default_factory=dict)
     whole: tuple[str, ...] = ()
+    surplus: str | None = None
 
     def names(self) -> list[str]:
         patterns = [*self.first, *self.modes, *self.means]
@@ -181,7 +182,7 @@ RADIO_PART = Part(
                  "vswr", "current_ampere", "voltage_volt"),
         "RU{slot}_packet_error_rate": ("packet_error_rate", 4),
         **_mean2("RU{slot}_", "throughput_mbps"),
-    })
+    }, surplus="RU_surplus")
 BASEBAND_PART = Part(
     "baseband_units",
     first={"BBU_Sk": "bbu_id"}, modes={"BBU_status": "status", "BBU_op_state": "op_state"},
@@ -196,7 +197,7 @@ ANTENNA_PART = Part(
     "antennas", "antenna_id", 3,
     first={"antenna{slot}_Sk": "antenna_id", "antenna{slot}_sector_key": "sector_id"},
     modes={"antenna{slot}_status": "status", "antenna{slot}_opState": "op_state"},
-    means=_mean2("antenna{slot}_", "rssi_dbm", "snr_db"))
+    means=_mean2("antenna{slot}_", "rssi_dbm", "snr_db"), surplus="antenna_surplus")
 LINK_PART = Part(
     "transport_links", "link_id", 2,
     first={"link{slot}_Sk": "link_id"},
@@ -205,16 +206,16 @@ LINK_PART = Part(
         **_mean2("link{slot}_", "latency_ms", "jitter_ms"),
         "link{slot}_packet_loss_percent": ("packet_loss_percent", 4),
         **_mean2("link{slot}_", "throughput_mbps", "utilization_percent"),
-    })
+    }, surplus="link_surplus")
 RECTIFIER_PART = Part(
     "rectifiers", "rectifier_id", 2,
     first={"rect{slot}_sk": "rectifier_id"}, modes={"rect{slot}_status": "status"},
-    means=_mean2("rect{slot}_", "output_voltage_volt", "current_ampere"))
+    means=_mean2("rect{slot}_", "output_voltage_volt", "current_ampere"), surplus="rect_surplus")
 BATTERY_PART = Part(
     "batteries", "battery_id", 2,
     first={"battery{slot}_sk": "battery_id"},
     modes={"battery{slot}_status": "status", "battery{slot}_opState": "op_state"},
-    means=_mean2("battery{slot}_", "charge_percent=charge_pct", "temperature_c"))
+    means=_mean2("battery{slot}_", "charge_percent=charge_pct", "temperature_c"), surplus="battery_surplus")
 SITE_PART = Part(
     "site_snapshot",
     first={"generator_status": "gen_status", "door_status": "door_status", "smoke_detected": "smoke_detected"},
@@ -222,7 +223,7 @@ SITE_PART = Part(
     means=_mean2("gen_", "fuel_level_percent=fuel_level_pct", "runtime_hours"))
 TEMPERATURE_PART = Part(
     "environment_sensors", "sensor_id", 2, ("sensor_type", "TEMPERATURE"),
-    first={"temp_sensor{slot}_Sk": "sensor_id"}, means=_mean2("temp_sensor{slot}_", "value_c=value"))
+    first={"temp_sensor{slot}_Sk": "sensor_id"}, means=_mean2("temp_sensor{slot}_", "value_c=value"), surplus="temp_sensor_surplus")
 HUMIDITY_PART = Part(
     "environment_sensors", where=("sensor_type", "HUMIDITY"),
     means=_mean2("Humd_sensor_", "value_percent=value"))
@@ -237,21 +238,30 @@ FACT_RAN_COLUMNS = [
     *TEMPERATURE_PART.names(), *HUMIDITY_PART.names(), "door_status", "smoke_detected", "gold_date",
     "RAN_key",
 ]
+# Ours: components beyond the fixed slots, counted here and listed by ``surplus_components``.
+SURPLUS_COLUMNS = [p.surplus for p in JOINED_PARTS if p.surplus]
 
 
-def build_part(silver: DataFrame, part: Part) -> DataFrame:
-    """One row per (site, bucket) with the part's columns."""
+def _reduced(silver: DataFrame, part: Part) -> DataFrame:
     rows = silver if part.where is None else silver.where(F.col(part.where[0]) == part.where[1])
     rows = time_bucket(rows, day=None)
     keys = [*SITE_BUCKET, part.component] if part.slots else SITE_BUCKET
-    reduced = R.reduce_rows(rows, keys, part.labels(), part.numbers(), spread_by=SITE_BUCKET)
-    if not part.slots:
-        return reduced.groupBy(*SITE_BUCKET).agg(*part.aggregates())
+    return R.reduce_rows(rows, keys, part.labels(), part.numbers(), spread_by=SITE_BUCKET)
+
+
+def _per_component(silver: DataFrame, part: Part) -> DataFrame:
     # The component's id is also an output column, so it is grouped under its own name.
-    per_component = reduced.withColumn("_component", F.col(part.component)).groupBy(
+    return _reduced(silver, part).withColumn("_component", F.col(part.component)).groupBy(
         *SITE_BUCKET, "_component").agg(*part.aggregates())
-    columns = {p: p for p in [*part.first, *part.modes, *part.means]}
-    return slot_ops.slot_pivot(per_component, SITE_BUCKET, "_component", part.slots, columns)
+
+
+def build_part(silver: DataFrame, part: Part) -> DataFrame:
+    """One row per (site, bucket) with the part's columns."""
+    if part.slots:
+        columns = {p: p for p in [*part.first, *part.modes, *part.means]}
+        return slot_ops.slot_pivot(_per_component(silver, part), SITE_BUCKET, "_component", part.slots, columns, part.surplus)
+    reduced = _reduced(silver, part)
+    return reduced.groupBy(*SITE_BUCKET).agg(*part.aggregates())
 
 
 def fact_ran(silver: Mapping[str, DataFrame]) -> DataFrame:
@@ -260,12 +270,27 @@ def fact_ran(silver: Mapping[str, DataFrame]) -> DataFrame:
     parts = [build_part(silver[p.table], p) for p in JOINED_PARTS]
     ts = F.col("bucket_start")
     wide = assemble_wide(base, parts, SITE_BUCKET).withColumns({
+        **{c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in SURPLUS_COLUMNS},
         "RAN_sk": S.surrogate_key("site_id", "bucket_start"),
         "RAN_key": S.surrogate_key("site_id"),
         "date_key": S.date_key(ts), "time_key": S.time_key(ts), "timestamp": ts, "gold_date": F.to_date(ts),
         "power_status": F.coalesce("rect1_status", "rect2_status"),
     })
-    return wide.select(*FACT_RAN_COLUMNS)
+    return wide.select(*FACT_RAN_COLUMNS, *SURPLUS_COLUMNS)
+
+
+def surplus_components(silver: Mapping[str, DataFrame]) -> DataFrame:
+    """Every component without a slot in the wide fact: its part, site, bucket,
+    id, number, states and means (as JSON), so that nothing is lost."""
+    out = None
+    for part in (p for p in JOINED_PARTS if p.slots):
+        names = [*part.first, *part.modes, *part.means]
+        rows = slot_ops.surplus_rows(_per_component(silver[part.table], part), SITE_BUCKET, "_component", part.slots).select(
+            F.lit(part.surplus).alias("part"), "site_id", F.col("bucket_start").alias("timestamp"),
+            F.col("_component").alias("component"), F.col("slot").cast("long").alias("slot"),
+            F.to_json(F.struct(*[F.col(n).alias(n.format(slot="")) for n in names])).alias("readings"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -299,9 +324,8 @@ def fact_cells(cells: DataFrame) -> DataFrame:
     status modes belong to (site, cell, bucket), without sector and technology;
     and the earliest message id is text, which needs a (narrow) sort.
     """
-    bucketed = time_bucket(cells, day=None)
-    owner = ["site_id", "cell_id", "bucket_start"]
-    group = [*owner, "sector_id", "technology"]
+    bucketed, plain = plain_keys(time_bucket(cells, day=None), ["site_id", "cell_id", "sector_id", "technology"])
+    owner, group = [*plain[:4], "bucket_start"], [*plain, "bucket_start"]
     states = ["cell_status", "cell_op_state"]
     modes = R.reduce_rows(bucketed, owner, states).groupBy(*owner).agg(
         R.mode_of("cell_status", states).alias("cell_status"), R.mode_of("cell_op_state", states).alias("op_state"))
@@ -319,7 +343,9 @@ def fact_cells(cells: DataFrame) -> DataFrame:
     )
     messages = bucketed.groupBy(*group).agg(
         F.min_by("message_id", F.struct("snapshot_time", "message_id")).alias("RAN_msg_Sk"))
-    agg = join_keys(join_keys(kpis, modes, owner), messages, group)
+    agg = kpis.join(messages, group).join(modes, owner)
+    names = ["site_id", "cell_id", "sector_id", "technology"]
+    agg = agg.withColumns({k: F.when(~F.col(f"_key{i}_null"), F.col(f"_key{i}")) for i, k in enumerate(names)})
     ts = F.col("bucket_start")
     both_ways = F.col("throughput_downlink_mbps") + F.col("throughput_uplink_mbps")
     attempts, failures = F.col("handover_attempts"), F.col("handover_failures")

@@ -92,8 +92,8 @@ def backfill_chunks(
 ) -> DataFrame:
     """Assign each row to its day's chunk and derive the chunk's file key.
 
-    Rows outside every window are dropped, as a backfill never produces them.
-    A window end is exclusive.
+    Rows outside every window keep ``chunk_start`` null and share the key
+    ``<topic>/outside_windows``. A window end is exclusive.
     """
     minute = F.hour(ts) * 60 + F.minute(ts)
     spans = parse_windows(windows)
@@ -105,8 +105,7 @@ def backfill_chunks(
         if hi > 1440:
             start = start.when(minute < hi - 1440, F.lit(lo - 1440))
     day = F.date_trunc("day", F.col(ts))
-    framed = df.withColumn("_start", start).where(F.col("_start").isNotNull())
-    framed = framed.withColumn(
+    framed = df.withColumn("_start", start).withColumn(
         "chunk_start", day + F.make_dt_interval(mins=F.col("_start"))
     ).drop("_start")
     clock = F.when(F.minute("chunk_start") == 0, F.date_format("chunk_start", "HH")).otherwise(
@@ -119,7 +118,7 @@ def backfill_chunks(
         F.lit("/hour="), F.date_format("chunk_start", "HH"),
         F.lit(f"/{topic}_"), F.date_format("chunk_start", "yyyyMMdd"), suffix, F.lit(".json"),
     )
-    return framed.withColumn("chunk_key", key)
+    return framed.withColumn("chunk_key", F.coalesce(key, F.lit(f"{topic}/outside_windows")))
 
 
 def write_backfill(df: DataFrame, path: str, overwrite: bool = False) -> None:

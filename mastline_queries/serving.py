@@ -384,10 +384,9 @@ def top_sites(spark, sf):
 
 @register("latest_records", Q.query(Q.MSG, LIVE_CELLS, select=f"""
 SELECT {Q.stamp('ingested_at')} AS ingested_at, message_id, cell_id, sinr FROM live_cells
-WHERE ingested_at IS NOT NULL ORDER BY live_cells.ingested_at DESC, message_id DESC, cell_id DESC LIMIT 10"""))
+ORDER BY live_cells.ingested_at DESC NULLS LAST, message_id DESC, cell_id DESC LIMIT 10"""))
 def latest_records(spark, sf):
-    rows = live_cells(spark, sf).where(F.col("ingested_at").isNotNull())
-    return stats.latest_rows(rows, ["ingested_at", "message_id", "cell_id"]).select(
+    return stats.latest_rows(live_cells(spark, sf), ["ingested_at", "message_id", "cell_id"]).select(
         "ingested_at", "message_id", "cell_id", "sinr")
 
 

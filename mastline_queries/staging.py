@@ -77,6 +77,16 @@ def star(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 def wide(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly model input."""
     def build(path: str) -> None:
-        cells = silver(spark, sf, "cells").where(F.col("snapshot_time").isNotNull())
-        sinks.write_gold(features.hourly_wide(cells), path, ["gold_date"], sort_within=["site_id", "timestamp"])
+        sinks.write_gold(features.widen(hourly(spark, sf)), path, ["gold_date"], sort_within=["site_id", "timestamp"])
     return spark.read.parquet(_once(spark, sf, "wide", build))
+
+
+def hourly(spark: SparkSession, sf: str) -> DataFrame:
+    def build(path: str) -> None:
+        features.hourly_cells(silver(spark, sf, "cells")).write.parquet(path)
+    return spark.read.parquet(_once(spark, sf, "hourly", build))
+
+
+def surplus_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells beyond the slots of the wide table."""
+    return features.surplus_cells(hourly(spark, sf))

@@ -74,12 +74,24 @@ WITH c AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS q, max(l_returnflag)
 r AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS slot FROM c)
 SELECT l_orderkey, max(CASE WHEN slot = 1 THEN q END) AS part1_qty, max(CASE WHEN slot = 1 THEN f END) AS part1_flag,
   max(CASE WHEN slot = 2 THEN q END) AS part2_qty, max(CASE WHEN slot = 2 THEN f END) AS part2_flag,
-  max(CASE WHEN slot = 3 THEN q END) AS part3_qty, max(CASE WHEN slot = 3 THEN f END) AS part3_flag
+  max(CASE WHEN slot = 3 THEN q END) AS part3_qty, max(CASE WHEN slot = 3 THEN f END) AS part3_flag,
+  greatest(max(slot) - 3, 0) AS part_surplus
 FROM r GROUP BY l_orderkey""")
 def slot_pivot(spark, sf):
-    per_part = I.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
+    return slots.slot_pivot(order_parts(spark, sf), ["l_orderkey"], "l_partkey", 3,
+                            {"part{slot}_qty": "q", "part{slot}_flag": "f"}, "part_surplus")
+
+
+def order_parts(spark, sf):
+    return I.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
         F.sum("l_quantity").alias("q"), F.max("l_returnflag").alias("f"))
-    return slots.slot_pivot(per_part, ["l_orderkey"], "l_partkey", 3, {"part{slot}_qty": "q", "part{slot}_flag": "f"})
+
+
+@register("slot_surplus", """
+WITH c AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS q, max(l_returnflag) AS f FROM lineitem GROUP BY ALL)
+SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS slot FROM c) WHERE slot > 3""")
+def slot_surplus(spark, sf):
+    return slots.surplus_rows(order_parts(spark, sf), ["l_orderkey"], "l_partkey", 3)
 
 
 @register("wide_fact_join", f"""
@@ -148,10 +160,12 @@ def deltas(spark, sf):
 
 @register("asof_join", f"""
 SELECT p.event_id, v.event_id AS view_id, v.value AS view_value, {Q.stamp('v.ts')} AS matched_ts
-FROM (SELECT * FROM events WHERE event_type = 'purchase') p
-ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+FROM (SELECT *, CASE WHEN event_id % 13 <> 0 THEN user_id END AS u FROM events WHERE event_type = 'purchase' AND event_id % 13 <> 0) p
+ASOF LEFT JOIN (SELECT *, CASE WHEN event_id % 13 <> 0 THEN user_id END AS u FROM events WHERE event_type = 'view') v ON p.u = v.u AND p.ts >= v.ts
+UNION ALL SELECT event_id, NULL, NULL, NULL FROM events WHERE event_type = 'purchase' AND event_id % 13 = 0""")
 def asof_join(spark, sf):
-    e = events(spark, sf)
+    """One key in thirteen is missing on both sides; missing keys match nothing."""
+    e = events(spark, sf).withColumn("user_id", F.when(F.col("event_id") % 13 != 0, F.col("user_id")))
     bought = e.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
     seen = e.where(F.col("event_type") == "view").select(
         "user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
@@ -162,10 +176,10 @@ def asof_join(spark, sf):
 @register("asof_weather", Q.query(Q.MSG, Q.WEATHER, """
 w AS (SELECT ran_site_id, ingested_at, max(k) AS k FROM wx WHERE ran_site_id <> '' GROUP BY ALL)""", select="""
 SELECT m.message_id, w.k FROM (SELECT * FROM msg WHERE snapshot_time IS NOT NULL) m
-ASOF LEFT JOIN w ON m.site_id = w.ran_site_id AND m.snapshot_time >= w.ingested_at"""))
+ASOF LEFT JOIN w ON m.site_id = w.ran_site_id AND m.snapshot_time >= w.ingested_at
+UNION ALL SELECT message_id, NULL FROM msg WHERE snapshot_time IS NULL"""))
 def asof_weather(spark, sf):
-    left = ST.silver(spark, sf, "site_snapshot").where(F.col("snapshot_time").isNotNull()).select(
-        "message_id", "site_id", "snapshot_time")
+    left = ST.silver(spark, sf, "site_snapshot").select("message_id", "site_id", "snapshot_time")
     right = I.weather(spark, sf).where(F.col("ran_site_id") != "").select(
         F.col("ran_site_id").alias("site_id"), F.col("ingested_at").cast("timestamp").alias("at"), "k")
     out = timeseries.asof_join(left, right, ["site_id"], "snapshot_time", "at", ["k"], chunk="hour", tie=["k"])
@@ -200,11 +214,11 @@ def landing_layout(spark, sf):
 
 @register("backfill_chunks", """
 WITH m AS (SELECT ts, hour(ts) * 60 + minute(ts) AS m FROM events),
-c AS (SELECT date_trunc('day', ts) + CASE WHEN m < 720 THEN INTERVAL 0 MINUTE ELSE INTERVAL 735 MINUTE END AS s
-  FROM m WHERE m < 720 OR m >= 735)
-SELECT concat('ran_telemetry/year=', strftime(s, '%Y'), '/month=', strftime(s, '%m'), '/day=', strftime(s, '%d'),
+c AS (SELECT CASE WHEN m < 720 OR m >= 735 THEN date_trunc('day', ts) + CASE WHEN m < 720 THEN INTERVAL 0 MINUTE ELSE INTERVAL 735 MINUTE END END AS s
+  FROM m)
+SELECT CASE WHEN s IS NULL THEN 'ran_telemetry/outside_windows' ELSE concat('ran_telemetry/year=', strftime(s, '%Y'), '/month=', strftime(s, '%m'), '/day=', strftime(s, '%d'),
   '/hour=', strftime(s, '%H'), '/ran_telemetry_', strftime(s, '%Y%m%d'), '_',
-  CASE WHEN minute(s) = 0 THEN strftime(s, '%H') ELSE strftime(s, '%H%M') END, '.json') AS chunk_key, count(*) AS total
+  CASE WHEN minute(s) = 0 THEN strftime(s, '%H') ELSE strftime(s, '%H%M') END, '.json') END AS chunk_key, count(*) AS total
 FROM c GROUP BY 1""")
 def backfill_chunks(spark, sf):
     rows = sinks.backfill_chunks(events(spark, sf), "ts", "ran_telemetry")
@@ -247,19 +261,21 @@ def drain(spark, stream, label):
 @register("stream_bucket_agg", f"""
 WITH b AS (SELECT time_bucket(INTERVAL '15 minutes', ts) AS s, event_type, count(*) AS n, max(value) AS top
   FROM events GROUP BY ALL)
-SELECT {Q.stamp('s')} AS bucket_start, event_type, n, top FROM b
-WHERE s + INTERVAL 15 MINUTE <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE""")
+SELECT {Q.stamp('s')} AS bucket_start, event_type, n, top FROM b""")
 def stream_bucket_agg(spark, sf):
-    agg = jobs.bucket_stream(
-        event_stream(spark, sf), ["event_type"], {"n": F.count("*"), "top": F.max("value")}, ts="ts")
-    return drain(spark, agg, "stream-buckets")
+    measures = {"n": (F.count("*"), F.sum), "top": (F.max("value"), F.max)}
+    out = scratch_path(spark, "stream-buckets")
+    jobs.run_bucket_partials(event_stream(spark, sf), ["event_type"], measures, f"{out}/data", f"{out}/checkpoint", ts="ts")
+    return jobs.merged_buckets(spark, f"{out}/data", ["event_type"], measures)
 
 
 @register("stream_dedup", """
 SELECT event_id % 1000 AS dedup_key, count(*) AS total FROM (SELECT DISTINCT event_id FROM events) GROUP BY 1""")
 def stream_dedup(spark, sf):
     doubled = event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    once = drain(spark, jobs.dedup_stream(doubled, ["event_id"], ts="ts"), "stream-dedup")
+    out = scratch_path(spark, "stream-dedup")
+    jobs.run_distinct(doubled, ["event_id"], f"{out}/data", f"{out}/checkpoint")
+    once = spark.read.parquet(f"{out}/data")
     return once.groupBy((F.col("event_id") % 1000).alias("dedup_key")).agg(F.count("*").alias("total"))
 
 
@@ -281,13 +297,13 @@ def stream_raw_landing(spark, sf):
 
 
 # -- model -----------------------------------------------------------------------
-CURVE = """bins AS (SELECT {t} AS threshold, sum(label) AS pos, count(*) AS n FROM scores GROUP BY 1),
+CURVE = """bins AS (SELECT probability AS threshold, sum(label) AS pos, count(*) AS n FROM scores GROUP BY 1),
 cum AS (SELECT threshold, sum(pos) OVER o AS tp, sum(n) OVER o - sum(pos) OVER o AS fp,
   (SELECT sum(pos) FROM bins) AS p, (SELECT sum(n) - sum(pos) FROM bins) AS q FROM bins
   WINDOW o AS (ORDER BY threshold DESC)),
 points AS (SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fp AS DOUBLE) / CAST(q AS DOUBLE) AS fpr,
   CAST(tp AS DOUBLE) / CAST(p AS DOUBLE) AS tpr, CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) AS precision FROM cum)
-""".replace("{t}", Q.rnd("probability", 4))
+"""
 
 
 @register("roc_pr_points", Q.query(Q.SCORES, CURVE, select="SELECT * FROM points"))
@@ -301,7 +317,7 @@ s AS (SELECT *, COALESCE(lag(fpr) OVER o, 0) AS x0, COALESCE(lag(tpr) OVER o, 0)
 SELECT {Q.rnd('sum((fpr - x0) * (tpr + y0) / 2)', 9)} AS auc, {Q.rnd('sum((tpr - y0) * precision)', 9)} AS average_precision
 FROM s"""))
 def auc_and_ap(spark, sf):
-    areas = training.area_metrics(training.curve_points(I.scores(spark, sf), "probability"))
+    areas = training.area_metrics(I.scores(spark, sf), "probability")
     return areas.select(*[F.round(c, 9).alias(c) for c in areas.columns])
 
 
@@ -330,7 +346,12 @@ def score_histogram(spark, sf):
     return training.score_histogram(I.scores(spark, sf), "probability")
 
 
-@register("time_folds")
+@register("time_folds", Q.query(Q.SCORES, """
+c AS (SELECT timestamp AS t, count(*) AS n FROM scores GROUP BY 1),
+r AS (SELECT t, sum(n) OVER (ORDER BY t) AS seen, (SELECT sum(n) FROM c) AS total FROM c),
+k AS (SELECT i, min(t) AS cut FROM r, (VALUES (1), (2), (3), (4), (5)) v(i) WHERE seen * 6 >= total * i GROUP BY i),
+f AS (SELECT timestamp, (SELECT count(*) FROM k WHERE cut < timestamp) AS fold FROM scores)""", select=f"""
+SELECT fold, count(*) AS rows, {Q.stamp('min(timestamp)')} AS first, {Q.stamp('max(timestamp)')} AS last FROM f GROUP BY fold"""))
 def time_folds(spark, sf):
     return training.time_folds(I.scores(spark, sf)).groupBy("fold").agg(
         F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
@@ -388,7 +409,7 @@ def train_evaluate(spark, sf):
     small = training.BoostSettings(max_trees=3, depth=3, min_final_trees=3)
     model, folds = training.train(frame, settings=small, splits=2)
     scored = training.add_probability(model.transform(frame.withColumn("weight", F.lit(1.0))))
-    areas = training.area_metrics(training.curve_points(scored)).withColumn("stage", F.lit("all"))
+    areas = training.area_metrics(scored).withColumn("stage", F.lit("all"))
     per_fold = spark.createDataFrame(
         [(f"fold {f['fold']}", f["auc"], f["ap"]) for f in folds], "stage string, auc double, average_precision double")
     return areas.select("stage", "auc", "average_precision").unionByName(per_fold)

@@ -178,6 +178,7 @@ def part_ctes(p: gold.Part, tag: str) -> list[str]:
         out = ", ".join(
             f"max(CASE WHEN slot = {s} THEN c{i} END) AS \"{n.format(slot=s)}\""
             for s in range(1, p.slots + 1) for i, (n, _) in enumerate(aggs))
+        out += f", greatest(max(slot) - {p.slots}, 0) AS \"{p.surplus}\""
         ctes.append(f"{tag} AS (SELECT site_id, b, {out} FROM {tag}_r GROUP BY site_id, b)")
     return ctes
 
@@ -190,14 +191,22 @@ def fact_ran_ctes() -> list[str]:
     for i, p in enumerate(gold.JOINED_PARTS):
         out += part_ctes(p, f"q{i}")
     joins = " ".join(f"LEFT JOIN q{i} USING (site_id, b)" for i in range(len(gold.JOINED_PARTS)))
+    surplus = ", ".join(f'coalesce("{c}", 0) AS "{c}"' for c in gold.SURPLUS_COLUMNS)
     out.append(
         f"fact_ran AS (SELECT md5(concat_ws('|', site_id, {Q.stamp('b')})) AS \"RAN_sk\", "
         f"CAST(strftime(b, '%Y%m%d') AS BIGINT) AS date_key, {Q.stamp('b')} AS timestamp, "
         f"CAST(strftime(b, '%H%M') AS BIGINT) AS time_key, {Q.day('b')} AS gold_date, md5(site_id) AS \"RAN_key\", "
-        f"COALESCE(rect1_status, rect2_status) AS power_status, * EXCLUDE (b) FROM p {joins})")
+        f"COALESCE(rect1_status, rect2_status) AS power_status, * EXCLUDE (b) REPLACE ({surplus}) FROM p {joins})")
     return out
 
 
+@register("fact_ran_surplus", Q.query(*INPUT_CTES, *[c for i, p in enumerate(gold.JOINED_PARTS) if p.slots for c in part_ctes(p, f"q{i}")], select=" UNION ALL ".join(
+    f"SELECT '{p.surplus}' AS part, site_id, {Q.stamp('b')} AS timestamp, {p.component} AS component, CAST(slot AS BIGINT) AS slot FROM q{i}_r WHERE slot > {p.slots}"
+    for i, p in enumerate(gold.JOINED_PARTS) if p.slots)))
+def fact_ran_surplus(spark, sf):
+    return gold.surplus_components(ST.all_silver(spark, sf)).drop("readings")
+
+
 @register("fact_ran", Q.query(*INPUT_CTES, *fact_ran_ctes(), select="SELECT * FROM fact_ran"))
 def fact_ran(spark, sf):
     return gold.fact_ran(ST.all_silver(spark, sf))
@@ -459,7 +468,7 @@ def hourly_ctes() -> list[str]:
         if m in ("status", "op_state"):
             continue
         if m in ("technology", "bandwidth_mhz"):
-            cols.append(f"arg_min({m}, (snapshot_time, message_id)) AS {m}")
+            cols.append(f"arg_min({m}, (snapshot_time, {m})) AS {m}")
         elif m in features.COUNTERS:
             cols.append(f"CAST(sum({m}) AS BIGINT) AS {m}")
         elif m in features.HEADCOUNTS:
@@ -467,16 +476,19 @@ def hourly_ctes() -> list[str]:
         else:
             cols.append(f"{Q.rnd(f'avg({m})', 4)} AS {m}")
     return [
-        "ch AS (SELECT *, date_trunc('hour', snapshot_time) AS hour_ts FROM cells WHERE snapshot_time IS NOT NULL)",
+        "ch AS (SELECT *, date_trunc('hour', snapshot_time) AS hour_ts FROM cells)",
         Q.mode("hs", "ch", HOURLY_KEYS, "cell_status", "status"),
         Q.mode("ho", "ch", HOURLY_KEYS, "cell_op_state", "op_state"),
         f"hk AS (SELECT {HOURLY_KEYS}, {', '.join(cols)} FROM ch GROUP BY {HOURLY_KEYS})",
-        f"hourly AS (SELECT * FROM hk LEFT JOIN hs USING ({HOURLY_KEYS}) LEFT JOIN ho USING ({HOURLY_KEYS}))",
+        "hourly AS (SELECT hk.*, hs.status, ho.op_state FROM hk "
+        + " ".join(f"LEFT JOIN {t} ON hk.site_id = {t}.site_id AND hk.cell_id = {t}.cell_id AND hk.hour_ts IS NOT DISTINCT FROM {t}.hour_ts"
+                   for t in ("hs", "ho")) + ")",
     ]
 
 
 def timed_cells(spark, sf):
-    return ST.silver(spark, sf, "cells").where(F.col("snapshot_time").isNotNull())
+    """All cells; those without a readable time stay, under a null hour."""
+    return ST.silver(spark, sf, "cells")
 
 
 @register("hourly_cells", Q.query(Q.MSG, Q.CELLS, *hourly_ctes(), select=(
@@ -488,6 +500,7 @@ def hourly_cells(spark, sf):
 def wide_ctes() -> list[str]:
     cols = ", ".join(
         f"max(CASE WHEN slot = {i} THEN {m} END) AS cell_{i}_{m}" for i in (1, 2, 3) for m in features.METRICS)
+    cols += ", greatest(max(slot) - 3, 0) AS cell_surplus"
     return [*hourly_ctes(),
             "slotted AS (SELECT *, dense_rank() OVER (PARTITION BY site_id, hour_ts ORDER BY cell_id) AS slot FROM hourly)",
             f"wide AS (SELECT site_id, hour_ts, {cols} FROM slotted GROUP BY site_id, hour_ts)"]
@@ -501,20 +514,21 @@ def hourly_wide(spark, sf):
 
 LONG = ["long AS (" + " UNION ALL ".join(
     "SELECT site_id, hour_ts AS timestamp, " + f"{i} AS cell_id, "
-    + ", ".join(f"cell_{i}_{m} AS {m}" for m in features.METRICS) + " FROM wide" for i in (1, 2, 3)) + ")"]
+    + ", ".join(f"cell_{i}_{m} AS {m}" for m in features.METRICS) + " FROM wide" for i in (1, 2, 3))
+    + " UNION ALL SELECT site_id, hour_ts AS timestamp, slot AS cell_id, " + ", ".join(features.METRICS) + " FROM slotted WHERE slot > 3)"]
 
 
 @register("wide_to_long", Q.query(Q.MSG, Q.CELLS, *wide_ctes(), *LONG, select=(
     f"SELECT * EXCLUDE (timestamp), {Q.stamp('timestamp')} AS timestamp FROM long")))
 def wide_to_long(spark, sf):
-    return features.wide_to_long(ST.wide(spark, sf))
+    return features.all_cells(ST.wide(spark, sf), ST.surplus_cells(spark, sf))
 
 
 def feature_select() -> list[str]:
     m = features.Manifest()
     code = "CASE " + " ".join(f"WHEN {{c}} = '{k}' THEN {v}" for k, v in m.status_map.items()) + " ELSE 0 END"
     tech = "CASE " + " ".join(f"WHEN technology = '{k}' THEN {v}" for k, v in m.tech_map.items()) + " ELSE 2 END"
-    part = "PARTITION BY site_id, cell_id ORDER BY timestamp"
+    part = "PARTITION BY site_id, cell_id ORDER BY timestamp NULLS FIRST"
     cols = [f"{code.format(c=c)} AS {c}" for c in ("status", "op_state")] + [f"{tech} AS technology"]
     cols += ["hour(timestamp) AS hour_of_day", "isodow(timestamp) - 1 AS day_of_week",
              "day(timestamp) AS day_of_month", "month(timestamp) AS month",

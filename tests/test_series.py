@@ -77,7 +77,8 @@ def test_all_features_share_one_shuffle_and_sort(spark):
         wide = wide.withColumn(f"cell_1_{m}", F.lit("UP" if text else 1.0))
     built = features.build_features(features.wide_to_long(wide, n_cells=1))
     plan = built._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    # One sort for the backward frames, one descending for the lag fill.
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 2
     assert len(features.align_features(built).columns) == 284 + 3
     assert len(features.Manifest().feature_columns) == 284
 
@@ -168,3 +169,21 @@ def test_predict_keeps_history_but_returns_the_target_day(spark):
     out = training.predict(wide, lambda r: training.score_with_function(r, score), features.Manifest(n_cells=1),
                            target_date="2026-01-02").collect()
     assert len(out) == 6 and {r["cell_id"] for r in out} == {"CELL_1"}
+
+
+def test_lag_fill_is_linear_and_asof_ignores_null_keys(spark):
+    rows = [(1, i, float(i) if i % 3 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, t int, v double")
+    for block in (None, 512):
+        out = timeseries.add_series_features(df, ["k"], ["t"], lag=["v"], lag_steps=(1,), block_rows=block, chunk=(F.col("t") / 1000).cast("int"))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "unboundedfollowing$()))" not in plan.replace(" ", "").replace("unboundedpreceding$(),unboundedfollowing$()", "").lower()
+        got = {r.t: r.v_lag1 for r in out.collect()}
+        expect = {i: next(v for _, _, v in rows[max(i - 1, 0):] if v is not None) for i in range(3990)}
+        assert {i: got[i] for i in expect} == expect
+    left = spark.createDataFrame([(1, 5, "a"), (None, 5, "b"), (1, None, "c")], "k int, t int, id string").withColumn("t", F.timestamp_seconds("t"))
+    right = spark.createDataFrame([(1, 4, 70), (None, 4, 77)], "k int, u int, v int").withColumn("u", F.timestamp_seconds("u"))
+    out = timeseries.asof_join(left, right, ["k"], "t", "u", ["v"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
+    assert {r.id: r.v for r in out.collect()} == {"a": 70, "b": None, "c": None}
