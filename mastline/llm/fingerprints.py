@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mastline.llm.tables import cut
 from mastline.llm.textarrays import U64, _power_tables, mix64
 
 #: Levels whose names enter the sketch; phrases of level 2 have about 9 bytes, of level 3 about 27.
@@ -25,6 +26,8 @@ LEVELS = (2, 3)
 SKETCH = 64
 #: Neighbouring documents are looked up inside ranges of so many ids.
 RANGE = 256
+#: A table of so many guests (16 bytes each) may be broadcast; ranges widen with the input to stay below.
+GUESTS = 200_000
 
 
 def _toss_table(size: int) -> np.ndarray:
@@ -92,8 +95,7 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
         if level in LEVELS:
             short = (x >> U64(32)).astype(np.uint32)
             for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
-                part = short[a:b]
-                found[k].append(np.unique(np.partition(part, 4 * SKETCH)[:4 * SKETCH]) if len(part) > 8 * SKETCH and len(np.unique(part)) == len(part) else np.unique(part))
+                found[k].append(np.unique(short[a:b])[:SKETCH])
     return [np.unique(np.concatenate(f))[:SKETCH] for f in found]
 
 
@@ -164,14 +166,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text. A lone document is its own next one. Other columns play no part.
 
     Texts are shuffled once, by ranges of ids. What a range needs from the next
-    one is a single guest row; the guests' table has one row per range.
+    one is a single guest row. The guests' table has one row per range and is
+    counted: it is broadcast up to ``GUESTS`` rows, and beyond (ids with wide
+    gaps) joined by a shuffle.
     """
     lowest = F.lit(-(1 << 62))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("rank", F.coalesce("doc_id", lowest)).withColumn("part", F.floor(F.col("rank") / RANGE))
-    tops = rows.groupBy("part").agg(F.max("rank").alias("rank"))
+    width = max(RANGE, docs.count() * 2 // GUESTS)
+    rows = rows.withColumn("rank", F.coalesce("doc_id", lowest)).withColumn("part", F.floor(F.col("rank") / width))
+    tops = cut(rows.groupBy("part").agg(F.max("rank").alias("rank")), "ranges")
     every = Window.partitionBy()
     guests = tops.select("rank", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(every)).alias("host"))
+    if tops.count() <= GUESTS:
+        guests = F.broadcast(guests)
     own = rows.select("part", F.lit(0).alias("guest"), "doc_id", "text", "rank")
     moved = rows.drop("part").join(guests, "rank").select(F.col("host").alias("part"), F.lit(1).alias("guest"), "doc_id", "text", "rank")
     placed = own.unionByName(moved).withColumn("tie", F.xxhash64("text")).repartition("part").sortWithinPartitions(
