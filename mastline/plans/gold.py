@@ -71,6 +71,7 @@ def dim_link(links: DataFrame) -> DataFrame:
     return build_dimension(links, ["site_id", "link_id"], ["link_type"], "link_sk")
 
 
+# Attribute names and formats of the date dimension.
 def calendar(days: DataFrame, day: str = "day") -> DataFrame:
     """Calendar attributes for a frame of distinct days."""
     d = F.col(day)
@@ -96,6 +97,7 @@ def dim_date_spanning(df: DataFrame, ts: str) -> DataFrame:
     return calendar(ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day")))
 
 
+# Day parts, working hours and label formats.
 def clock_slots(slots: DataFrame, second_of_day: str = "sec") -> DataFrame:
     """Attributes of 30-second slots given their start second.
 
@@ -163,73 +165,132 @@ class Part:
         return out
 
 
-def _mean2(prefix: str, *pairs: str) -> dict[str, tuple[str, int]]:
-    """``name=source`` pairs averaged to two digits."""
-    out = {}
-    for pair in pairs:
-        name, _, source = pair.partition("=")
-        out[f"{prefix}{name}"] = (source or name, 2)
-    return out
-
-
 # Fact columns and the readings they come from, in table order.
 RADIO_PART = Part(
-    "radio_units", "ru_id", 3,
-    first={"RU{slot}_Sk": "ru_id", "RU{slot}_sector_key": "sector_id"},
-    modes={"RU{slot}_status": "status", "RU{slot}_op_state": "op_state"},
+    table="radio_units", component="ru_id", slots=3, surplus="RU_surplus",
+    first={
+        "RU{slot}_Sk": "ru_id", "RU{slot}_sector_key": "sector_id",
+    },
+    modes={
+        "RU{slot}_status": "status", "RU{slot}_op_state": "op_state",
+    },
     means={
-        **_mean2("RU{slot}_", "temperature_c", "tx_power_watts", "rx_signal_strength_dbm=rx_signal_dbm",
-                 "vswr", "current_ampere", "voltage_volt"),
+        "RU{slot}_temperature_c": ("temperature_c", 2),
+        "RU{slot}_tx_power_watts": ("tx_power_watts", 2),
+        "RU{slot}_rx_signal_strength_dbm": ("rx_signal_dbm", 2),
+        "RU{slot}_vswr": ("vswr", 2),
+        "RU{slot}_current_ampere": ("current_ampere", 2),
+        "RU{slot}_voltage_volt": ("voltage_volt", 2),
         "RU{slot}_packet_error_rate": ("packet_error_rate", 4),
-        **_mean2("RU{slot}_", "throughput_mbps"),
-    }, surplus="RU_surplus")
+        "RU{slot}_throughput_mbps": ("throughput_mbps", 2),
+    },
+)
 BASEBAND_PART = Part(
-    "baseband_units",
-    first={"BBU_Sk": "bbu_id"}, modes={"BBU_status": "status", "BBU_op_state": "op_state"},
+    table="baseband_units",
+    first={
+        "BBU_Sk": "bbu_id",
+    },
+    modes={
+        "BBU_status": "status", "BBU_op_state": "op_state",
+    },
     means={
-        **_mean2("BBU_", "cpu_utilization_percent=cpu_pct", "memory_utilization_percent=memory_pct",
-                 "disk_usage_percent=disk_pct", "process_latency_ms"),
+        "BBU_cpu_utilization_percent": ("cpu_pct", 2),
+        "BBU_memory_utilization_percent": ("memory_pct", 2),
+        "BBU_disk_usage_percent": ("disk_pct", 2),
+        "BBU_process_latency_ms": ("process_latency_ms", 2),
         "BBU_active_users": ("active_users", 0),
-        **_mean2("BBU_", "control_plane_latency_ms=control_latency_ms"),
+        "BBU_control_plane_latency_ms": ("control_latency_ms", 2),
     },
-    whole=("BBU_active_users",))
+    whole=("BBU_active_users",),
+)
 ANTENNA_PART = Part(
-    "antennas", "antenna_id", 3,
-    first={"antenna{slot}_Sk": "antenna_id", "antenna{slot}_sector_key": "sector_id"},
-    modes={"antenna{slot}_status": "status", "antenna{slot}_opState": "op_state"},
-    means=_mean2("antenna{slot}_", "rssi_dbm", "snr_db"), surplus="antenna_surplus")
+    table="antennas", component="antenna_id", slots=3, surplus="antenna_surplus",
+    first={
+        "antenna{slot}_Sk": "antenna_id", "antenna{slot}_sector_key": "sector_id",
+    },
+    modes={
+        "antenna{slot}_status": "status", "antenna{slot}_opState": "op_state",
+    },
+    means={
+        "antenna{slot}_rssi_dbm": ("rssi_dbm", 2),
+        "antenna{slot}_snr_db": ("snr_db", 2),
+    },
+)
 LINK_PART = Part(
-    "transport_links", "link_id", 2,
-    first={"link{slot}_Sk": "link_id"},
-    modes={"link{slot}_status": "status", "link{slot}_opState": "op_state"},
+    table="transport_links", component="link_id", slots=2, surplus="link_surplus",
+    first={
+        "link{slot}_Sk": "link_id",
+    },
+    modes={
+        "link{slot}_status": "status", "link{slot}_opState": "op_state",
+    },
     means={
-        **_mean2("link{slot}_", "latency_ms", "jitter_ms"),
+        "link{slot}_latency_ms": ("latency_ms", 2),
+        "link{slot}_jitter_ms": ("jitter_ms", 2),
         "link{slot}_packet_loss_percent": ("packet_loss_percent", 4),
-        **_mean2("link{slot}_", "throughput_mbps", "utilization_percent"),
-    }, surplus="link_surplus")
+        "link{slot}_throughput_mbps": ("throughput_mbps", 2),
+        "link{slot}_utilization_percent": ("utilization_percent", 2),
+    },
+)
 RECTIFIER_PART = Part(
-    "rectifiers", "rectifier_id", 2,
-    first={"rect{slot}_sk": "rectifier_id"}, modes={"rect{slot}_status": "status"},
-    means=_mean2("rect{slot}_", "output_voltage_volt", "current_ampere"), surplus="rect_surplus")
+    table="rectifiers", component="rectifier_id", slots=2, surplus="rect_surplus",
+    first={
+        "rect{slot}_sk": "rectifier_id",
+    },
+    modes={
+        "rect{slot}_status": "status",
+    },
+    means={
+        "rect{slot}_output_voltage_volt": ("output_voltage_volt", 2),
+        "rect{slot}_current_ampere": ("current_ampere", 2),
+    },
+)
 BATTERY_PART = Part(
-    "batteries", "battery_id", 2,
-    first={"battery{slot}_sk": "battery_id"},
-    modes={"battery{slot}_status": "status", "battery{slot}_opState": "op_state"},
-    means=_mean2("battery{slot}_", "charge_percent=charge_pct", "temperature_c"), surplus="battery_surplus")
+    table="batteries", component="battery_id", slots=2, surplus="battery_surplus",
+    first={
+        "battery{slot}_sk": "battery_id",
+    },
+    modes={
+        "battery{slot}_status": "status", "battery{slot}_opState": "op_state",
+    },
+    means={
+        "battery{slot}_charge_percent": ("charge_pct", 2),
+        "battery{slot}_temperature_c": ("temperature_c", 2),
+    },
+)
 SITE_PART = Part(
-    "site_snapshot",
-    first={"generator_status": "gen_status", "door_status": "door_status", "smoke_detected": "smoke_detected"},
-    modes={"env_status": "env_status", "env_opState": "env_op_state"},
-    means=_mean2("gen_", "fuel_level_percent=fuel_level_pct", "runtime_hours"))
+    table="site_snapshot",
+    first={
+        "generator_status": "gen_status", "door_status": "door_status", "smoke_detected": "smoke_detected",
+    },
+    modes={
+        "env_status": "env_status", "env_opState": "env_op_state",
+    },
+    means={
+        "gen_fuel_level_percent": ("fuel_level_pct", 2),
+        "gen_runtime_hours": ("runtime_hours", 2),
+    },
+)
 TEMPERATURE_PART = Part(
-    "environment_sensors", "sensor_id", 2, ("sensor_type", "TEMPERATURE"),
-    first={"temp_sensor{slot}_Sk": "sensor_id"}, means=_mean2("temp_sensor{slot}_", "value_c=value"), surplus="temp_sensor_surplus")
+    table="environment_sensors", component="sensor_id", slots=2, where=("sensor_type", "TEMPERATURE"),
+    surplus="temp_sensor_surplus",
+    first={
+        "temp_sensor{slot}_Sk": "sensor_id",
+    },
+    means={
+        "temp_sensor{slot}_value_c": ("value", 2),
+    },
+)
 HUMIDITY_PART = Part(
-    "environment_sensors", where=("sensor_type", "HUMIDITY"),
-    means=_mean2("Humd_sensor_", "value_percent=value"))
+    table="environment_sensors", where=("sensor_type", "HUMIDITY"),
+    means={
+        "Humd_sensor_value_percent": ("value", 2),
+    },
+)
 
 JOINED_PARTS = [RADIO_PART, BASEBAND_PART, ANTENNA_PART, LINK_PART, RECTIFIER_PART, BATTERY_PART,
                 TEMPERATURE_PART, HUMIDITY_PART]
+# The layout of the wide fact.
 FACT_RAN_COLUMNS = [
     "RAN_sk", "date_key", "timestamp", "time_key", "site_id",
     *RADIO_PART.names(), *BASEBAND_PART.names(), *ANTENNA_PART.names(), *LINK_PART.names(),
@@ -296,7 +357,7 @@ def surplus_components(silver: Mapping[str, DataFrame]) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Cell fact
 # ---------------------------------------------------------------------------
-# KPIs averaged to two digits, counters summed.
+# KPIs averaged to two digits, counters summed, and the fact's layout.
 CELL_MEANS = [
     "prb_utilization_percent", "throughput_downlink_mbps", "throughput_uplink_mbps",
     "rsrp_dbm", "rsrq_db", "sinr_db", "cqi_avg", "spectral_efficiency_bps_per_hz",
@@ -308,9 +369,13 @@ CELL_MEANS = [
 CELL_SUMS = ["handover_attempts", "handover_failures", "rrc_connection_attempts"]
 FACT_CELLS_COLUMNS = [
     "RAN_msg_Sk", "date_key", "timestamp", "time_key", "gold_date", "cell_key", "RAN_key", "sector_bk",
-    "active_users", "connected_users", "peak_users", *CELL_MEANS[:13], "handover_attempts",
-    "handover_failures", "handover_success_rate_percent", "rrc_connection_attempts", *CELL_MEANS[13:],
-    "traffic_volume_gb", "congestion_flag", "cell_status", "op_state",
+    "active_users", "connected_users", "peak_users", "prb_utilization_percent", "throughput_downlink_mbps",
+    "throughput_uplink_mbps", "rsrp_dbm", "rsrq_db", "sinr_db", "cqi_avg", "spectral_efficiency_bps_per_hz",
+    "bler_downlink_percent", "bler_uplink_percent", "harq_retransmission_rate_percent", "latency_downlink_ms",
+    "latency_uplink_ms", "handover_attempts", "handover_failures", "handover_success_rate_percent",
+    "rrc_connection_attempts", "rrc_success_rate_percent", "erab_setup_success_rate_percent",
+    "call_drop_rate_percent", "abnormal_release_rate_percent", "traffic_volume_gb", "congestion_flag",
+    "cell_status", "op_state",
 ]
 CONGESTED_PRB = 80
 BUCKET_SECONDS = 900

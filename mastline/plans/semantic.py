@@ -17,7 +17,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mastline.plans.gold import CELL_MEANS
 
 AGGREGATES = {
     "avg": F.avg, "sum": F.sum, "max": F.max, "count": F.count, "count_distinct": F.count_distinct,
@@ -54,80 +53,151 @@ class UnknownName(KeyError):
     """A business name that no table, or more than one, defines."""
 
 
-def _dims(text: str) -> dict[str, str]:
-    out = {}
-    for item in text.split():
-        logical, _, physical = item.partition("=")
-        out[logical] = physical or logical
-    return out
-
-
-def _measures(**by_agg: str) -> dict[str, Measure]:
-    out = {}
-    for agg, text in by_agg.items():
-        for item in text.split():
-            logical, _, physical = item.partition("=")
-            out[logical] = Measure(None if physical == "*" else (physical or logical), agg)
-    return out
-
-
 # ---------------------------------------------------------------------------
-# The telemetry model.
+# The telemetry model, in its own order.
 # ---------------------------------------------------------------------------
 TABLES = {
     "site": LogicalTable(
-        "dim_site", "site_sk", _dims("site_sk site_id site_name region vendor latitude longitude"),
-        _measures(count_distinct="site_count=site_sk")),
+        "dim_site", "site_sk",
+        {
+            "site_sk": "site_sk", "site_id": "site_id", "site_name": "site_name", "region": "region",
+            "vendor": "vendor", "latitude": "latitude", "longitude": "longitude",
+        },
+        {
+            "site_count": Measure("site_sk", "count_distinct"),
+        }),
     "cell": LogicalTable(
         "dim_cell", "cell_sk",
-        _dims("cell_sk cell_id site_id sector_id technology bandwidth_mhz carrier_frequency_mhz"),
-        _measures(count_distinct="cell_count=cell_sk")),
+        {
+            "cell_sk": "cell_sk", "cell_id": "cell_id", "site_id": "site_id", "sector_id": "sector_id",
+            "technology": "technology", "bandwidth_mhz": "bandwidth_mhz",
+            "carrier_frequency_mhz": "carrier_frequency_mhz",
+        },
+        {
+            "cell_count": Measure("cell_sk", "count_distinct"),
+        }),
     "radio_unit": LogicalTable(
-        "dim_RU", "RU_sk", _dims("ru_sk=RU_sk ru_id sector_id"), _measures(count_distinct="ru_count=RU_sk")),
+        "dim_RU", "RU_sk",
+        {
+            "ru_sk": "RU_sk", "ru_id": "ru_id", "sector_id": "sector_id",
+        },
+        {
+            "ru_count": Measure("RU_sk", "count_distinct"),
+        }),
     "antenna": LogicalTable(
         "dim_Antenna", "antenna_sk",
-        _dims("antenna_sk antenna_id sector_id mimo_layers azimuth_degree tilt_degree"),
-        _measures(count_distinct="antenna_count=antenna_sk")),
+        {
+            "antenna_sk": "antenna_sk", "antenna_id": "antenna_id", "sector_id": "sector_id",
+            "mimo_layers": "mimo_layers", "azimuth_degree": "azimuth_degree", "tilt_degree": "tilt_degree",
+        },
+        {
+            "antenna_count": Measure("antenna_sk", "count_distinct"),
+        }),
     "link": LogicalTable(
-        "dim_Link", "link_sk", _dims("link_sk link_id link_type"),
-        _measures(count_distinct="link_count=link_sk")),
+        "dim_Link", "link_sk",
+        {
+            "link_sk": "link_sk", "link_id": "link_id", "link_type": "link_type",
+        },
+        {
+            "link_count": Measure("link_sk", "count_distinct"),
+        }),
     "date": LogicalTable(
         "dim_date", "date_sk",
-        _dims("date_sk year=Year month=Month month_name=MonthName quarter quarter_name=quarterName "
-              "day_of_month=DayOfMonth day_of_week=DayOfWeek week_of_year=WeekOfYear full_date=Date")),
+        {
+            "date_sk": "date_sk", "year": "Year", "month": "Month", "month_name": "MonthName",
+            "quarter": "quarter", "quarter_name": "quarterName", "day_of_month": "DayOfMonth",
+            "day_of_week": "DayOfWeek", "week_of_year": "WeekOfYear", "full_date": "Date",
+        },
+    ),
     "time_of_day": LogicalTable(
-        "dim_time", "time_key", _dims("time_pk=time_key hour minute time_label day_part business_hours")),
+        "dim_time", "time_key",
+        {
+            "time_pk": "time_key", "hour": "hour", "minute": "minute", "time_label": "time_label",
+            "day_part": "day_part", "business_hours": "business_hours",
+        },
+    ),
     "cell_performance": LogicalTable(
         "Fact_Cells", None,
-        _dims("cell_key ran_key=RAN_key date_key time_key cell_status op_state congestion_flag "
-              "snapshot_ts=timestamp"),
-        _measures(
-            count_distinct="site_count=RAN_key cell_count=cell_key",
-            avg=" ".join([*CELL_MEANS, "handover_success_rate_percent", "connected_users", "active_users"]),
-            sum="traffic_volume_gb rrc_connection_attempts handover_attempts handover_failures",
-            max="peak_users", count="snapshot_count=*")),
+        {
+            "cell_key": "cell_key", "ran_key": "RAN_key", "date_key": "date_key", "time_key": "time_key",
+            "cell_status": "cell_status", "op_state": "op_state", "congestion_flag": "congestion_flag",
+            "snapshot_ts": "timestamp",
+        },
+        {
+            "site_count": Measure("RAN_key", "count_distinct"),
+            "cell_count": Measure("cell_key", "count_distinct"),
+            "prb_utilization_percent": Measure("prb_utilization_percent", "avg"),
+            "throughput_downlink_mbps": Measure("throughput_downlink_mbps", "avg"),
+            "throughput_uplink_mbps": Measure("throughput_uplink_mbps", "avg"),
+            "rsrp_dbm": Measure("rsrp_dbm", "avg"),
+            "rsrq_db": Measure("rsrq_db", "avg"),
+            "sinr_db": Measure("sinr_db", "avg"),
+            "cqi_avg": Measure("cqi_avg", "avg"),
+            "spectral_efficiency_bps_per_hz": Measure("spectral_efficiency_bps_per_hz", "avg"),
+            "bler_downlink_percent": Measure("bler_downlink_percent", "avg"),
+            "bler_uplink_percent": Measure("bler_uplink_percent", "avg"),
+            "harq_retransmission_rate_percent": Measure("harq_retransmission_rate_percent", "avg"),
+            "latency_downlink_ms": Measure("latency_downlink_ms", "avg"),
+            "latency_uplink_ms": Measure("latency_uplink_ms", "avg"),
+            "rrc_success_rate_percent": Measure("rrc_success_rate_percent", "avg"),
+            "erab_setup_success_rate_percent": Measure("erab_setup_success_rate_percent", "avg"),
+            "call_drop_rate_percent": Measure("call_drop_rate_percent", "avg"),
+            "abnormal_release_rate_percent": Measure("abnormal_release_rate_percent", "avg"),
+            "handover_success_rate_percent": Measure("handover_success_rate_percent", "avg"),
+            "connected_users": Measure("connected_users", "avg"),
+            "active_users": Measure("active_users", "avg"),
+            "traffic_volume_gb": Measure("traffic_volume_gb", "sum"),
+            "rrc_connection_attempts": Measure("rrc_connection_attempts", "sum"),
+            "handover_attempts": Measure("handover_attempts", "sum"),
+            "handover_failures": Measure("handover_failures", "sum"),
+            "peak_users": Measure("peak_users", "max"),
+            "snapshot_count": Measure(None, "count"),
+        }),
     "equipment_health": LogicalTable(
         "Fact_RAN", None,
-        _dims("site_id ran_key=RAN_key date_key time_key power_status env_status smoke_detected door_status "
-              "generator_status snapshot_ts=timestamp"),
-        _measures(
-            avg="bbu_cpu_utilization_percent=BBU_cpu_utilization_percent "
-                "bbu_memory_utilization_percent=BBU_memory_utilization_percent battery1_charge_percent "
-                "rect1_output_voltage_volt ru1_temperature_c=RU1_temperature_c "
-                "ru2_temperature_c=RU2_temperature_c ru3_temperature_c=RU3_temperature_c "
-                "ru1_vswr=RU1_vswr ru2_vswr=RU2_vswr ru3_vswr=RU3_vswr temp_sensor1_value_c "
-                "humidity_percent=Humd_sensor_value_percent gen_fuel_level_percent link1_latency_ms "
-                "link1_packet_loss_percent",
-            count="snapshot_count=*")),
+        {
+            "site_id": "site_id", "ran_key": "RAN_key", "date_key": "date_key", "time_key": "time_key",
+            "power_status": "power_status", "env_status": "env_status", "smoke_detected": "smoke_detected",
+            "door_status": "door_status", "generator_status": "generator_status", "snapshot_ts": "timestamp",
+        },
+        {
+            "bbu_cpu_utilization_percent": Measure("BBU_cpu_utilization_percent", "avg"),
+            "bbu_memory_utilization_percent": Measure("BBU_memory_utilization_percent", "avg"),
+            "battery1_charge_percent": Measure("battery1_charge_percent", "avg"),
+            "rect1_output_voltage_volt": Measure("rect1_output_voltage_volt", "avg"),
+            "ru1_temperature_c": Measure("RU1_temperature_c", "avg"),
+            "ru2_temperature_c": Measure("RU2_temperature_c", "avg"),
+            "ru3_temperature_c": Measure("RU3_temperature_c", "avg"),
+            "ru1_vswr": Measure("RU1_vswr", "avg"),
+            "ru2_vswr": Measure("RU2_vswr", "avg"),
+            "ru3_vswr": Measure("RU3_vswr", "avg"),
+            "temp_sensor1_value_c": Measure("temp_sensor1_value_c", "avg"),
+            "humidity_percent": Measure("Humd_sensor_value_percent", "avg"),
+            "gen_fuel_level_percent": Measure("gen_fuel_level_percent", "avg"),
+            "link1_latency_ms": Measure("link1_latency_ms", "avg"),
+            "link1_packet_loss_percent": Measure("link1_packet_loss_percent", "avg"),
+            "snapshot_count": Measure(None, "count"),
+        }),
     "alarm": LogicalTable(
         "Fact_Alarms", None,
-        _dims("site_key component_key severity alarm_category alarm_msg date_key time_key "
-              "alarm_ts=snapshot_time"),
-        _measures(count="alarm_count=*")),
+        {
+            "site_key": "site_key", "component_key": "component_key", "severity": "severity",
+            "alarm_category": "alarm_category", "alarm_msg": "alarm_msg", "date_key": "date_key",
+            "time_key": "time_key", "alarm_ts": "snapshot_time",
+        },
+        {
+            "alarm_count": Measure(None, "count"),
+        }),
     "ml_predictions": LogicalTable(
         "Fact_ML_Predictions", None,
-        _dims("site_id cell_id predicted_failure risk_level prediction_date observation_ts=timestamp_col"),
-        _measures(avg="failure_probability", count="prediction_count=*")),
+        {
+            "site_id": "site_id", "cell_id": "cell_id", "predicted_failure": "predicted_failure",
+            "risk_level": "risk_level", "prediction_date": "prediction_date", "observation_ts": "timestamp_col",
+        },
+        {
+            "failure_probability": Measure("failure_probability", "avg"),
+            "prediction_count": Measure(None, "count"),
+        }),
 }
 RELATIONSHIPS = [
     Relationship("cell_performance", "ran_key", "site", "site_sk"),
@@ -144,35 +214,51 @@ RELATIONSHIPS = [
     Relationship("ml_predictions", "site_id", "site", "site_id"),
     Relationship("ml_predictions", "prediction_date", "date", "full_date"),
 ]
-# Business names the naming rules below do not yield, English then Arabic.
-# Further names can be passed to the model.
+# Business names, English then Arabic, in model order. Names that
+# the naming rules yield (spaces for underscores, no unit) are not repeated;
+# further ones are a parameter of the model.
 SYNONYMS = {
-    "site.site_name": ["tower", "tower name", "البرج", "اسم البرج", "الموقع"],
     "site.site_id": ["site code", "معرف الموقع"],
+    "site.site_name": ["tower", "tower name", "site", "البرج", "اسم البرج", "الموقع"],
     "site.region": ["governorate", "province", "city", "area", "المحافظة", "المنطقة", "المدينة"],
     "site.vendor": ["manufacturer", "المورد", "الشركة المصنعة"],
     "site.latitude": ["lat"],
     "site.longitude": ["lon", "lng"],
     "site.site_count": ["number of sites", "total sites", "how many sites", "عدد المواقع"],
-    "cell.cell_id": ["cell", "الخلية"],
-    "cell.sector_id": ["sector", "القطاع"],
-    "cell.technology": ["radio tech", "generation", "التقنية", "الجيل"],
-    "cell.bandwidth_mhz": ["bandwidth", "عرض النطاق"],
+    "cell.cell_id": ["الخلية"],
+    "cell.sector_id": ["القطاع"],
+    "cell.technology": ["radio tech", "generation", "4g", "5g", "التقنية", "الجيل"],
+    "cell.bandwidth_mhz": ["عرض النطاق"],
     "cell.carrier_frequency_mhz": ["frequency", "carrier", "التردد"],
     "cell.cell_count": ["number of cells", "total cells", "how many cells", "عدد الخلايا"],
-    "radio_unit.ru_count": ["number of radio units", "عدد وحدات الراديو"],
-    "antenna.antenna_count": ["number of antennas", "عدد الهوائيات"],
+    "radio_unit.ru_id": ["radio unit", "وحدة الراديو"],
+    "radio_unit.ru_count": ["number of radio units", "total radio units", "عدد وحدات الراديو"],
+    "antenna.antenna_id": ["الهوائي"],
+    "antenna.mimo_layers": ["mimo", "layers"],
+    "antenna.azimuth_degree": ["bearing", "زاوية السمت"],
+    "antenna.tilt_degree": ["downtilt", "الإمالة"],
+    "antenna.antenna_count": ["number of antennas", "total antennas", "عدد الهوائيات"],
     "link.link_type": ["transport", "backhaul", "النقل", "نوع الوصلة"],
-    "link.link_count": ["number of links", "عدد الروابط"],
+    "link.link_count": ["number of links", "total links", "عدد الروابط"],
     "date.year": ["السنة"],
-    "date.month_name": ["الشهر"],
-    "date.quarter_name": ["الربع"],
-    "date.full_date": ["date", "calendar date", "التاريخ", "اليوم"],
+    "date.month_name": ["month", "الشهر"],
+    "date.quarter": ["الربع"],
+    "date.quarter_name": ["quarter", "اسم الربع"],
+    "date.day_of_month": ["day", "اليوم"],
     "date.day_of_week": ["weekday", "يوم الأسبوع"],
     "date.week_of_year": ["week", "الأسبوع"],
+    "date.full_date": ["date", "day", "calendar date", "التاريخ", "اليوم"],
     "time_of_day.hour": ["hour of day", "الساعة"],
-    "time_of_day.day_part": ["part of day", "فترة اليوم"],
+    "time_of_day.time_label": ["time", "clock time", "الوقت"],
+    "time_of_day.day_part": ["part of day", "morning afternoon evening", "فترة اليوم"],
     "time_of_day.business_hours": ["working hours", "ساعات العمل"],
+    "cell_performance.ran_key": ["ran node", "node", "العقدة"],
+    "cell_performance.cell_status": ["status", "حالة الخلية"],
+    "cell_performance.op_state": ["operational state", "الحالة التشغيلية"],
+    "cell_performance.congestion_flag": ["congested", "congestion", "الازدحام"],
+    "cell_performance.snapshot_ts": ["time", "snapshot time", "الوقت"],
+    "cell_performance.site_count": ["number of sites", "total sites", "how many sites", "عدد المواقع", "sites"],
+    "cell_performance.cell_count": ["number of cells", "total cells", "how many cells", "عدد الخلايا", "cells"],
     "cell_performance.rsrp_dbm": ["signal strength", "قوة الإشارة"],
     "cell_performance.rsrq_db": ["signal quality", "جودة الإشارة"],
     "cell_performance.sinr_db": ["signal to noise", "نسبة الإشارة للضوضاء"],
@@ -186,8 +272,7 @@ SYNONYMS = {
     "cell_performance.latency_uplink_ms": ["uplink latency", "زمن الاستجابة للرفع"],
     "cell_performance.rrc_connection_attempts": ["rrc attempts", "connection attempts", "محاولات الاتصال"],
     "cell_performance.rrc_success_rate_percent": ["rrc success", "connection success", "نسبة نجاح الاتصال"],
-    "cell_performance.erab_setup_success_rate_percent": ["erab success", "bearer setup success",
-                                                        "نجاح إعداد الحامل"],
+    "cell_performance.erab_setup_success_rate_percent": ["erab success", "bearer setup success", "نجاح إعداد الحامل"],
     "cell_performance.call_drop_rate_percent": ["drop rate", "dropped calls", "معدل انقطاع المكالمات"],
     "cell_performance.abnormal_release_rate_percent": ["abnormal release", "معدل الإنهاء غير الطبيعي"],
     "cell_performance.bler_downlink_percent": ["downlink block error rate", "معدل خطأ الكتلة للتنزيل"],
@@ -199,22 +284,44 @@ SYNONYMS = {
     "cell_performance.connected_users": ["users", "subscribers", "المستخدمون"],
     "cell_performance.active_users": ["المستخدمون النشطون"],
     "cell_performance.peak_users": ["max users", "ذروة المستخدمين"],
-    "equipment_health.bbu_cpu_utilization_percent": ["bbu cpu", "استخدام المعالج"],
-    "equipment_health.bbu_memory_utilization_percent": ["bbu memory", "استخدام الذاكرة"],
+    "cell_performance.snapshot_count": ["records", "number of snapshots", "عدد القياسات"],
+    "equipment_health.site_id": ["tower", "البرج", "الموقع"],
+    "equipment_health.ran_key": ["ran node", "site node", "tower node", "node", "عقدة الشبكة"],
+    "equipment_health.power_status": ["power", "حالة الطاقة"],
+    "equipment_health.env_status": ["environment status", "حالة البيئة"],
+    "equipment_health.smoke_detected": ["smoke", "fire alarm", "كشف الدخان"],
+    "equipment_health.door_status": ["door", "حالة الباب"],
+    "equipment_health.generator_status": ["generator", "المولد"],
+    "equipment_health.snapshot_ts": ["time", "snapshot time", "الوقت"],
+    "equipment_health.bbu_cpu_utilization_percent": ["bbu cpu", "cpu utilization", "استخدام المعالج"],
+    "equipment_health.bbu_memory_utilization_percent": ["bbu memory", "memory utilization", "استخدام الذاكرة"],
     "equipment_health.battery1_charge_percent": ["battery charge", "battery level", "شحن البطارية"],
     "equipment_health.rect1_output_voltage_volt": ["rectifier voltage", "جهد المقوم"],
+    "equipment_health.ru1_temperature_c": ["radio unit 1 temperature", "حرارة وحدة الراديو 1"],
+    "equipment_health.ru2_temperature_c": ["radio unit 2 temperature", "حرارة وحدة الراديو 2"],
+    "equipment_health.ru3_temperature_c": ["radio unit 3 temperature", "حرارة وحدة الراديو 3"],
+    "equipment_health.ru1_vswr": ["standing wave ratio"],
     "equipment_health.temp_sensor1_value_c": ["site temperature", "ambient temperature", "درجة الحرارة"],
     "equipment_health.humidity_percent": ["الرطوبة"],
     "equipment_health.gen_fuel_level_percent": ["generator fuel", "fuel level", "مستوى الوقود"],
     "equipment_health.link1_latency_ms": ["backhaul latency", "transport latency", "زمن الاستجابة"],
     "equipment_health.link1_packet_loss_percent": ["packet loss", "فقد الحزم"],
+    "equipment_health.snapshot_count": ["records", "عدد القياسات"],
+    "alarm.site_key": ["tower key"],
+    "alarm.component_key": ["component", "المكون"],
     "alarm.severity": ["alarm severity", "priority", "الخطورة", "الأولوية"],
-    "alarm.alarm_category": ["alarm type", "نوع الإنذار", "فئة الإنذار"],
-    "alarm.alarm_count": ["number of alarms", "alarms", "عدد الإنذارات"],
-    "ml_predictions.risk_level": ["risk", "risk category", "مستوى الخطر"],
+    "alarm.alarm_category": ["category", "alarm type", "نوع الإنذار", "فئة الإنذار"],
+    "alarm.alarm_msg": ["message", "description", "رسالة الإنذار"],
+    "alarm.alarm_ts": ["alarm time", "raised at", "وقت الإنذار"],
+    "alarm.alarm_count": ["number of alarms", "alarms", "count", "عدد الإنذارات"],
+    "ml_predictions.site_id": ["tower", "البرج", "الموقع"],
+    "ml_predictions.cell_id": ["الخلية"],
     "ml_predictions.predicted_failure": ["failure flag", "will fail", "توقع فشل"],
-    "ml_predictions.failure_probability": ["failure prob", "failure risk", "احتمال الفشل"],
-    "ml_predictions.prediction_count": ["predictions", "عدد التوقعات"],
+    "ml_predictions.risk_level": ["risk", "risk category", "مستوى الخطر"],
+    "ml_predictions.prediction_date": ["prediction day", "forecast date", "تاريخ التوقع"],
+    "ml_predictions.observation_ts": ["observation time", "kpi timestamp", "وقت القياس"],
+    "ml_predictions.failure_probability": ["failure prob", "failure risk", "probability", "احتمال الفشل"],
+    "ml_predictions.prediction_count": ["predictions", "number of predictions", "عدد التوقعات"],
 }
 
 
@@ -224,16 +331,22 @@ class SemanticModel:
                  synonyms: Mapping[str, Sequence[str]] = SYNONYMS):
         self.tables = dict(tables)
         self.relationships = list(relationships)
-        self._names: dict[str, list[str]] = {}
+        # Name -> readings and how directly each is meant: by its own name (0),
+        # as a business name (1), or by the naming rules (2).
+        self._names: dict[str, dict[str, int]] = {}
+
+        def add(name: str, full: str, rank: int) -> None:
+            known = self._names.setdefault(name.casefold(), {})
+            known[full] = min(rank, known.get(full, rank))
+
         for table, spec in self.tables.items():
             for logical in [*spec.dimensions, *spec.measures]:
+                full = f"{table}.{logical}"
                 for name in self._spoken(table, logical):
-                    self._names.setdefault(name, []).append(f"{table}.{logical}")
+                    add(name, full, 0 if name in (full.casefold(), logical.casefold()) else 2)
         for full, names in synonyms.items():
             for name in names:
-                known = self._names.setdefault(name.casefold(), [])
-                if full not in known:
-                    known.insert(0, full)
+                add(name, full, 1)
 
     @staticmethod
     def _spoken(table: str, logical: str) -> set[str]:
@@ -246,32 +359,50 @@ class SemanticModel:
         return {f.casefold() for f in forms}
 
     # -- names -----------------------------------------------------------------
-    def candidates(self, name: str) -> list[str]:
-        found = self._names.get(name.strip().casefold(), [])
+    def candidates(self, name: str) -> dict[str, int]:
+        found = self._names.get(name.strip().casefold())
         if not found:
             raise UnknownName(f"unknown name: {name}")
         return found
 
-    def resolve_measure(self, name: str) -> tuple[str, str]:
-        options = [c.split(".") for c in self.candidates(name)]
-        measures = [(t, m) for t, m in options if m in self.tables[t].measures]
-        if not measures:
-            raise UnknownName(f"not a measure: {name}")
-        return measures[0]
+    @staticmethod
+    def _only(name: str, ranked: list[tuple]) -> tuple[str, str]:
+        """The reading that ranks first; two that rank alike are an error."""
+        ranked.sort()
+        if len(ranked) > 1 and ranked[0][:-2] == ranked[1][:-2]:
+            raise UnknownName(f"{name} is ambiguous: " + ", ".join(f"{r[-2]}.{r[-1]}" for r in ranked if r[:-2] == ranked[0][:-2]))
+        return ranked[0][-2], ranked[0][-1]
+
+    def resolve_measure(self, name: str, by: Sequence[str] = (), tables: Sequence[str] = ()) -> tuple[str, str]:
+        """The table is one of ``tables`` (those already asked for) if it can be,
+        else the one nearest to the dimensions ``by``."""
+        ranked = []
+        for option, rank in self.candidates(name).items():
+            table, logical = option.split(".")
+            if logical not in self.tables[table].measures:
+                continue
+            steps = 0
+            try:
+                for d in by:
+                    steps += len(self.path(table, self.resolve_dimension(d, table)[0]))
+            except UnknownName:
+                continue
+            ranked.append((table not in tables, steps, rank, table, logical))
+        if not ranked:
+            raise UnknownName(f"not a measure of a table that has {', '.join(by) or 'any'}: {name}")
+        return self._only(name, ranked)
 
     def resolve_dimension(self, name: str, base: str) -> tuple[str, str]:
         """The reading of ``name`` closest to ``base`` along relationships."""
-        best: tuple[int, str, str] | None = None
-        for option in self.candidates(name):
+        ranked = []
+        for option, rank in self.candidates(name).items():
             table, logical = option.split(".")
-            if logical not in self.tables[table].dimensions:
-                continue
-            path = self.path(base, table)
-            if path is not None and (best is None or len(path) < best[0]):
-                best = (len(path), table, logical)
-        if best is None:
+            path = self.path(base, table) if logical in self.tables[table].dimensions else None
+            if path is not None:
+                ranked.append((len(path), rank, table, logical))
+        if not ranked:
             raise UnknownName(f"{name} cannot be reached from {base} by many-to-one joins")
-        return best[1], best[2]
+        return self._only(name, ranked)
 
     def path(self, start: str, goal: str) -> list[Relationship] | None:
         """Shortest chain of many-to-one steps."""
@@ -298,8 +429,9 @@ class SemanticModel:
         ``inner`` drops facts without a dimension row.
         """
         per_fact: dict[str, list[str]] = {}
+        asked = [*by, *(where or {})]
         for m in measures:
-            table, logical = self.resolve_measure(m)
+            table, logical = self.resolve_measure(m, asked, list(per_fact))
             per_fact.setdefault(table, []).append(logical)
         parts = [
             self._aggregate(frames, table, logicals, by, where or {}, inner)
@@ -310,7 +442,7 @@ class SemanticModel:
             if other != keys:
                 raise UnknownName("the measures share no reading of the dimensions")
             out = self._merge(out, part, keys)
-        order = [F.desc(order_by if order_by in out.columns else self.resolve_measure(order_by)[1])] \
+        order = [F.desc(order_by if order_by in out.columns else self.resolve_measure(order_by, asked, list(per_fact))[1])] \
             if order_by else []
         if order or limit is not None:
             out = out.orderBy(*order, *keys)
