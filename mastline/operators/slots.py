@@ -44,5 +44,7 @@ def slot_pivot(components: DataFrame, group: Sequence[str], component: str, slot
     a single shuffle.
     """
     numbered = number_slots(components, group, component)
+    if surplus is None:  # nobody asks for the rest: a group limit stops it before the shuffle
+        numbered = numbered.where(F.col("slot") <= slots)
     beyond = [F.greatest(F.max("slot") - slots, F.lit(0)).cast("long").alias(surplus)] if surplus else []
     return numbered.groupBy(*group).agg(*slot_columns(slots, columns), *beyond)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from mastline.operators.blocks import plain_keys
+
 
 def first_known(column: str, order: Sequence[str]) -> Column:
     """First non-null value by an explicit order, instead of arrival order."""
@@ -44,13 +46,15 @@ def trend(df: DataFrame, ts: str, measure: str, name: str | None = None) -> Data
     return df.groupBy(ts).agg(F.avg(measure).alias(name or measure))
 
 
-def network_kpis(cells: DataFrame) -> DataFrame:
+def network_kpis(cells: DataFrame, feed: DataFrame) -> DataFrame:
+    """One row over the latest cells, with the critical alerts of the feed."""
+    critical = feed.agg(F.count_if(F.col("severity") == "CRITICAL")).scalar()
     return cells.agg(
         F.coalesce(F.sum("users"), F.lit(0)).alias("active_users"),
         F.count_if(F.col("cell_status") == "UP").alias("cells_up"),
         F.count(F.lit(1)).alias("cells_total"),
         F.avg("sinr").alias("avg_sinr"), F.avg("battery_charge").alias("avg_battery"),
-    )
+    ).withColumn("critical_alerts", critical)
 
 
 def overview(rows: DataFrame) -> DataFrame:
@@ -91,35 +95,39 @@ def linear_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
         F.try_divide(F.col("_xy"), F.sqrt(spread)).alias("correlation"))
 
 
+#: Value ranges per group of ``quantiles``.
+RANGES = 64
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], column: str, probabilities: Mapping[str, float],
               chunk_width: float | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles per group.
 
     Rows are first reduced to counts per (group, value), before the shuffle.
-    Positions are then running sums over the distinct values; ``chunk_width``
-    splits a group with very many distinct values into value ranges, joined up
-    by one count row per range.
+    Positions are then running sums over the distinct values. Value ranges
+    split a group's values, joined up by one count row per range: ranges of
+    ``chunk_width``, or else ``RANGES`` per group with about as many distinct
+    values each, found by a sketch. The result does not depend on the ranges.
     """
-    chunk = F.floor(F.col(column) / chunk_width) if chunk_width else F.lit(0)
-    values = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_chunk", chunk)
-    )
-    per_chunk = values.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_rows"))
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    values = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    values, plain = plain_keys(values, keys)
+    if chunk_width:
+        values = values.withColumn("_chunk", F.floor(F.col(column) / chunk_width))
+    else:
+        cuts = F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts")
+        values = values.join(values.groupBy(*plain).agg(cuts), plain) if keys else values.withColumn("_cuts", values.agg(cuts).scalar())
+        values = values.withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
+    per_chunk = values.groupBy(*plain, "_chunk").agg(F.sum("_n").alias("_rows"))
+    by_chunk = Window.partitionBy(*plain).orderBy("_chunk")
     offsets = per_chunk.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"),
+        *plain, "_chunk",
         F.coalesce(F.sum("_rows").over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         .alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*keys)).alias("_total"),
+        F.sum("_rows").over(Window.partitionBy(*plain)).alias("_total"),
     )
-    match = F.col("_chunk") == F.col("_c")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(column).rowsBetween(
+    inside = Window.partitionBy(*plain, "_chunk").orderBy(column).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    placed = values.withColumn("_upto", F.sum("_n").over(inside)).join(offsets, match)
+    placed = values.withColumn("_upto", F.sum("_n").over(inside)).join(offsets, [*plain, "_chunk"])
     end = F.col("_before") + F.col("_upto")
     start = end - F.col("_n")
 

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_silver(tables: Mapping[str, DataFrame], base: str) -> None:
-    """Append every normalized table, one folder per region value.
+def write_silver(tables: Mapping[str, DataFrame], base: str, load: int | None = None) -> None:
+    """Write every normalized table, one folder per region value.
 
-    Tasks write what they hold, without a repartition by region: a region
-    holding most of the rows keeps as many writers as it has input tasks.
+    A rebalance brings a region's rows together, so files are few, and splits
+    large regions again. With the number of a ``load``, rows go to that load's
+    own folder, which a retry overwrites; without one they are appended.
     """
     for name, frame in tables.items():
-        frame.write.mode("append").partitionBy("region").parquet(f"{base.rstrip('/')}/{name}")
+        path = f"{base.rstrip('/')}/{name}" + ("" if load is None else f"/load={load}")
+        frame.hint("rebalance", "region").write.mode("append" if load is None else "overwrite").partitionBy("region").parquet(path)
 
 
 def write_gold(
@@ -27,9 +29,12 @@ def write_gold(
 ) -> None:
     """Overwrite a dimension or fact; ``dynamic`` replaces only touched partitions.
 
-    No repartition by the partition column: a date holding a third of the rows
-    would go to one task. Sorting inside tasks keeps one open file per task.
+    A rebalance brings a partition's rows together, so files are few, and splits
+    a date that holds a third of all rows. Sorting inside tasks keeps one open
+    file per task.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     if partition_by or sort_within:
         df = df.sortWithinPartitions(*partition_by, *sort_within)
     writer = df.write.mode("overwrite")
@@ -122,9 +127,11 @@ def backfill_chunks(
 
 
 def write_backfill(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Land chunks as JSON by hour; hours already present are kept unless ``overwrite``."""
+    """Land chunks as JSON by hour; hours already present are kept unless ``overwrite``.
+    Rows outside the windows have no hour to go to; they stay visible in ``df``
+    under their own key and are not landed."""
     spark = df.sparkSession
-    framed = hour_partitions(df, "chunk_start").drop("chunk_start", "chunk_key")
+    framed = hour_partitions(df.where(F.col("chunk_start").isNotNull()), "chunk_start").drop("chunk_start", "chunk_key")
     if overwrite:
         (
             framed.write.partitionBy(*HOUR_LAYOUT).mode("overwrite")

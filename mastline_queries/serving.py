@@ -335,13 +335,6 @@ def site_map(spark, sf):
     return stats.site_map(latest_cells(spark, sf))
 
 
-@register("network_kpis", Q.query(Q.MSG, LIVE_CELLS, LATEST_CELLS, select="""
-SELECT CAST(sum(users) AS BIGINT) AS active_users, count(*) FILTER (WHERE cell_status = 'UP') AS cells_up,
-  count(*) AS cells_total, avg(sinr) AS avg_sinr, avg(battery_charge) AS avg_battery FROM latest_cells"""))
-def network_kpis(spark, sf):
-    return stats.network_kpis(latest_cells(spark, sf))
-
-
 @register("overview", Q.query(Q.MSG, LIVE_CELLS, select=f"""
 SELECT count(DISTINCT site_id) AS sites, CAST(sum(users) AS BIGINT) AS users, {Q.rnd('avg(sinr)', 2)} AS avg_sinr,
   {Q.rnd('avg(rsrp)', 2)} AS avg_rsrp, count(*) FILTER (WHERE alert_severity = 'CRITICAL') AS critical_alerts
@@ -613,6 +606,14 @@ def alert_feed(spark, sf):
     return feed(spark, sf)
 
 
+@register("network_kpis", Q.query(*FEED, select="""
+SELECT CAST(sum(users) AS BIGINT) AS active_users, count(*) FILTER (WHERE cell_status = 'UP') AS cells_up,
+  count(*) AS cells_total, avg(sinr) AS avg_sinr, avg(battery_charge) AS avg_battery,
+  (SELECT count(*) FROM feed WHERE severity = 'CRITICAL') AS critical_alerts FROM latest_cells"""))
+def network_kpis(spark, sf):
+    return stats.network_kpis(latest_cells(spark, sf), feed(spark, sf))
+
+
 @register("alert_feed_top", Q.query(*FEED, select=f"""
 SELECT severity, category, site, message, {Q.stamp('feed.time')} AS time FROM feed
 ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END,

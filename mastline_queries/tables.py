@@ -204,6 +204,39 @@ def new_files(spark, sf):
     return files.new_files(o, o.where(F.col("o_orderstatus") == "F"))
 
 
+@register("incremental_silver", Q.query(Q.MSG, Q.CELLS, select="""
+SELECT site_id, count(*) AS rows, count(DISTINCT message_id) AS messages, CAST(sum(active_users) AS BIGINT) AS active_users,
+  sum(CASE WHEN message_id IS NULL THEN NULL ELSE sequence_number % 2 END) AS second_load FROM cells GROUP BY site_id"""))
+def incremental_silver(spark, sf):
+    """Snapshots as JSON files that arrive in two parts; each load reads only the new part."""
+    root = scratch_path(spark, "incremental")
+    odd = F.col("sequence_number") % 2
+    for part in (0, 1):
+        ST.raw(spark, sf).drop("source_file").where(odd == part).write.json(f"{root}/landed/part={part}")
+        jobs.load_new_snapshots(spark, f"{root}/landed", f"{root}/silver", f"{root}/log", f"{root}/manifest")
+    cells = files.read_table(spark, f"{root}/silver", "cells")
+    return cells.groupBy("site_id").agg(
+        F.count("*").alias("rows"), F.count_distinct("message_id").alias("messages"), F.sum("active_users").alias("active_users"),
+        F.sum(F.when(F.col("load") > 0, 1).otherwise(0)).alias("second_load"))
+
+
+@register("registered_views", """
+SELECT n_regionkey, count(*) AS nations, min(n_name) AS first_name FROM nation GROUP BY n_regionkey""")
+def registered_views(spark, sf):
+    root = scratch_path(spark, "views")
+    I.table(spark, sf, "nation").write.parquet(f"{root}/nation_view")
+    files.register_tables(spark, root, ["nation_view"])
+    return spark.sql("SELECT n_regionkey, count(*) AS nations, min(n_name) AS first_name FROM nation_view GROUP BY n_regionkey")
+
+
+@register("partition_rows", Q.query(Q.MSG, Q.CELLS, *W.fact_cells_ctes(), select="""
+SELECT cell_key, count(*) AS total FROM fact_cells WHERE gold_date = DATE '2026-01-01' GROUP BY cell_key"""))
+def partition_rows(spark, sf):
+    root = scratch_path(spark, "partitions")
+    sinks.write_gold(ST.star(spark, sf)["Fact_Cells"], root, ["gold_date"])
+    return files.read_partition(spark, root, "2026-01-01").groupBy("cell_key").agg(F.count("*").alias("total"))
+
+
 @register("landing_layout", """
 SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H') AS hour,
   count(*) AS total FROM events GROUP BY ALL""")

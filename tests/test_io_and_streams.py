@@ -63,6 +63,7 @@ def test_backfill_windows_and_skip(spark, tmp_path):
     chunks = sinks.backfill_chunks(df, "t", "ran_telemetry")
     keys = sorted(r["chunk_key"] for r in chunks.collect())
     assert keys == [
+        "ran_telemetry/outside_windows",  # kept under a key of their own
         "ran_telemetry/year=2026/month=01/day=01/hour=00/ran_telemetry_20260101_00.json",
         "ran_telemetry/year=2026/month=01/day=01/hour=12/ran_telemetry_20260101_1215.json"]
     out = str(tmp_path / "landing")
