@@ -42,7 +42,7 @@ def test_alert_value_split(spark, land, value, num, token):
 
 def test_facts_of_the_sample(spark, land):
     star = gold.build_gold(N.normalize_snapshots(files.read_snapshots(spark, land(message()))))
-    assert len(star["Fact_RAN"].columns) == 117 and len(star["Fact_Cells"].columns) == 36
+    assert len(star["Fact_RAN"].columns) == 117 + 6 and len(star["Fact_Cells"].columns) == 36
     cells = {r["sector_bk"]: r for r in star["Fact_Cells"].collect()}
     assert [cells[s]["traffic_volume_gb"] for s in ("S1", "S2", "S3")] == [27.018, 30.538, 31.224]
     assert [cells[s]["handover_success_rate_percent"] for s in ("S1", "S2", "S3")] == [96.86, 96.91, 97.4]
