@@ -18,7 +18,8 @@ STATES = (
     "CASE WHEN {x} < 11 THEN 'HEALTHY' WHEN {x} < 13 THEN 'DEGRADED' "
     "WHEN {x} = 13 THEN 'RECOVERING' ELSE 'FAILED' END"
 )
-STATUS = "CASE WHEN {x} < 14 THEN 'UP' ELSE 'DOWN' END"
+#: Follows the state but for one component in thirty: down though not failed, or up though failed.
+STATUS = "CASE WHEN {own} = 7 THEN 'DOWN' WHEN {own} = 8 OR {x} < 14 THEN 'UP' ELSE 'DOWN' END"
 
 
 def state_code(offset: int) -> str:
@@ -30,7 +31,7 @@ def state(offset: int) -> str:
 
 
 def status(offset: int) -> str:
-    return STATUS.format(x=state_code(offset))
+    return STATUS.format(x=state_code(offset), own=f"((h + {offset} * 29) % 61)")
 
 
 def kpi(offset: int, turn: int, span: int, base: float = 0.0) -> str:

@@ -487,10 +487,11 @@ def derived_alert_sql() -> str:
         for i in range(1, n + 1):
             c = make(i)
             st, comp = c["op_state"], c[key]
+            down = f"(COALESCE(({st}) = 'FAILED', FALSE) OR COALESCE(({c['status']}) = 'DOWN', FALSE))"
             for op, sev, code, word in [("FAILED", "CRITICAL", "COMPONENT_DOWN", "down"),
                                         ("DEGRADED", "WARNING", "COMPONENT_DEGRADED", "degraded"),
                                         ("RECOVERING", "INFO", "COMPONENT_RECOVERING", "recovering")]:
-                add(f"{I.PRESENT} AND ({st}) = '{op}'", f"'{sev}'", category, kind, comp, f"'{code}'",
+                add(f"{I.PRESENT} AND " + (down if op == "FAILED" else f"NOT {down} AND ({st}) = '{op}'"), f"'{sev}'", category, kind, comp, f"'{code}'",
                     f"concat('{kind} ', {comp}, ' is {word}')", f"({st})")
     s = I.SITE
     fuel = s["fuel_level_pct"]
