@@ -81,6 +81,7 @@ def _level(x: np.ndarray, off: np.ndarray, level: int) -> tuple[np.ndarray, np.n
     label = _labels(y, np.flatnonzero(edge[:-1]))
     peak = np.zeros(len(y), bool)
     peak[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])
+    peak[off[1:][off[1:] > 0] - 1] = False  # a text's last symbol has no right neighbour
     begin = np.flatnonzero(peak | edge[:-1])
     return _names(y, begin, 2 * level + 1), np.searchsorted(begin, off)
 
