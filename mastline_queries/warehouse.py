@@ -566,8 +566,25 @@ def model_features(spark, sf):
     return out.withColumns({c: F.round(c, 8) for c in soft})
 
 
-@register("aligned_feature_totals", None)
+EDGE = 0.0001234  # no feature's step or mean falls next to it
+
+
+def aligned_select() -> str:
+    """Per cell number: how many values of each manifest feature are positive and negative; absent ones are 0."""
+    made = set(features.METRICS) | {"hour_of_day", "day_of_week", "day_of_month", "month", "is_weekend", "is_night"}
+    m = features.Manifest()
+    made |= {f"{k}_roll{n}_{x}" for k in m.roll_kpis for n in m.roll_windows for x in ("mean", "std", "max", "min")}
+    made |= {f"{k}_lag{n}" for k in m.lag_kpis for n in m.lag_steps} | {f"{k}_delta{n}" for k in m.delta_kpis for n in m.delta_steps}
+    cols = []
+    for c in m.feature_columns:
+        for sign, test in (("pos", f"> {EDGE}"), ("neg", f"< -{EDGE}")):
+            cols.append((f"count(*) FILTER (WHERE {c} {test})" if c in made else "0") + f" AS {c}_{sign}" if c != "cell_id" else "")
+    return "SELECT cell_id AS key_cell_id, " + ", ".join(filter(None, cols)) + " FROM feat GROUP BY cell_id"
+
+
+@register("aligned_feature_totals", Q.query(Q.MSG, Q.CELLS, *wide_ctes(), *LONG, *feature_select(), select=aligned_select()))
 def aligned(spark, sf):
     rows = features.align_features(features.build_features(wide_to_long(spark, sf)))
-    names = features.Manifest().feature_columns
-    return rows.groupBy("key_cell_id").agg(*[F.round(F.sum(c), 2).alias(c) for c in names if c != "cell_id"])
+    names = [c for c in features.Manifest().feature_columns if c != "cell_id"]
+    return rows.groupBy("key_cell_id").agg(*[x for c in names for x in (
+        F.count_if(F.col(c) > EDGE).alias(f"{c}_pos"), F.count_if(F.col(c) < -EDGE).alias(f"{c}_neg"))])
