@@ -8,6 +8,7 @@ from mastline.functions import scalars as S
 from mastline.operators import normalize as N
 from mastline.operators import predictions as P
 from mastline.plans import features, gold, semantic
+from mastline_queries import layout
 from mastline_queries import inputs as I
 from mastline_queries import sqltext as Q
 from mastline_queries import staging as ST
@@ -152,7 +153,7 @@ def dim_time(spark, sf):
 BUCKETED = "SELECT *, {b} AS b FROM {t} WHERE snapshot_time IS NOT NULL"
 
 
-def part_ctes(p: gold.Part, tag: str) -> list[str]:
+def part_ctes(p: layout.Part, tag: str) -> list[str]:
     """SQL of one part of the wide fact, in the window style."""
     where = f" AND {p.where[0]} = '{p.where[1]}'" if p.where else ""
     ctes = [f"{tag}_b AS ({BUCKETED.format(b=Q.bucket(), t=p.table)}{where})"]
@@ -187,11 +188,11 @@ INPUT_CTES = [Q.MSG, Q.SITES, Q.SENSORS, Q.RADIOS, Q.BASEBANDS, Q.ANTENNAS, Q.LI
 
 
 def fact_ran_ctes() -> list[str]:
-    out = part_ctes(gold.SITE_PART, "p")
-    for i, p in enumerate(gold.JOINED_PARTS):
+    out = part_ctes(layout.SITE, "p")
+    for i, p in enumerate(layout.JOINED):
         out += part_ctes(p, f"q{i}")
-    joins = " ".join(f"LEFT JOIN q{i} USING (site_id, b)" for i in range(len(gold.JOINED_PARTS)))
-    surplus = ", ".join(f'coalesce("{c}", 0) AS "{c}"' for c in gold.SURPLUS_COLUMNS)
+    joins = " ".join(f"LEFT JOIN q{i} USING (site_id, b)" for i in range(len(layout.JOINED)))
+    surplus = ", ".join(f'coalesce("{c}", 0) AS "{c}"' for c in (p.surplus for p in layout.JOINED if p.surplus))
     out.append(
         f"fact_ran AS (SELECT md5(concat_ws('|', site_id, {Q.stamp('b')})) AS \"RAN_sk\", "
         f"CAST(strftime(b, '%Y%m%d') AS BIGINT) AS date_key, {Q.stamp('b')} AS timestamp, "
@@ -200,9 +201,9 @@ def fact_ran_ctes() -> list[str]:
     return out
 
 
-@register("fact_ran_surplus", Q.query(*INPUT_CTES, *[c for i, p in enumerate(gold.JOINED_PARTS) if p.slots for c in part_ctes(p, f"q{i}")], select=" UNION ALL ".join(
+@register("fact_ran_surplus", Q.query(*INPUT_CTES, *[c for i, p in enumerate(layout.JOINED) if p.slots for c in part_ctes(p, f"q{i}")], select=" UNION ALL ".join(
     f"SELECT '{p.surplus}' AS part, site_id, {Q.stamp('b')} AS timestamp, {p.component} AS component, CAST(slot AS BIGINT) AS slot FROM q{i}_r WHERE slot > {p.slots}"
-    for i, p in enumerate(gold.JOINED_PARTS) if p.slots)))
+    for i, p in enumerate(layout.JOINED) if p.slots)))
 def fact_ran_surplus(spark, sf):
     return gold.surplus_components(ST.all_silver(spark, sf)).drop("readings")
 
@@ -216,7 +217,7 @@ def fact_cells_ctes() -> list[str]:
     keys = "site_id, cell_id, b"
     means = ", ".join(
         Q.rnd(f"avg({c})", 3 if c == "spectral_efficiency_bps_per_hz" else 2) + f" AS {c}"
-        for c in gold.CELL_MEANS)
+        for c in layout.CELL_MEANS)
     return [
         f"cb AS ({BUCKETED.format(b=Q.bucket(), t='cells')})",
         Q.mode("ms", "cb", keys, "cell_status"), Q.mode("mo", "cb", keys, "cell_op_state", "op_state"),
@@ -464,14 +465,14 @@ HOURLY_KEYS = "site_id, cell_id, hour_ts"
 
 def hourly_ctes() -> list[str]:
     cols = []
-    for m in features.METRICS:
+    for m in layout.METRICS:
         if m in ("status", "op_state"):
             continue
         if m in ("technology", "bandwidth_mhz"):
             cols.append(f"arg_min({m}, (snapshot_time, {m})) AS {m}")
-        elif m in features.COUNTERS:
+        elif m in layout.COUNTERS:
             cols.append(f"CAST(sum({m}) AS BIGINT) AS {m}")
-        elif m in features.HEADCOUNTS:
+        elif m in layout.HEADCOUNTS:
             cols.append(f"CAST({Q.rnd(f'avg({m})', 0)} AS BIGINT) AS {m}")
         else:
             cols.append(f"{Q.rnd(f'avg({m})', 4)} AS {m}")
@@ -499,7 +500,7 @@ def hourly_cells(spark, sf):
 
 def wide_ctes() -> list[str]:
     cols = ", ".join(
-        f"max(CASE WHEN slot = {i} THEN {m} END) AS cell_{i}_{m}" for i in (1, 2, 3) for m in features.METRICS)
+        f"max(CASE WHEN slot = {i} THEN {m} END) AS cell_{i}_{m}" for i in (1, 2, 3) for m in layout.METRICS)
     cols += ", greatest(max(slot) - 3, 0) AS cell_surplus"
     return [*hourly_ctes(),
             "slotted AS (SELECT *, dense_rank() OVER (PARTITION BY site_id, hour_ts ORDER BY cell_id) AS slot FROM hourly)",
@@ -514,8 +515,8 @@ def hourly_wide(spark, sf):
 
 LONG = ["long AS (" + " UNION ALL ".join(
     "SELECT site_id, hour_ts AS timestamp, " + f"{i} AS cell_id, "
-    + ", ".join(f"cell_{i}_{m} AS {m}" for m in features.METRICS) + " FROM wide" for i in (1, 2, 3))
-    + " UNION ALL SELECT site_id, hour_ts AS timestamp, slot AS cell_id, " + ", ".join(features.METRICS) + " FROM slotted WHERE slot > 3)"]
+    + ", ".join(f"cell_{i}_{m} AS {m}" for m in layout.METRICS) + " FROM wide" for i in (1, 2, 3))
+    + " UNION ALL SELECT site_id, hour_ts AS timestamp, slot AS cell_id, " + ", ".join(layout.METRICS) + " FROM slotted WHERE slot > 3)"]
 
 
 @register("wide_to_long", Q.query(Q.MSG, Q.CELLS, *wide_ctes(), *LONG, select=(
@@ -525,33 +526,32 @@ def wide_to_long(spark, sf):
 
 
 def feature_select() -> list[str]:
-    m = features.Manifest()
-    code = "CASE " + " ".join(f"WHEN {{c}} = '{k}' THEN {v}" for k, v in m.status_map.items()) + " ELSE 0 END"
-    tech = "CASE " + " ".join(f"WHEN technology = '{k}' THEN {v}" for k, v in m.tech_map.items()) + " ELSE 2 END"
+    code = "CASE " + " ".join(f"WHEN {{c}} = '{k}' THEN {v}" for k, v in layout.STATUS_CODES.items()) + " ELSE 0 END"
+    tech = "CASE " + " ".join(f"WHEN technology = '{k}' THEN {v}" for k, v in layout.TECHNOLOGY_CODES.items()) + " ELSE 2 END"
     part = "PARTITION BY site_id, cell_id ORDER BY timestamp NULLS FIRST"
     cols = [f"{code.format(c=c)} AS {c}" for c in ("status", "op_state")] + [f"{tech} AS technology"]
     cols += ["hour(timestamp) AS hour_of_day", "isodow(timestamp) - 1 AS day_of_week",
              "day(timestamp) AS day_of_month", "month(timestamp) AS month",
              "CASE WHEN isodow(timestamp) >= 6 THEN 1 ELSE 0 END AS is_weekend",
              "CASE WHEN hour(timestamp) >= 22 OR hour(timestamp) < 6 THEN 1 ELSE 0 END AS is_night"]
-    for n in m.roll_windows:
+    for n in layout.ROLL_WINDOWS:
         over = f"OVER ({part} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-        for k in m.roll_kpis:
+        for k in layout.ROLL_KPIS:
             cols += [Q.rnd(f"avg({k}) {over}", 8) + f" AS {k}_roll{n}_mean",
                      Q.rnd(f"COALESCE(stddev_samp({k}) {over}, 0)", 8) + f" AS {k}_roll{n}_std",
                      f"max({k}) {over} AS {k}_roll{n}_max", f"min({k}) {over} AS {k}_roll{n}_min"]
     lags, filled = [], []
-    for k in m.lag_kpis:
-        for s in m.lag_steps:
+    for k in layout.LAG_KPIS:
+        for s in layout.LAG_STEPS:
             lags.append(f"lag({k}, {s}) OVER ({part}) AS {k}_lag{s}")
             filled.append(
                 Q.rnd(f"COALESCE(first_value({k}_lag{s} IGNORE NULLS) OVER ({part} ROWS BETWEEN CURRENT ROW AND "
                       f"UNBOUNDED FOLLOWING), avg({k}) OVER (PARTITION BY site_id, cell_id))", 8)
                 + f" AS {k}_lag{s}")
-    for k in m.delta_kpis:
-        for s in m.delta_steps:
+    for k in layout.DELTA_KPIS:
+        for s in layout.DELTA_STEPS:
             cols.append(Q.rnd(f"COALESCE({k} - lag({k}, {s}) OVER ({part}), 0)", 8) + f" AS {k}_delta{s}")
-    kept = [x for x in features.METRICS if x not in features.CATEGORIES]
+    kept = [x for x in layout.METRICS if x not in layout.CATEGORIES]
     return [
         f"lagged AS (SELECT *, {', '.join(lags)} FROM long)",
         f"feat AS (SELECT site_id, timestamp, cell_id, {', '.join(kept)}, {', '.join(cols)}, {', '.join(filled)} FROM lagged)",
@@ -571,10 +571,10 @@ EDGE = 0.0001234  # no feature's step or mean falls next to it
 
 def aligned_select() -> str:
     """Per cell number: how many values of each manifest feature are positive and negative; absent ones are 0."""
-    made = set(features.METRICS) | {"hour_of_day", "day_of_week", "day_of_month", "month", "is_weekend", "is_night"}
+    made = set(layout.METRICS) | {"hour_of_day", "day_of_week", "day_of_month", "month", "is_weekend", "is_night"}
     m = features.Manifest()
-    made |= {f"{k}_roll{n}_{x}" for k in m.roll_kpis for n in m.roll_windows for x in ("mean", "std", "max", "min")}
-    made |= {f"{k}_lag{n}" for k in m.lag_kpis for n in m.lag_steps} | {f"{k}_delta{n}" for k in m.delta_kpis for n in m.delta_steps}
+    made |= {f"{k}_roll{n}_{x}" for k in layout.ROLL_KPIS for n in layout.ROLL_WINDOWS for x in ("mean", "std", "max", "min")}
+    made |= {f"{k}_lag{n}" for k in layout.LAG_KPIS for n in layout.LAG_STEPS} | {f"{k}_delta{n}" for k in layout.DELTA_KPIS for n in layout.DELTA_STEPS}
     cols = []
     for c in m.feature_columns:
         for sign, test in (("pos", f"> {EDGE}"), ("neg", f"< -{EDGE}")):
