@@ -24,11 +24,38 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+SQL["op1_substring_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS u FROM d),
+p AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY u) - length(line) - 1 AS s, max(u) OVER (PARTITION BY r) AS lines,
+  regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS ws FROM l),
+k AS (SELECT *, CASE WHEN len(ws) >= 15 THEN array_to_string(ws, ' ') END AS unit FROM p),
+g AS (SELECT *, CASE WHEN unit IS NOT NULL THEN row_number() OVER (PARTITION BY unit ORDER BY doc_id, u) > 1 ELSE FALSE END AS gone FROM k)
+SELECT doc_id, CAST(coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed, count(*) FILTER (WHERE gone) AS n_spans,
+  coalesce(string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s AS BIGINT) + length(line) AS VARCHAR), ',' ORDER BY u) FILTER (WHERE gone), '') AS spans,
+  coalesce(string_agg(line || CASE WHEN u = lines THEN '' ELSE chr(10) END, '' ORDER BY u) FILTER (WHERE NOT gone), '') AS kept_text,
+  sha256(coalesce(string_agg(line || CASE WHEN u = lines THEN '' ELSE chr(10) END, '' ORDER BY u) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM g GROUP BY r, doc_id
+"""
+
+
 @_query
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+SQL["op2_minhash_near_dedup"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) >= 5 THEN ws[k:k + 4] ELSE ws END, ' ') AS g FROM k),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN z p ON x = p.doc_id JOIN z q ON y = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node)
+SELECT node AS doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(root) AS component_id, node = min(root) AS kept FROM r LEFT JOIN z ON z.doc_id = node GROUP BY node
+"""
+
+
 @_query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.later_lines(documents(spark, sf_dir))
@@ -94,6 +121,30 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
+SQL["op8_quality_rules"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines, CAST(sum(n) AS BIGINT) AS n_lines FROM (
+  SELECT r, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r, line) GROUP BY r),
+pos AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w),
+tri AS (SELECT r, k, word || ' ' || lead(word) OVER (PARTITION BY r ORDER BY k) || ' ' || lead(word, 2) OVER (PARTITION BY r ORDER BY k) AS g FROM pos),
+rep AS (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS c FROM tri WHERE g IS NOT NULL),
+cov AS (SELECT r, count(DISTINCT k + j) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) v(j) WHERE c > 1 GROUP BY r),
+m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN cov USING (r)),
+f AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+  + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+  + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 16 ELSE 0 END
+  + CASE WHEN 2 * n_upper > n_letters THEN 32 ELSE 0 END + CASE WHEN 3 * n_marks > n_words THEN 64 ELSE 0 END AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
+  CAST(fail_bits AS BIGINT) AS fail_bits, n_lines, n_upper, n_letters, n_marks FROM f
+"""
+
+
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
