@@ -35,13 +35,13 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed snapshots as nested Parquet."""
     def build(path: str) -> None:
         # The projection that makes up a snapshot is far beyond what one
-        # generated method can hold; skip the doomed attempts to compile it.
-        before = spark.conf.get("spark.sql.codegen.wholeStage")
-        spark.conf.set("spark.sql.codegen.wholeStage", "false")
-        try:
-            N.stage_snapshots(I.snapshots(spark, sf), path)
-        finally:
-            spark.conf.set("spark.sql.codegen.wholeStage", before)
+        # generated method can hold; skip the doomed attempts to compile it, in
+        # a session of its own, so that no other query is affected.
+        own = spark.newSession()
+        for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"):
+            own.conf.set(key, spark.conf.get(key))
+        own.conf.set("spark.sql.codegen.wholeStage", "false")
+        N.stage_snapshots(I.snapshots(own, sf), path)
     path = _once(spark, sf, "snapshots", build)
     return spark.read.parquet(path)
 
