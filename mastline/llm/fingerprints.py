@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mastline.llm.tables import cut
-from mastline.llm.textarrays import U64, _power_tables, mix64
+from mastline.llm.textarrays import _power_tables, lean, mix64, U64
 
 #: Levels whose names enter the sketch; phrases of level 2 have about 9 bytes, of level 3 about 27.
 LEVELS = (2, 3)
@@ -121,6 +121,7 @@ def _edited(text: str, following: str) -> str:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by range, ids descending, each range's guest (the first row of the next range) last."""
     held: list[tuple] = []

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mastline.llm.components import connected
 from mastline.llm.tables import cut
-from mastline.llm.textarrays import U64, buffers, mix64, pieces, shingle_sets
+from mastline.llm.textarrays import buffers, lean, mix64, pieces, shingle_sets, U64
 
 WIDTH, THRESHOLD = 5, 75  # words of a shingle, percent
 BANDS, ROWS = 32, 4
@@ -57,6 +57,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key
 
 
+@lean
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = buffers(batch.column(1))
@@ -78,6 +79,7 @@ def parity_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(cell, minlength=SKETCH_BITS) & 1).tobytes()
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = buffers(batch.column(1))
@@ -111,6 +113,7 @@ def _possible(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(a, b), np.maximum(a, b)
 
 
+@lean
 def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block; a block is compared when its last row is there."""
     held: pa.Table | None = None
@@ -132,6 +135,7 @@ def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield compare(held, np.array([0, held.num_rows]))
 
 
+@lean
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
@@ -229,10 +233,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near copies of a smaller doc_id; columns as given.
-    Of rows that repeat a doc_id with the same text, one stays."""
-    names = docs.columns
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_k")).where("_k > 1").select(F.col("doc_id").alias("_twice"))
-    single = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return single.unionByName(kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])).select(names)
+    Of rows that repeat doc_id and text, one stays (the first by a hash of the row)."""
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    marks = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(
+        F.bool_or("kept").alias("kept"), F.count("*").alias("k")).where("k > 1 or not kept")
+    single = packed.join(marks, "doc_id", "left_anti").select("row")
+    repeated = packed.join(marks.where("kept"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(
+        F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return single.unionByName(repeated).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mastline.llm.tables import cut
+from mastline.llm.textarrays import lean
 
 CAPACITY = 4096
 #: Pieces per shard: bounds the memory of one task, whatever the input's size.
@@ -27,7 +28,7 @@ SHARD_PIECES = 20_000
 SEARCH_BINS, SEARCH_ROUNDS = 400, 8
 END_ID = 1
 #: Entries of the per-worker memo of encoded words; it is emptied when full.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 
 #: Latin-1 letters; their normal form is their lower case.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -108,6 +109,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     path = path or vocabulary()
     end = np.array([END_ID], "<u4").tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mastline.llm.textarrays import buffers, per_text, pieces, span_hashes, window_hashes, word_bounds
+from mastline.llm.textarrays import buffers, lean, per_text, pieces, span_hashes, window_hashes, word_bounds
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 
@@ -94,6 +94,7 @@ def _measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+@lean
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = buffers(batch.column(batch.schema.names.index("text")))

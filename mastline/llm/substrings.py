@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mastline.llm.tables import cut
+from mastline.llm.textarrays import lean
 
 #: Shorter lines (headings, greetings, license notes) repeat in clean text and are left alone.
 MIN_WORDS = 15
@@ -26,6 +27,7 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+@lean
 def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
@@ -67,6 +69,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "doc_id", "unit", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"), F.col("first.start").alias("first_start"))
 
 
+@lean
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, digest, removed, units_gone, spans = [], [], [], [], []
