@@ -21,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mastline.llm.tables import cut
-from mastline.llm.textarrays import U64, _power_tables, buffers, mix64, pieces
+from mastline.llm.textarrays import _power_tables, buffers, lean, mix64, pieces, U64
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes that a window can have before its anchor
 BATCH = 1 << 18
+COPY = -1  # in place of a start: the whole text is a copy
 #: Anchors with their surroundings per shard of the second pass.
 SHARD_ANCHORS = 150_000
 
@@ -40,13 +42,15 @@ class LevelFamily:
     def __init__(self):
         self.levels: list[dict[str, np.ndarray]] = []
 
-    def add(self, keys: np.ndarray, docs: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    def add(self, keys: np.ndarray, docs: np.ndarray, extra: np.ndarray, matched: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Add a batch whose documents are not smaller than earlier ones, and
         are whole. Returns which rows have their key in a smaller document, and
-        the rows of first documents that were matched for the first time."""
-        order = np.lexsort((docs, keys))
-        k, d, x = keys[order], docs[order], extra[order]
+        the rows of first documents that were matched for the first time;
+        ``matched`` marks rows known to be matched already."""
+        order = np.argsort(keys)
+        k, d, x, known_match = keys[order], docs[order], extra[order], matched[order]
         head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        least = np.minimum.reduceat(d, head) if len(k) else d
         run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(k))))
         known = np.zeros(len(head), bool)
         sources = []
@@ -61,11 +65,11 @@ class LevelFamily:
                 at = at[~level["sent"][at]]
                 level["sent"][at] = True
                 sources.append({c: level[c][at] for c in ("key", "doc", "extra")})
-        later = known[run] | (d > d[head][run])
+        later = known[run] | (d > least[run])
         first = ~later
-        matched = np.zeros(len(head), bool)
-        matched[run[later]] = True
-        send = first & matched[run]
+        hit_runs = np.zeros(len(head), bool)
+        hit_runs[run[later | known_match]] = True
+        send = first & hit_runs[run]
         sources.append({"key": k[send], "doc": d[send], "extra": x[send]})
         self._push({"key": k[first], "doc": d[first], "extra": x[first], "sent": send[first].copy()})
         out = np.zeros(len(k), bool)
@@ -92,41 +96,61 @@ def _gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
     return mix64((total[width:] - total[:n]) * inverses[:n])
 
 
-def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and fingerprints of one text's anchors."""
+def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text: places and fingerprints of its anchors, and the first window
+    of each (one more entry ends the last). Windows of an anchor are consecutive;
+    of equal fingerprints the leftmost is the anchor."""
     h = _gram_hashes(data, GRAM)
     windows = len(data) - LENGTH + 1
     if windows <= 0:
-        return np.zeros(0, np.int64), h[:0]
+        return np.zeros(0, np.int64), h[:0], np.zeros(1, np.int64)
+    low, at, width = h, np.arange(len(h), dtype=np.int32), 1
+
+    def smaller(shift: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        left = low[:n] <= low[shift:shift + n]
+        return np.where(left, low[:n], low[shift:shift + n]), np.where(left, at[:n], at[shift:shift + n])
+
     span = LENGTH - GRAM + 1
-    low, width = h, 1
-    while 2 * width <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    low = np.minimum(low[:windows], low[span - width:span - width + windows])
-    # A position is an anchor if one of the windows that hold it has it as minimum.
-    reach = np.zeros(len(h), bool)
-    high, width = low, 1
-    padded = np.concatenate((np.zeros(span - 1, U64), low, np.zeros(span - 1, U64)))
-    high = padded
     while 2 * width <= span:
-        high = np.maximum(high[:-width], high[width:])
+        low, at = smaller(width, len(low) - width)
         width *= 2
-    high = np.maximum(high[:len(h)], high[span - width:span - width + len(h)])
-    reach = high == h
-    at = np.flatnonzero(reach)
-    return at, h[at]
+    low, at = smaller(span - width, windows)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    place = at[first].astype(np.int64)
+    return place, h[place], np.append(first, windows)
+
+
+#: What a batch knows of a row before the shuffle: nothing, that a larger document
+#: of the batch has its key too, or that a smaller one has. Rows of the last kind
+#: are settled; so a hot key sends one document per batch to its shard.
+UNKNOWN, MATCHED, LATER = 0, 1, 2
+
+
+def _settle(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    k, d = keys[order], docs[order]
+    head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    if not len(k):
+        return np.zeros(0, np.int8)
+    size = np.diff(np.append(head, len(k)))
+    later = d > np.repeat(np.minimum.reduceat(d, head), size)
+    any_later = np.repeat(np.logical_or.reduceat(later, head), size)
+    state = np.empty(len(k), np.int8)
+    state[order] = np.where(later, LATER, np.where(any_later, MATCHED, UNKNOWN))
+    return state
 
 
+@lean
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = buffers(batch.column(1))
         doc = batch.column(0).to_numpy(zero_copy_only=False)
-        for lo, hi in pieces(off):
+        for lo, hi in pieces(off, 1 << 23):
             found = [_anchors(data[off[k]:off[k + 1]]) for k in range(lo, hi)]
+            h, docs = np.concatenate([h for _, h, _ in found]), np.repeat(doc[lo:hi], [len(h) for _, h, _ in found])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h for _, h in found]).view(np.int64)), pa.array(np.repeat(doc[lo:hi], [len(h) for _, h in found])),
-                 pa.array(np.concatenate([at for at, _ in found]))], names=["h", "doc_id", "at"])
+                [pa.array(h.view(np.int64)), pa.array(docs), pa.array(np.concatenate([at for at, _, _ in found])), pa.array(_settle(h, docs))],
+                names=["h", "doc_id", "at", "state"])
 
 
 def _whole_documents(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -147,78 +171,84 @@ def _whole_documents(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
+@lean
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     family = LevelFamily()
     for table in _whole_documents(batches, BATCH):
-        h, doc, at = (table.column(c).to_numpy() for c in ("h", "doc_id", "at"))
-        later, first = family.add(h.view(U64), doc, at)
+        h, doc, at, state = (table.column(c).to_numpy() for c in ("h", "doc_id", "at", "state"))
+        settled, open_ = state == LATER, state != LATER
+        later, first = family.add(h[open_].view(U64), doc[open_], at[open_], state[open_] == MATCHED)
+        shared = settled.copy()
+        shared[open_] = later
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((h[later], first["key"].view(np.int64)))), pa.array(np.concatenate((doc[later], first["doc"]))),
-             pa.array(np.concatenate((at[later], first["extra"])))], names=["h", "doc_id", "at"])
+            [pa.array(np.concatenate((doc[shared], first["doc"]))), pa.array(np.concatenate((at[shared], first["extra"])))], names=["doc_id", "at"])
 
 
+@lean
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per shared anchor of a text: up to 30 bytes before it and 50 from it on."""
+    """Per shared anchor of a text: the bytes of its windows."""
     for batch in batches:
         data, off = buffers(batch.column(2))
         for lo, hi in pieces(off, 1 << 20):
-            h, doc, text, at, left, around = [], [], [], [], [], []
+            h, doc, text, start, around = [], [], [], [], []
             for k in range(lo, hi):
                 own = data[off[k]:off[k + 1]]
+                place, mark, window = _anchors(own)
+                where = np.searchsorted(place, at := batch.column(3)[k].values.to_numpy())
+                # Rows that repeat an id may lack another row's anchors; one at
+                # the same place by chance costs a comparison and changes nothing.
+                here = where < len(place)
+                here[here] = place[where[here]] == at[here]
+                where = where[here]
                 raw = own.tobytes()
-                places = batch.column(3)[k].values
-                where = places.field("at").to_numpy()
-                key = places.field("h").to_numpy()
-                right = where + GRAM <= len(own)  # repeated ids: the place may be another text's
-                where, key = where[right], key[right]
-                right = _gram_hashes(own, GRAM)[where].view(np.int64) == key if len(where) else right[:0]
-                where, key = where[right], key[right]
-                for p, g in zip(where.tolist(), key.tolist()):
-                    h.append(g)
-                    at.append(p)
-                    left.append(min(p, REACH))
-                    around.append(raw[max(0, p - REACH):p + LENGTH])
+                start.append(window[where])
+                around += [raw[a:b + LENGTH - 1] for a, b in zip(window[where].tolist(), window[where + 1].tolist())]
+                h.append(mark[where].view(np.int64))
                 doc += [batch.column(0)[k].as_py()] * len(where)
                 text += [batch.column(1)[k].as_py()] * len(where)
+            # Equal surroundings in a smaller document of the batch settle all windows at once.
+            key = np.array([xxhash.xxh3_64_intdigest(a) for a in around], U64)
+            later = _settle(key, np.array(doc, np.int64)) == LATER
+            mask = np.array([(1 << (len(a) - LENGTH + 1)) - 1 for a in around], np.int64) * later
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(at, pa.int64()),
-                 pa.array(left, pa.int32()), pa.array(around, pa.binary())], names=["h", "doc_id", "text_key", "at", "left", "around"])
+                [pa.array(np.concatenate(h)), pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(np.concatenate(start)),
+                 pa.array([None if gone else a for a, gone in zip(around, later.tolist())], pa.binary()), pa.array(mask)],
+                names=["h", "doc_id", "text_key", "start", "around", "mask"])
 
 
+@lean
 def _matching_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit o: the window that starts o bytes before the anchor is in a smaller document."""
+    """Bit k: the k-th window of the anchor is in a smaller document."""
     family = LevelFamily()
     for table in _whole_documents(batches, BATCH // 16):
-        doc, left = table.column("doc_id").to_numpy(), table.column("left").to_numpy()
+        doc = table.column("doc_id").to_numpy()
         data, off = buffers(table.column("around"))
         data = data[off[0]:off[-1]]
         off = off - off[0]
-        h = _gram_hashes(np.concatenate((data, np.zeros(LENGTH, np.uint8))), LENGTH)
-        back = np.arange(REACH + 1)
-        start = off[:-1, None] + left[:, None] - back[None, :]
-        valid = (back[None, :] <= left[:, None]) & (start + LENGTH <= off[1:, None])
-        row, bit = np.nonzero(valid)
-        later, _ = family.add(h[start[row, bit]], doc[row], np.zeros(len(row), np.int8))
-        mask = np.zeros(len(doc), np.int64)
-        np.bitwise_or.at(mask, row[later], np.int64(1) << bit[later])
+        count = np.maximum(np.diff(off) - LENGTH + 1, 0)  # settled rows have no bytes left
+        row = np.repeat(np.arange(len(doc)), count)
+        bit = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        later, _ = family.add(_gram_hashes(data, LENGTH)[off[row] + bit], doc[row], np.zeros(len(row), np.int8), np.zeros(len(row), bool))
+        mask = table.column("mask").to_numpy() + np.bincount(row[later], weights=np.exp2(bit[later]), minlength=len(doc)).astype(np.int64)  # distinct bits: a sum is their union
         hit = mask != 0
         if hit.any():
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(table.column(c).to_numpy()[hit]) for c in ("doc_id", "text_key", "at")), pa.array(mask[hit])],
-                names=["doc_id", "text_key", "at", "mask"])
+                [*(pa.array(table.column(c).to_numpy()[hit]) for c in ("doc_id", "text_key", "start")), pa.array(mask[hit])],
+                names=["doc_id", "text_key", "start", "mask"])
 
 
-def _runs(n: int, at: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(n: int, start: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal covered runs of a text of n bytes."""
     edge = np.zeros(n + 1, np.int64)
-    for o in range(REACH + 1):
-        start = at[(mask >> o) & 1 == 1] - o
-        np.add.at(edge, start, 1)
-        np.subtract.at(edge, start + LENGTH, 1)
+    for k in range(REACH + 1):
+        at = start[(mask >> k) & 1 == 1] + k
+        np.add.at(edge, at, 1)
+        np.subtract.at(edge, at + LENGTH, 1)
     inside = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
     return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
 
 
+@lean
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = buffers(batch.column(1))
@@ -227,7 +257,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, hits = data[off[k]:off[k + 1]], batch.column(2)[k]
             start = end = np.zeros(0, np.int64)
             if hits.is_valid:
-                start, end = _runs(len(own), hits.values.field("at").to_numpy(), hits.values.field("mask").to_numpy())
+                at, mask = hits.values.field("start").to_numpy(), hits.values.field("mask").to_numpy()
+                if (at == COPY).any():
+                    start, end = (np.array([0]), np.array([len(own)])) if len(own) >= LENGTH else (start, end)
+                else:
+                    start, end = _runs(len(own), at, mask)
             raw, kept, before = own.tobytes(), [], 0
             for a, b in zip(start.tolist(), end.tolist()):
                 kept.append(raw[before:a])
@@ -242,19 +276,31 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(listed, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_key", F.xxhash64("text")).withColumn("text_key2", F.xxhash64(F.lit(7), "text"))
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text_key2) of texts that a smaller doc_id has in full."""
+    keys = _keyed(docs).select("doc_id", "text_key", "text_key2")
+    low = keys.groupBy("text_key", "text_key2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return keys.join(low, ["text_key", "text_key2"]).where("doc_id > low").select("doc_id", "text_key", "text_key2").distinct()
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, mask): anchors with the windows around them that a
-    smaller doc_id has too. Hot anchors and hot texts are one row per document,
-    spread by fingerprint; memory is bounded by the size of a shard."""
-    known = docs.where("doc_id is not null and text is not null")
-    anchors = known.mapInArrow(_anchor_batches, "h long, doc_id long, at long").repartition("h").sortWithinPartitions("doc_id")
-    shared = cut(anchors.mapInArrow(_shared_anchors, "h long, doc_id long, at long"), "anchors")
+    """(doc_id, text_key, start, mask): first window of an anchor, and which of its
+    windows a smaller doc_id has too. Memory is bounded by the size of a shard."""
+    anchors = docs.mapInArrow(_anchor_batches, "h long, doc_id long, at long, state byte")
+    shard = F.when(F.col("state") == LATER, F.xxhash64("doc_id", "at")).otherwise(F.col("h"))
+    sharded = anchors.repartition(shard).sortWithinPartitions("doc_id")  # an expression, so no further column is shuffled
+    shared = cut(sharded.mapInArrow(_shared_anchors, "doc_id long, at long"), "anchors")
     shards = max(1, -(-shared.count() // SHARD_ANCHORS))
-    places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("at", "h")).alias("places"))
-    around = known.withColumn("text_key", F.xxhash64("text")).join(places, "doc_id").select("doc_id", "text_key", "text", "places").mapInArrow(
-        _surroundings, "h long, doc_id long, text_key long, at long, left int, around binary")
-    sharded = around.repartition(shards, "h").sortWithinPartitions("doc_id")
-    return cut(sharded.mapInArrow(_matching_windows, "doc_id long, text_key long, at long, mask long"), "windows")
+    places = shared.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    around = docs.withColumn("text_key", F.xxhash64("text")).join(places, "doc_id").select("doc_id", "text_key", "text", "places").mapInArrow(
+        _surroundings, "h long, doc_id long, text_key long, start long, around binary, mask long")
+    shard = F.when(F.col("around").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("h"))
+    sharded = around.repartition(shards, shard).sortWithinPartitions("doc_id")
+    return cut(sharded.mapInArrow(_matching_windows, "doc_id long, text_key long, start long, mask long"), "windows")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -264,10 +310,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     smaller doc_id is removed; strings are judged on the input. Null texts are
     empty. Rows with a null doc_id are neither searched nor changed; rows that
     repeat a doc_id are one document and do not remove each other's bytes.
-    Other columns play no part.
+    Other columns play no part. Full copies of an earlier text are found by
+    digest and need no index; what they hold, the earlier text holds.
+
+    Tables that grow with the input are joined by merging at any size.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hits = repeated_windows(docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "mask")).alias("hits"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    return keyed.join(hits, ["doc_id", "text_key"], "left").select("doc_id", "text", "hits").mapInArrow(
+    known = docs.where("doc_id is not null and text is not null")
+    copies = cut(later_copies(known), "copies")
+    index = _keyed(known).join(copies.hint("merge"), ["doc_id", "text_key", "text_key2"], "left_anti").select("doc_id", "text")
+    marks = copies.select("doc_id", "text_key", F.lit(COPY).cast("long").alias("start"), F.lit(0).cast("long").alias("mask"))
+    hits = repeated_windows(index).unionByName(marks).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("hits"))
+    return docs.withColumn("text_key", F.xxhash64("text")).join(hits.hint("merge"), ["doc_id", "text_key"], "left").select("doc_id", "text", "hits").mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
