@@ -282,6 +282,26 @@ def test_license_scan_inherits_from_the_nearest_directory(spark):
     assert got["z/q.py"].license is None and got["a/LICENSE"].is_license_file
 
 
+def test_license_scan_reads_full_texts_and_wrapped_notices(spark):
+    texts = dict(licenses.TEXTS)
+    files = [(f"{name}/{form}/{part}", text) for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0") for form, body in (
+        ("wrapped", "Copyright (c) 2020 Ann Lee\n\n" + texts[name]), ("line", "Copyright (c) 2020 Ann Lee " + " ".join(texts[name].split())))
+        for part, text in (("LICENSE", body), ("src/x.py", "plain words only"))]
+    rng = random.Random(4)
+    wrapped = "# Licensed under the\n# Apache License,\n# Version 2.0.\n"
+    files += [("n/wrapped.py", wrapped + sentence(rng, 60)), ("n/stub", wrapped), ("n/d/y.py", "plain words only"),
+              ("i/inside.py", sentence(rng, 12) + " Licensed under the Apache License, Version 2.0. " + sentence(rng, 12)), ("p/prose", sentence(rng, 300)),
+              ("q/mostly", sentence(rng, 9) + "\nReleased under the MIT License.")]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert len(got) == len(files)
+    for path, _ in files[:16]:
+        r = got[path]
+        assert r.license == path.split("/")[0] and r.is_license_file == path.endswith("LICENSE"), r
+    assert got["n/wrapped.py"].own_license == got["i/inside.py"].own_license == got["n/d/y.py"].license == "Apache-2.0"
+    assert got["q/mostly"].own_license == "MIT" and not got["q/mostly"].is_license_file
+    assert got["n/stub"].is_license_file and not got["n/wrapped.py"].is_license_file and got["p/prose"].license is None
+
+
 # -- 6 ---------------------------------------------------------------------------
 def test_mixing_targets(spark):
     sized = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate([("a", 100), ("b", 1000), ("c", 1000), (None, 5000), ("e", 0)])],
