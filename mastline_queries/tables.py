@@ -428,7 +428,7 @@ def predict_with_function(spark, sf):
         return np.floor(x["prb_utilization_percent"].astype("float64")) / 128
 
     return training.predict(
-        ST.wide(spark, sf), lambda rows: training.score_with_function(rows, scorer))
+        ST.wide(spark, sf), lambda rows: training.score_with_function(rows, scorer), surplus=ST.surplus_cells(spark, sf))
 
 
 @register("train_evaluate")
@@ -437,7 +437,7 @@ def train_evaluate(spark, sf):
     hot = F.greatest(*[F.coalesce(f"cell_{i}_prb_utilization_percent", F.lit(0.0)) for i in (1, 2, 3)]) > 80
     labelled = ST.wide(spark, sf).withColumn("scenario_label", F.when(hot, "CONGESTED").otherwise("NORMAL"))
     path = scratch_path(spark, "training-frame")
-    training.training_frame(labelled).write.parquet(path)
+    training.training_frame(labelled, surplus=ST.surplus_cells(spark, sf)).write.parquet(path)
     frame = spark.read.parquet(path)
     small = training.BoostSettings(max_trees=3, depth=3, min_final_trees=3)
     model, folds = training.train(frame, settings=small, splits=2)

@@ -57,6 +57,17 @@ def test_every_cell_and_null_hour_reaches_the_features(spark):
     assert features.build_features(long).count() == 5
 
 
+def test_every_cell_is_trained_on_and_predicted(spark):
+    rows = spark.range(5).select(F.lit("S").alias("site_id"), F.concat(F.lit("C"), "id").alias("cell_id"), F.lit(T0).alias("hour_ts"))
+    hourly = rows.withColumns({m: F.lit("UP") if m in features.CATEGORIES else F.lit(1.0) for m in features.METRICS})
+    wide, surplus = features.widen(hourly), features.surplus_cells(hourly)
+    got = training.predict(wide, lambda df: df.withColumn("failure_score", F.lit(0.75)), surplus=surplus).collect()
+    assert sorted(r.cell_id for r in got) == [f"CELL_{k}" for k in range(1, 6)]
+    for name, value in (("NORMAL", 0.0), ("CONGESTED", 1.0)):
+        frame = training.training_frame(wide.withColumn("scenario_label", F.lit(name)), surplus=surplus).collect()
+        assert sorted((r.key_cell_id, r.label) for r in frame) == [(k, value) for k in range(1, 6)]
+
+
 def test_curves_folds_and_quantiles_are_exact(spark):
     rng = random.Random(3)
     rows = [(rng.random() ** 4, rng.randint(0, 1), T0 + dt.timedelta(hours=rng.randint(0, 900))) for _ in range(500)]
