@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mastline.llm.textarrays import buffers, lean, per_text, pieces, span_hashes, window_hashes, word_bounds
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_other", "n_unspaced")
 
 #: Bit k of the mask is rule k; the order is part of the stored format.
 RULES: tuple[tuple[str, str], ...] = (
@@ -27,13 +27,22 @@ RULES: tuple[tuple[str, str], ...] = (
     ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)"),
     ("shouting", "2 * n_upper > n_letters"),
     ("exclamation", "3 * n_marks > n_words"),
+    # The same for any script: two characters written without spaces count as a
+    # word, and case is a share of all letters. Other texts get the same verdicts.
+    ("few_words_any_script", "2 * n_words + n_unspaced < 100"),
+    ("symbols_any_script", "20 * n_symbols > 3 * (2 * n_words + n_unspaced)"),
+    ("word_length_any_script", "n_words > 0 and (word_chars + n_unspaced < 2 * n_words or 2 * word_chars > 15 * (2 * n_words + n_unspaced))"),
+    ("shouting_any_script", "2 * n_upper > n_letters + n_other"),
+    ("exclamation_any_script", "6 * n_marks > 2 * n_words + n_unspaced"),
 )
 #: Version -> rules that reject. A published version never changes.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
-    "v1": tuple(name for name, _ in RULES),
+    "v1": ("few_words", "repeated_words", "symbols", "duplicate_lines", "word_length", "shouting", "exclamation"),
+    "v2": ("few_words_any_script", "repeated_words", "symbols_any_script", "duplicate_lines", "word_length_any_script", "shouting_any_script",
+           "exclamation_any_script"),
 }
-CURRENT = "v1"
+CURRENT = "v2"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -43,6 +52,19 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!")] = True
+#: First two bytes of characters of scripts without word spacing: Thai, Lao and Tibetan, Burmese, Khmer, Chinese and
+#: Japanese with their marks and wide forms; supplementary ideographs.
+_UNSPACED = np.zeros(1 << 16, bool)
+for _lead, _next in ((0xE0, range(0xB8, 0xC0)), (0xE1, (0x80, 0x81, 0x82, 0x9E, 0x9F)), *((b, range(0x80, 0xC0)) for b in range(0xE3, 0xEA)),
+                     (0xEF, (0xA4, 0xA5, 0xA6, 0xA7, 0xA8, 0xA9, 0xAA, 0xAB, 0xBC, 0xBD, 0xBE)), (0xF0, range(0xA0, 0xB4))):
+    _UNSPACED[[_lead << 8 | b for b in _next]] = True
+
+
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Whether a character of a script without word spacing starts at each byte."""
+    pair = data.astype(np.uint16) << 8
+    pair[:-1] |= data[1:]
+    return _UNSPACED[pair]
 
 
 def _measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -59,6 +81,8 @@ def _measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         "n_upper": per_text(_UPPER[data], off),
         "n_letters": per_text(_LETTER[data], off),
         "n_marks": per_text(_MARK[data], off),
+        "n_other": per_text(data >= 0xC0, off),
+        "n_unspaced": per_text(_unspaced(data), off),
     }
     # Lines: a text starts one, and so does every byte behind a newline.
     newline = np.flatnonzero(data == 10)

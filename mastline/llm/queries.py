@@ -109,11 +109,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns, then the ledger's mask and its other measurements."""
+    """Contract columns, then the mask of the rules of v1 and other measurements; ``kept`` is the current policy's verdict."""
     rows = quality.ledger(documents(spark, sf_dir))
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.policy_mask("base"))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-                       quality.passes().alias("kept"), "fail_bits", "n_lines", "n_upper", "n_letters", "n_marks")
+                       quality.passes().alias("kept"), F.col("fail_bits").bitwiseAND(F.lit(quality.policy_mask("v1"))).alias("fail_bits"), "n_lines", "n_upper", "n_letters", "n_marks")
 
 
 @_query

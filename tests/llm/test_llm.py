@@ -110,6 +110,21 @@ def test_quality_measures(docs):
         assert bool(r.fail_bits & quality.policy_mask("base")) == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
 
 
+def test_quality_keeps_clean_text_of_any_script(spark):
+    rng = random.Random(6)
+    def words(first, n):
+        return " ".join("".join(chr(rng.randrange(first, first + 24)) for _ in range(6)) for _ in range(n))
+    def unspaced(first, n):
+        return "\n".join("".join(chr(rng.randrange(first, first + 900)) for _ in range(80)) for _ in range(n))
+    clean = [words(0x430, 80) + " NATO", words(0x3B1, 80) + " NATO", words(0x627, 80) + " NATO", unspaced(0x4E00, 6) + " NATO!", unspaced(0x4E00, 6),
+             "".join(chr(rng.randrange(0xE01, 0xE2E)) for _ in range(400)) + " UN"]
+    junk = [sentence(rng, 80).upper(), "x" * 3000, unspaced(0x4E00, 1), "\u0430" * 4000, unspaced(0x4E00, 3) + " #" * 90, sentence(rng, 20)]
+    docs = frame(spark, clean + junk)
+    assert sorted(r.doc_id for r in quality.filter_documents(docs).collect()) == list(range(len(clean)))
+    old = quality.ledger(docs).where(quality.passes("v1")).count()
+    assert old == 0
+
+
 def test_ablations_and_policies(docs):
     rows = quality.ledger(docs)
     bits = [r.fail_bits for r in rows.collect()]
