@@ -41,8 +41,11 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "v1": ("few_words", "repeated_words", "symbols", "duplicate_lines", "word_length", "shouting", "exclamation"),
     "v2": ("few_words_any_script", "repeated_words", "symbols_any_script", "duplicate_lines", "word_length_any_script", "shouting_any_script",
            "exclamation_any_script"),
+    # v2 with the base rules as they stand: every policy in use rejects what they reject.
+    "v3": ("few_words", "repeated_words", "symbols_any_script", "duplicate_lines", "word_length_any_script", "shouting_any_script",
+           "exclamation_any_script"),
 }
-CURRENT = "v2"
+CURRENT = "v3"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -155,7 +158,7 @@ def policy_mask(version: str) -> int:
 
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Measurements plus ``fail_bits``."""
+    """Measurements plus ``fail_bits``, one bit for each of ``RULES``; rows and nulls as in ``measure``."""
     return measure(docs, keep).withColumn("fail_bits", failure_bits())
 
 
@@ -179,7 +182,11 @@ def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The documents a policy keeps, with their columns; texts are not shuffled."""
+    """The documents a policy keeps, with their columns; texts are not shuffled.
+
+    Null, empty and blank texts have no words and are rejected by the base
+    rules. Repeated rows are judged one by one; a null doc_id changes nothing.
+    """
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text"))
     kept = ledger(packed, ("row",)).where(passes(version))

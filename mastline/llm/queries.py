@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mastline.llm import fingerprints, licenses, lines, minhash, mixing, packing, pii, quality, substrings, suffixes
+from mastline.llm import fingerprints, licenses, lines, minhash, mixing, negatives, packing, pii, quality, simhash, substrings, suffixes, whitening
 from mastline.llm.tables import documents
+from mastline.llm.vectors import embeddings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,11 +110,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns, then the mask of the rules of v1 and other measurements; ``kept`` is the current policy's verdict."""
+    """Contract columns, then the bits of all rules and the other measurements; ``kept`` is the current policy's verdict."""
     rows = quality.ledger(documents(spark, sf_dir))
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.policy_mask("base"))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-                       quality.passes().alias("kept"), F.col("fail_bits").bitwiseAND(F.lit(quality.policy_mask("v1"))).alias("fail_bits"), "n_lines", "n_upper", "n_letters", "n_marks")
+                       quality.passes().alias("kept"), "fail_bits", "n_lines", "n_upper", "n_letters", "n_marks", "n_other", "n_unspaced")
 
 
 @_query
@@ -134,17 +135,56 @@ cov AS (SELECT r, count(DISTINCT k + j) AS n_repeat_words FROM rep, (VALUES (0),
 m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
-  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks
+  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks,
+  length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS n_other,
+  length(regexp_replace(text, '[^\\x{0E00}-\\x{0FFF}\\x{1000}-\\x{10BF}\\x{1780}-\\x{17FF}\\x{3000}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FFBF}\\x{20000}-\\x{33FFF}]',
+    '', 'g')) AS n_unspaced
   FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN cov USING (r)),
 f AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
   + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
   + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 16 ELSE 0 END
-  + CASE WHEN 2 * n_upper > n_letters THEN 32 ELSE 0 END + CASE WHEN 3 * n_marks > n_words THEN 64 ELSE 0 END AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
-  CAST(fail_bits AS BIGINT) AS fail_bits, n_lines, n_upper, n_letters, n_marks FROM f
+  + CASE WHEN 2 * n_upper > n_letters THEN 32 ELSE 0 END + CASE WHEN 3 * n_marks > n_words THEN 64 ELSE 0 END
+  + CASE WHEN 2 * n_words + n_unspaced < 100 THEN 128 ELSE 0 END + CASE WHEN 20 * n_symbols > 3 * (2 * n_words + n_unspaced) THEN 256 ELSE 0 END
+  + CASE WHEN n_words > 0 AND (word_chars + n_unspaced < 2 * n_words OR 2 * word_chars > 15 * (2 * n_words + n_unspaced)) THEN 512 ELSE 0 END
+  + CASE WHEN 2 * n_upper > n_letters + n_other THEN 1024 ELSE 0 END + CASE WHEN 6 * n_marks > 2 * n_words + n_unspaced THEN 2048 ELSE 0 END AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & (1 + 2 + 256 + 8 + 512 + 1024 + 2048) = 0 AS kept,
+  CAST(fail_bits AS BIGINT) AS fail_bits, n_lines, n_upper, n_letters, n_marks, n_other, n_unspaced FROM f
 """
 
 
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
+
+
+@_query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(embeddings(spark, sf_dir))
+
+
+SQL["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(CAST(c AS DOUBLE)))) = 0
+), s AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0
+), p AS (
+  SELECT a, b AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT s.a AS anchor_id, p AS positive_id, CAST(row_number() OVER (PARTITION BY s.a, p ORDER BY score DESC, b) AS INTEGER) AS rank, b AS negative_id,
+  ps AS positive_score, score AS negative_score
+FROM s JOIN p ON p.a = s.a WHERE NOT same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps
+QUALIFY row_number() OVER (PARTITION BY s.a, p ORDER BY score DESC, b) <= 10
+"""
+
+
+@_query
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
