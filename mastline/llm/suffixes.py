@@ -47,10 +47,12 @@ class LevelFamily:
         are whole. Returns which rows have their key in a smaller document, and
         the rows of first documents that were matched for the first time;
         ``matched`` marks rows known to be matched already."""
+        if not len(keys):
+            return matched.copy(), {"key": keys, "doc": docs, "extra": extra}
         order = np.argsort(keys)
         k, d, x, known_match = keys[order], docs[order], extra[order], matched[order]
         head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        least = np.minimum.reduceat(d, head) if len(k) else d
+        least = np.minimum.reduceat(d, head)
         run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(k))))
         known = np.zeros(len(head), bool)
         sources = []
@@ -77,6 +79,8 @@ class LevelFamily:
         return out, {c: np.concatenate([s[c] for s in sources]) for c in ("key", "doc", "extra")}
 
     def _push(self, level: dict[str, np.ndarray]) -> None:
+        if not len(level["key"]):
+            return
         self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-2]["key"]) < 2 * len(self.levels[-1]["key"]):
             a, b = self.levels.pop(-2), self.levels.pop()
@@ -172,9 +176,10 @@ def _whole_documents(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[p
 
 
 @lean
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_anchors(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch without open rows adds nothing to the family."""
     family = LevelFamily()
-    for table in _whole_documents(batches, BATCH):
+    for table in _whole_documents(batches, rows):
         h, doc, at, state = (table.column(c).to_numpy() for c in ("h", "doc_id", "at", "state"))
         settled, open_ = state == LATER, state != LATER
         later, first = family.add(h[open_].view(U64), doc[open_], at[open_], state[open_] == MATCHED)
@@ -217,10 +222,10 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 @lean
-def _matching_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matching_windows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Bit k: the k-th window of the anchor is in a smaller document."""
     family = LevelFamily()
-    for table in _whole_documents(batches, BATCH // 16):
+    for table in _whole_documents(batches, rows):
         doc = table.column("doc_id").to_numpy()
         data, off = buffers(table.column("around"))
         data = data[off[0]:off[-1]]
@@ -287,23 +292,23 @@ def later_copies(docs: DataFrame) -> DataFrame:
     return keys.join(low, ["text_key", "text_key2"]).where("doc_id > low").select("doc_id", "text_key", "text_key2").distinct()
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, batch: int = BATCH) -> DataFrame:
     """(doc_id, text_key, start, mask): first window of an anchor, and which of its
     windows a smaller doc_id has too. Memory is bounded by the size of a shard."""
     anchors = docs.mapInArrow(_anchor_batches, "h long, doc_id long, at long, state byte")
     shard = F.when(F.col("state") == LATER, F.xxhash64("doc_id", "at")).otherwise(F.col("h"))
     sharded = anchors.repartition(shard).sortWithinPartitions("doc_id")  # an expression, so no further column is shuffled
-    shared = cut(sharded.mapInArrow(_shared_anchors, "doc_id long, at long"), "anchors")
+    shared = cut(sharded.mapInArrow(lambda rows: _shared_anchors(rows, batch), "doc_id long, at long"), "anchors")
     shards = max(1, -(-shared.count() // SHARD_ANCHORS))
     places = shared.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
     around = docs.withColumn("text_key", F.xxhash64("text")).join(places, "doc_id").select("doc_id", "text_key", "text", "places").mapInArrow(
         _surroundings, "h long, doc_id long, text_key long, start long, around binary, mask long")
     shard = F.when(F.col("around").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("h"))
     sharded = around.repartition(shards, shard).sortWithinPartitions("doc_id")
-    return cut(sharded.mapInArrow(_matching_windows, "doc_id long, text_key long, start long, mask long"), "windows")
+    return cut(sharded.mapInArrow(lambda rows: _matching_windows(rows, max(1, batch // 16)), "doc_id long, text_key long, start long, mask long"), "windows")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, batch: int = BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets): one row per row of ``docs``.
 
     Every byte of a 50-byte string that also starts in a document with a
@@ -320,6 +325,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = cut(later_copies(known), "copies")
     index = _keyed(known).join(copies.hint("merge"), ["doc_id", "text_key", "text_key2"], "left_anti").select("doc_id", "text")
     marks = copies.select("doc_id", "text_key", F.lit(COPY).cast("long").alias("start"), F.lit(0).cast("long").alias("mask"))
-    hits = repeated_windows(index).unionByName(marks).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("hits"))
+    hits = repeated_windows(index, batch).unionByName(marks).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("hits"))
     return docs.withColumn("text_key", F.xxhash64("text")).join(hits.hint("merge"), ["doc_id", "text_key"], "left").select("doc_id", "text", "hits").mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
