@@ -12,8 +12,9 @@ series is cut into blocks of a fixed number of rows instead:
 3. Forward-looking needs (the next known value) and whole-series totals come
    from one summary row per block.
 
-The results equal those of plain windows; only the grouping differs. The time
-chunk must be chosen so that one key's rows in one chunk fit a task.
+The results equal those of plain windows; only the grouping differs. A chunk is
+either a span of time, right where one key's rows in one span fit a task, or a
+range of ``range_cut``, which cuts a key that is hot inside one span as well.
 """
 
 from __future__ import annotations
@@ -23,7 +24,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mastline.session import scratch_path
 
+RANGE = "_range"
+
+
+def range_cut(df: DataFrame, order: Sequence[str | Column], ranges: int | None = None) -> DataFrame:
+    """``df`` with a range number that rises with ``order`` (nulls first).
+
+    Spark samples the order for cuts of about equal numbers of rows, so a range's
+    size depends on neither keys nor times. The rows are written once: the cuts
+    are the same for all who read them, and for tasks that are run again. Rows
+    equal in all of ``order`` stay together; end it with something that tells
+    them apart. Without ``ranges`` there are as many as shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranges")
+    cut = df.repartitionByRange(n, *order).withColumn(RANGE, F.spark_partition_id())
+    cut.write.parquet(path)
+    return spark.read.schema(cut.schema).parquet(path)
 
 
 def plain_keys(df: DataFrame, keys: Sequence[str], prefix: str = "_key") -> tuple[DataFrame, list[str]]:
@@ -94,3 +114,10 @@ def carry_between_chunks(df: DataFrame, keys: Sequence[str], chunk: str, value:
         F.max_by(value, F.when(value.isNotNull(), order)).alias("_last"))
     earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     return last.select(*keys, chunk, F.last("_last", ignorenulls=True).over(earlier).alias(name))
+
+
+def following_chunk(df: DataFrame, keys: Sequence[str], chunk: str, value: Column, order: Column, name: str) -> DataFrame:
+    """Per (key, chunk): the first non-null ``value`` of all later chunks."""
+    first = df.groupBy(*keys, chunk).agg(F.min_by(value, F.when(value.isNotNull(), order)).alias("_first"))
+    later = Window.partitionBy(*keys).orderBy(F.desc(chunk)).rowsBetween(Window.unboundedPreceding, -1)
+    return first.select(*keys, chunk, F.last("_first", ignorenulls=True).over(later).alias(name))

@@ -169,6 +169,14 @@ def latest_rows(df: DataFrame, order: Sequence[str], k: int = 10) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(k)
 
 
+def drill_down(df: DataFrame, site: str | None = None, cell: str | None = None) -> DataFrame:
+    """Rows of one site, of one cell, or of one cell at one site."""
+    for column, value in (("site_id", site), ("cell_id", cell)):
+        if value is not None:
+            df = df.where(F.col(column) == value)
+    return df
+
+
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "total") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 

@@ -56,7 +56,9 @@ def add_series_features(
 
     Without ``block_rows`` all features share one window per key: right when a
     series is bounded, such as one row per hour. With ``block_rows`` the series
-    is cut into blocks (see ``blocks``), which keeps a hot key spread out.
+    is cut into blocks (see ``blocks``), which keeps a hot key spread out. Places
+    in the series come from ranges of equal size, or from ``chunk``, a column
+    that rises with the order.
     """
     if block_rows is None:
         w = Window.partitionBy(*keys).orderBy(*order)
@@ -75,7 +77,8 @@ def add_series_features(
 
     lookback = max([n - 1 for n in roll_sizes if roll] + [k for k in lag_steps if lag]
                    + [k for k in delta_steps if delta])
-    placed = B.with_positions(df, keys, order, chunk if chunk is not None else B.chunk_of(order[0]))
+    cut = df if chunk is not None else B.range_cut(df, [*keys, *order])
+    placed = B.with_positions(cut, keys, order, chunk if chunk is not None else F.col(B.RANGE))
     spread = B.blocked(placed, block_rows, lookback)
     w = B.block_window(keys)
     lags = {f"{c}_lag{k}": F.lag(c, k).over(w) for c in lag for k in lag_steps}
@@ -132,31 +135,30 @@ def feature_names(roll, roll_sizes, lag, lag_steps, delta, delta_steps) -> list[
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str,
-              columns: Sequence[str], chunk: str = "day", tie: Sequence[str] = ()) -> DataFrame:
+              columns: Sequence[str], tie: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Each left row with the newest right row at or before it (left outer).
 
-    Null keys match nothing, as in SQL. Both sides are merged into one series
-    per (key, time chunk), so a hot key is split by time. The state entering a chunk comes from a summary with one
-    row per (key, chunk). ``columns`` are the right columns to attach; ``tie``
-    orders right rows of equal time.
+    Null keys match nothing, as in SQL. Both sides are merged into one series and
+    cut into ranges of equal size by (key, time), so a key is split however hot
+    it is, and within one instant too. The state entering a range comes from a
+    summary with one row per key and range. ``columns`` are the right columns to
+    attach; ``tie`` orders right rows of equal time.
     """
     payload = F.struct(*[F.col(c).alias(c) for c in columns], F.col(right_ts).alias("_matched_ts"),
                        *[F.col(t).alias(f"_tie_{i}") for i, t in enumerate(tie)])
     known = lambda ts: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (*on, ts)])
+    ties = [f"_right._tie_{i}" for i in range(len(tie))]
     r = right.where(known(right_ts)).select(
-        *[F.col(k) for k in on], F.col(right_ts).alias("_ts"), payload.alias("_right"))
+        *[F.col(k) for k in on], F.col(right_ts).alias("_ts"), payload.alias("_right"), F.lit(0).cast("long").alias("_side"))
+    # At one time right rows come first; left rows follow, told apart by a number that is never 0.
     whole_row = F.struct(*[F.col(c) for c in left.columns]).alias("_left")
-    l = left.where(known(left_ts)).select(*[F.col(k) for k in on], F.col(left_ts).alias("_ts"), whole_row)
-    merged = l.unionByName(r, allowMissingColumns=True).withColumn("_chunk", B.chunk_of("_ts", chunk))
-    order = F.struct(F.col("_ts"), *[F.col(f"_right._tie_{i}") for i in range(len(tie))])
-    carry = B.carry_between_chunks(merged, on, "_chunk", F.col("_right"), order, "_carried")
-    inside = (
-        Window.partitionBy(*on, "_chunk")
-        .orderBy("_ts", F.col("_left").isNotNull(), *[F.col(f"_right._tie_{i}") for i in range(len(tie))])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    spread = F.xxhash64(*left.columns).bitwiseAND(F.lit((1 << 62) - 1)) + 1
+    l = left.where(known(left_ts)).select(*[F.col(k) for k in on], F.col(left_ts).alias("_ts"), whole_row, spread.alias("_side"))
+    merged = B.range_cut(l.unionByName(r, allowMissingColumns=True), [*on, "_ts", "_side", *ties], ranges)
+    carry = B.carry_between_chunks(merged, on, B.RANGE, F.col("_right"), F.struct("_ts", *ties), "_carried")
+    inside = Window.partitionBy(*on, B.RANGE).orderBy("_ts", "_side", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = merged.withColumn("_seen", F.last("_right", ignorenulls=True).over(inside))
-    both = here.where(F.col("_left").isNotNull()).join(carry, [*on, "_chunk"], "left")
+    both = here.where(F.col("_left").isNotNull()).join(carry, [*on, B.RANGE], "left")
     picked = both.select("_left", F.coalesce("_seen", "_carried").alias("_match"))
     # Rows without a key or a time match nothing and need no series.
     picked = picked.unionByName(left.where(~known(left_ts)).select(whole_row), allowMissingColumns=True)

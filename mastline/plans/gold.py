@@ -13,15 +13,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mastline.functions import scalars as S
 from mastline.operators import slots as slot_ops
-from mastline.operators.blocks import plain_keys
+from mastline.operators.blocks import RANGE, carry_between_chunks, following_chunk, plain_keys, range_cut
 from mastline.operators.joins import assemble_wide
 from mastline.operators import rollup as R
 from mastline.operators.timebuckets import time_bucket
+from mastline.operators.timeseries import asof_join
 
 SITE_BUCKET = ["site_id", "bucket_start"]
 
@@ -44,6 +45,49 @@ def build_dimension(df: DataFrame, keys: Sequence[str], attributes: Sequence[str
     return kept.select(S.surrogate_key(*keys).alias(surrogate), *keys, *attributes)
 
 
+def dimension_history(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], surrogate: str, ts: str = "snapshot_time",
+                      order: Sequence[str] = ("sequence_number", "message_id"), ranges: int | None = None) -> DataFrame:
+    """Effective-dated versions: keys, attributes, ``valid_from``, ``valid_to``, ``is_current``.
+
+    A version begins where a key's attributes differ from those before (nulls are
+    values) and holds until the next one begins, exclusively; the newest has no
+    end. Of several readings at one time the last by ``order`` counts. Readings
+    without a time or a key date nothing. The surrogate is an md5 of the keys and
+    the version's start.
+
+    A key's readings are cut into ranges; what enters a range, and what follows
+    it, comes from summaries with one row per key and range.
+    """
+    now = F.struct(*attributes)
+    known = df.dropna(subset=[*keys, ts])
+    read = known.groupBy(*keys, F.col(ts).alias("valid_from")).agg(F.max_by(now, F.struct(*order)).alias("_a"))
+    cut = range_cut(read, [*keys, "valid_from"], ranges)
+    inside = Window.partitionBy(*keys, RANGE).orderBy("valid_from")
+    carried = carry_between_chunks(cut, keys, RANGE, F.col("_a"), F.col("valid_from"), "_before")
+    seen = cut.withColumns({"_own": F.lag("_a").over(inside), "_first": F.row_number().over(inside) == 1}).join(carried, [*keys, RANGE])
+    before = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_own"))
+    begun = seen.where(~before.eqNullSafe(F.col("_a"))).select(*keys, "valid_from", "_a", RANGE)
+    behind = following_chunk(begun, keys, RANGE, F.col("valid_from"), F.col("valid_from"), "_after")
+    dated = begun.withColumn("_next", F.lead("valid_from").over(inside)).join(behind, [*keys, RANGE])
+    until = F.coalesce("_next", "_after")
+    stamp = F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return dated.select(S.surrogate_key(*keys, stamp).alias(surrogate), *keys, "_a.*", "valid_from", until.alias("valid_to"), until.isNull().alias("is_current"))
+
+
+def join_version(fact: DataFrame, history: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Each fact row with ``columns`` of the version valid at its time: versions of a
+    key leave no gap, so it is the newest one begun by then. No row is multiplied
+    or lost; rows before the first version, or without a key or time, get nulls."""
+    return asof_join(fact, history, keys, ts, "valid_from", columns, ranges=ranges).drop("matched_ts")
+
+
+ANTENNA = ["sector_id", "mimo_layers", "azimuth_degree", "tilt_degree"]
+
+
+def dim_antenna_history(antennas: DataFrame) -> DataFrame:
+    return dimension_history(antennas, ["site_id", "antenna_id"], ANTENNA, "antenna_version_sk")
+
+
 def dim_site(site_snapshot: DataFrame) -> DataFrame:
     return build_dimension(
         site_snapshot, ["site_id"], ["site_name", "region", "vendor", "latitude", "longitude"], "site_sk")
@@ -62,9 +106,7 @@ def dim_radio_unit(radio_units: DataFrame) -> DataFrame:
 
 
 def dim_antenna(antennas: DataFrame) -> DataFrame:
-    return build_dimension(
-        antennas, ["site_id", "antenna_id"], ["sector_id", "mimo_layers", "azimuth_degree", "tilt_degree"],
-        "antenna_sk")
+    return build_dimension(antennas, ["site_id", "antenna_id"], ANTENNA, "antenna_sk")
 
 
 def dim_link(links: DataFrame) -> DataFrame:

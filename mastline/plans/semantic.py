@@ -4,14 +4,15 @@ A model is tables (dimensions, measures with a default aggregation) and
 many-to-one relationships. ``SemanticModel.query`` resolves names, walks the
 relationships from the measures' table to the dimensions' tables, and builds
 one DataFrame plan; only many-to-one steps are allowed, so a join never
-multiplies fact rows. Measures of several facts are aggregated apart and
+multiplies fact rows. Facts are aggregated by their foreign keys before they are
+joined, so what a join moves is the size of the dimensions. Measures of several facts are aggregated apart and
 joined on the shared dimensions.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,19 @@ from pyspark.sql import functions as F
 AGGREGATES = {
     "avg": F.avg, "sum": F.sum, "max": F.max, "count": F.count, "count_distinct": F.count_distinct,
 }
+#: Aggregates that combine: columns of a partial row, and the whole from partial rows.
+PARTIAL = {
+    "avg": lambda c, g: [F.sum(c).alias(f"s__{g}"), F.count(c).alias(f"n__{g}")],
+    "sum": lambda c, g: [F.sum(c).alias(f"s__{g}")],
+    "max": lambda c, g: [F.max(c).alias(f"s__{g}")],
+    "count": lambda c, g: [F.count(c).alias(f"n__{g}")],
+}
+FINAL = {
+    "avg": lambda g: F.try_divide(F.sum(f"s__{g}"), F.sum(f"n__{g}")),
+    "sum": lambda g: F.sum(f"s__{g}"),
+    "max": lambda g: F.max(f"s__{g}"),
+    "count": lambda g: F.coalesce(F.sum(f"n__{g}"), F.lit(0).cast("long")),
+}
 # Endings a business name usually leaves out.
 UNIT_ENDINGS = ("_dbm", "_db", "_percent", "_mbps", "_ms", "_c", "_volt", "_gb", "_mhz", "_degree", "_id", "_avg")
 
@@ -484,37 +498,55 @@ class SemanticModel:
         def name(table: str, logical: str) -> str:
             return f"{table}__{logical}"
 
-        def view(table: str) -> DataFrame:
-            spec = self.tables[table]
-            cols = [F.col(spec.dimensions[c]).alias(name(table, c)) for c in sorted(needed[table])]
-            if table == base:
-                cols += [F.col(m.column).alias(f"m__{g}") for g, m in spec.measures.items()
-                         if g in logicals and m.column]
-            return frames[spec.source].select(*cols)
+        def columns(table: str) -> list[Column]:
+            return [F.col(self.tables[table].dimensions[c]).alias(name(table, c)) for c in sorted(needed[table])]
+
+        def wanted(plan: DataFrame, here: Callable[[str], bool]) -> DataFrame:
+            for (table, logical), value in filters:
+                if here(table):
+                    c = F.col(name(table, logical))
+                    met = value(c) if callable(value) else c.isin(list(value)) if isinstance(value, (list, tuple, set)) else c == value
+                    plan = plan.where(met)
+            return plan
 
-        plan = view(base)
-        for r in steps:
-            left, right = name(r.left, r.left_column), name(r.right, r.right_column)
-            other = view(r.right).where(F.col(right).isNotNull())
-            plan = plan.join(other, F.col(left) == F.col(right), "inner" if inner else "left")
-        for (table, logical), wanted in filters:
-            c = F.col(name(table, logical))
-            if callable(wanted):
-                plan = plan.where(wanted(c))
-            else:
-                plan = plan.where(c.isin(list(wanted)) if isinstance(wanted, (list, tuple, set)) else c == wanted)
         keys: list[str] = []
         grouping = []
         for table, logical in dims:
             label = logical if logical not in keys else name(table, logical)
             keys.append(label)
             grouping.append(F.col(name(table, logical)).alias(label))
-        aggs = []
+
+        def finished(facts: DataFrame, aggs: Sequence[Column]) -> DataFrame:
+            """Joins and filters of the dimensions, then the last aggregate."""
+            plan = facts
+            for r in steps:
+                left, right = name(r.left, r.left_column), name(r.right, r.right_column)
+                other = frames[self.tables[r.right].source].select(*columns(r.right)).where(F.col(right).isNotNull())
+                plan = plan.join(other, F.col(left) == F.col(right), "inner" if inner else "left")
+            return wanted(plan, lambda table: table != base).groupBy(*grouping).agg(*aggs)
+
+        spec = self.tables[base]
+        facts = frames[spec.source]
+        own = [name(base, c) for c in sorted(needed[base])]
+        source = {g: F.lit(1) if spec.measures[g].column is None else F.col(f"m__{g}") for g in logicals}
+        read = wanted(facts.select(*columns(base), *[F.col(m.column).alias(f"m__{g}") for g, m in spec.measures.items() if g in logicals and m.column]),
+                      lambda table: table == base)
+        if not steps:
+            return read.groupBy(*grouping).agg(*[AGGREGATES[spec.measures[g].agg](source[g]).alias(g) for g in logicals]), keys
+        # Facts shrink to their foreign keys before they meet a dimension: partial
+        # sums and counts in one pass, and distinct values apart from those.
+        plain = [g for g in logicals if spec.measures[g].agg != "count_distinct"]
+        parts = []
+        if plain:
+            partial = [a for g in plain for a in PARTIAL[spec.measures[g].agg](source[g], g)]
+            parts.append(finished(read.groupBy(*own).agg(*partial), [FINAL[spec.measures[g].agg](g).alias(g) for g in plain]))
         for g in logicals:
-            m = self.tables[base].measures[g]
-            source = F.lit(1) if m.column is None else F.col(f"m__{g}")
-            aggs.append(AGGREGATES[m.agg](source).alias(g))
-        return plan.groupBy(*grouping).agg(*aggs), keys
+            if g not in plain:
+                parts.append(finished(read.select(*own, source[g].alias(f"d__{g}")).distinct(), [F.count_distinct(f"d__{g}").alias(g)]))
+        out = parts[0]
+        for part in parts[1:]:
+            out = self._merge(out, part, keys)
+        return out.select(*keys, *logicals), keys
 
 
 # ---------------------------------------------------------------------------

@@ -13,6 +13,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans see the row counts that catalog tables keep.
+    "spark.sql.cbo.planStats.enabled": "true",
 }
 
 

@@ -126,21 +126,32 @@ def backfill_chunks(
     return framed.withColumn("chunk_key", F.coalesce(key, F.lit(f"{topic}/outside_windows")))
 
 
-def write_backfill(df: DataFrame, path: str, overwrite: bool = False) -> None:
+OUTSIDE = "_outside_windows"
+
+
+def landed_folders(spark: SparkSession, path: str, layout: Sequence[str]) -> list[tuple[str, ...]]:
+    """Partition values below ``path``, from folder names alone; no file is opened."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "".join(f"/{c}=*" for c in layout))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [tuple(part.split("=", 1)[1] for part in s.getPath().toString().split("/")[-len(layout):]) for s in found]
+
+
+def write_backfill(df: DataFrame, path: str, ts: str, overwrite: bool = False) -> None:
     """Land chunks as JSON by hour; hours already present are kept unless ``overwrite``.
-    Rows outside the windows have no hour to go to; they stay visible in ``df``
-    under their own key and are not landed."""
+
+    Rows outside the windows have no hour to go to. They are landed by day of
+    ``ts`` below ``path/_outside_windows``, which readers of ``path`` do not see,
+    under the same rule. What is present is known from folder names.
+    """
     spark = df.sparkSession
-    framed = hour_partitions(df.where(F.col("chunk_start").isNotNull()), "chunk_start").drop("chunk_start", "chunk_key")
-    if overwrite:
-        (
-            framed.write.partitionBy(*HOUR_LAYOUT).mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").json(path)
-        )
-        return
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        layout = ", ".join(f"{c} string" for c in HOUR_LAYOUT)
-        landed = spark.read.schema(layout).json(path).select(*HOUR_LAYOUT).distinct()
-        framed = framed.join(landed, HOUR_LAYOUT, "left_anti")
-    framed.write.partitionBy(*HOUR_LAYOUT).mode("append").json(path)
+    inside = hour_partitions(df.where(F.col("chunk_start").isNotNull()), "chunk_start").drop("chunk_start", "chunk_key")
+    outside = df.where(F.col("chunk_start").isNull()).drop("chunk_start", "chunk_key")
+    outside = outside.withColumn("day", F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("unknown")))
+    for rows, where, layout in ((inside, path, HOUR_LAYOUT), (outside, f"{path.rstrip('/')}/{OUTSIDE}", ["day"])):
+        if overwrite:
+            rows.write.partitionBy(*layout).mode("overwrite").option("partitionOverwriteMode", "dynamic").json(where)
+            continue
+        present = landed_folders(spark, where, layout)
+        if present:
+            rows = rows.join(spark.createDataFrame(present, ", ".join(f"{c} string" for c in layout)), list(layout), "left_anti")
+        rows.write.partitionBy(*layout).mode("append").json(where)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mastline.functions import scalars as S
 from mastline.operators import joins, slots, timebuckets, timeseries
 from mastline.operators.blocks import chunk_of
+from mastline.operators.ledger import RunLedger
 from mastline.plans import features, training
 from mastline.session import scratch_path
 from mastline.sources import brokers, files, sinks
@@ -182,7 +183,7 @@ def asof_weather(spark, sf):
     left = ST.silver(spark, sf, "site_snapshot").select("message_id", "site_id", "snapshot_time")
     right = I.weather(spark, sf).where(F.col("ran_site_id") != "").select(
         F.col("ran_site_id").alias("site_id"), F.col("ingested_at").cast("timestamp").alias("at"), "k")
-    out = timeseries.asof_join(left, right, ["site_id"], "snapshot_time", "at", ["k"], chunk="hour", tie=["k"])
+    out = timeseries.asof_join(left, right, ["site_id"], "snapshot_time", "at", ["k"], tie=["k"])
     return out.select("message_id", "k")
 
 
@@ -229,6 +230,67 @@ def registered_views(spark, sf):
     return spark.sql("SELECT n_regionkey, count(*) AS nations, min(n_name) AS first_name FROM nation_view GROUP BY n_regionkey")
 
 
+@register("snapshot_files", Q.query(Q.MSG, select="""
+SELECT site_id, count(*) AS rows, count(DISTINCT message_id) AS messages, 0 AS unseen_files FROM msg GROUP BY site_id"""))
+def snapshot_files(spark, sf):
+    """JSON snapshots in two deliveries, each read by its new files; the manifest then leaves nothing unseen."""
+    root = scratch_path(spark, "snapshot-files")
+    own = ST.raw(spark, sf).drop("source_file")
+    for part in (0, 1):
+        own.where(F.pmod(F.xxhash64("message_id"), F.lit(2)) == part).write.json(f"{root}/landed/part={part}")
+        rows, todo = files.read_new_snapshots(spark, f"{root}/landed", f"{root}/manifest")
+        rows.select("message_id", "ran_metadata.site_id", "source_file").write.parquet(f"{root}/read/delivery={part}")
+        files.write_manifest(todo, f"{root}/manifest")
+    left = files.new_files(files.list_files(spark, f"{root}/landed"), files.read_manifest(spark, f"{root}/manifest"))
+    return files.read_table(spark, root, "read").groupBy("site_id").agg(
+        F.count("*").alias("rows"), F.count_distinct("message_id").alias("messages")).withColumn("unseen_files", left.agg(F.count("*")).scalar())
+
+
+@register("backfill_landing", """
+WITH m AS (SELECT ts, hour(ts) * 60 + minute(ts) AS m FROM events)
+SELECT strftime(ts, '%Y-%m-%d') AS day, m < 720 OR m >= 735 AS inside, count(*) AS total FROM m GROUP BY ALL""")
+def backfill_landing(spark, sf):
+    """Chunks landed twice: what is there is kept, and rows outside the windows stand apart."""
+    root = scratch_path(spark, "backfill")
+    chunks = sinks.backfill_chunks(events(spark, sf).select("event_id", "ts"), "ts", "ran_telemetry")
+    for _ in range(2):
+        sinks.write_backfill(chunks, root, "ts")
+    layout = ", ".join(f"{c} string" for c in sinks.HOUR_LAYOUT)
+    inside = spark.read.schema(f"event_id long, {layout}").json(root).select(F.concat_ws("-", *sinks.HOUR_LAYOUT[:3]).alias("day"), F.lit(True).alias("inside"))
+    outside = spark.read.schema("event_id long, day string").json(f"{root}/{sinks.OUTSIDE}").select("day", F.lit(False).alias("inside"))
+    return inside.unionByName(outside).groupBy("day", "inside").agg(F.count("*").alias("total"))
+
+
+@register("catalog_tables", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids, (SELECT count(*) FROM events) AS known_rows
+FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1""")
+def catalog_tables(spark, sf):
+    """A catalog table over two loads: the newest day is found and counted by the catalog."""
+    root = scratch_path(spark, "catalog")
+    rows = events(spark, sf).select("event_id", "ts", F.to_date("ts").alias("day"))
+    newest = rows.agg(F.max("day").alias("day")).scalar()
+    rows.where(F.col("day") < newest).hint("rebalance", "day").write.partitionBy("day").parquet(f"{root}/event_days")
+    table = files.create_tables(spark, root, {"event_days": ["day"]}, f"serving_{root.rsplit('-', 1)[1]}")[0]
+    rows.where(F.col("day") == newest).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{root}/event_days")
+    files.refresh_loaded(spark, table, True)
+    last = files.latest_partition(spark.table(table), "day")
+    return last.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("events"), F.sum("event_id").alias("ids")).withColumn("known_rows", F.lit(files.known_rows(spark, table)).cast("long"))
+
+
+@register("run_ledger", Q.query(Q.MSG, Q.CELLS, Q.RAW_LINKS, Q.ALERTS, select=" UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", sequence_number % 2 AS load, count(*) AS rows_in, count(snapshot_time) AS rows_out, "
+    f"count(*) - count(snapshot_time) AS rows_quarantined FROM {t} GROUP BY 2" for t in ("cells", "transport_links", "alerts"))))
+def run_ledger(spark, sf):
+    """Two loads of three tables; readings without a time are set apart, and every row is accounted for."""
+    root = scratch_path(spark, "run-ledger")
+    ledger = RunLedger(spark, f"{root}/ledger")
+    for load in (0, 1):
+        own = {t: ST.silver(spark, sf, t).where(F.col("sequence_number") % 2 == load) for t in ("cells", "transport_links", "alerts")}
+        ledger.write({t: (rows, F.col("snapshot_time").isNull()) for t, rows in own.items()}, f"{root}/silver", load)
+    return ledger.read().drop("recorded_at")
+
+
 @register("partition_rows", Q.query(Q.MSG, Q.CELLS, *W.fact_cells_ctes(), select="""
 SELECT cell_key, count(*) AS total FROM fact_cells WHERE gold_date = DATE '2026-01-01' GROUP BY cell_key"""))
 def partition_rows(spark, sf):
@@ -307,11 +369,46 @@ SELECT event_id % 1000 AS dedup_key, count(*) AS total FROM (SELECT DISTINCT eve
 def stream_dedup(spark, sf):
     doubled = event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     out = scratch_path(spark, "stream-dedup")
-    jobs.run_distinct(doubled, ["event_id"], f"{out}/data", f"{out}/checkpoint")
+    for attempt in ("first", "replay"):  # the second stream has lost its checkpoint and sends every row again
+        jobs.run_distinct(doubled, ["event_id"], f"{out}/data", f"{out}/{attempt}")
     once = spark.read.parquet(f"{out}/data")
     return once.groupBy((F.col("event_id") % 1000).alias("dedup_key")).agg(F.count("*").alias("total"))
 
 
+def hashed_stream(spark, sf):
+    """Events under md5 ids, in twelve files that each repeat rows of the one before."""
+    def build(path: str) -> None:
+        rows = events(spark, sf).select(F.md5(F.col("event_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value",
+                                        F.pmod(F.xxhash64("event_id"), F.lit(11)).cast("int").alias("part"))
+        again = rows.where(F.col("value") > 50).withColumn("part", F.col("part") + 1)
+        rows.unionByName(again).repartition(12, "part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+
+    path = ST._once(spark, sf, "hashed-events", build)
+    return spark.readStream.schema("id string, ts timestamp, event_type string, value double, part int").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@register("stream_dedup_hashed", """
+SELECT event_type, count(*) AS total, count(DISTINCT event_id) AS ids FROM events GROUP BY 1""")
+def stream_dedup_hashed(spark, sf):
+    """Many batches of hashed ids: a batch opens the key files whose filter may hold its keys."""
+    out = scratch_path(spark, "stream-hashed")
+    jobs.run_distinct(hashed_stream(spark, sf), ["id"], f"{out}/data", f"{out}/checkpoint", buckets=8)
+    once = spark.read.parquet(f"{out}/data")
+    return once.groupBy("event_type").agg(F.count("*").alias("total"), F.count_distinct("id").alias("ids"))
+
+
+@register("stream_bucket_levels", f"""
+WITH e AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE value > 50),
+b AS (SELECT time_bucket(INTERVAL '15 minutes', ts) AS s, event_type, count(*) AS n, max(value) AS top FROM e GROUP BY ALL)
+SELECT {Q.stamp('s')} AS bucket_start, event_type, n, top FROM b""")
+def stream_bucket_levels(spark, sf):
+    """Many batches of partial buckets, merged into levels on the way."""
+    measures = {"n": (F.count("*"), F.sum), "top": (F.max("value"), F.max)}
+    out = scratch_path(spark, "stream-levels")
+    jobs.run_bucket_partials(hashed_stream(spark, sf), ["event_type"], measures, f"{out}/data", f"{out}/checkpoint", ts="ts")
+    return jobs.merged_buckets(spark, f"{out}/data", ["event_type"], measures)
+
+
 @register("stream_raw_landing", """
 SELECT event_type AS message_key, count(*) AS total, CAST(sum(event_id) AS BIGINT) AS offsets FROM events GROUP BY 1""")
 def stream_raw_landing(spark, sf):
@@ -431,18 +528,76 @@ def predict_with_function(spark, sf):
         ST.wide(spark, sf), lambda rows: training.score_with_function(rows, scorer), surplus=ST.surplus_cells(spark, sf))
 
 
+def labelled_wide(spark, sf):
+    """Hourly rows labelled by load: a site-hour is congested when any of its cells is."""
+    hot = F.greatest(*[F.coalesce(f"cell_{i}_prb_utilization_percent", F.lit(0.0)) for i in (1, 2, 3)]) > 80
+    beyond = ST.surplus_cells(spark, sf).groupBy("site_id", "timestamp").agg(F.max("prb_utilization_percent").alias("_beyond"))
+    w = ST.wide(spark, sf)
+    same = w["site_id"].eqNullSafe(beyond["site_id"]) & w["timestamp"].eqNullSafe(beyond["timestamp"])
+    joined = w.join(beyond, same, "left").select(w["*"], "_beyond")
+    return joined.withColumn("scenario_label", F.when(hot | (F.coalesce("_beyond", F.lit(0.0)) > 80), "CONGESTED").otherwise("NORMAL")).drop("_beyond")
+
+
+def training_table(spark, sf):
+    def build(path: str) -> None:
+        training.training_frame(labelled_wide(spark, sf), surplus=ST.surplus_cells(spark, sf)).write.parquet(path)
+    return spark.read.parquet(ST._once(spark, sf, "training-frame", build))
+
+
+FOLDS, SMALL = 2, training.BoostSettings(max_trees=3, depth=3, min_final_trees=3)
+
+
+def trained(spark, sf):
+    """Artefacts of the small model and its fold metrics, trained once: (model, manifest, folds)."""
+    def build(path: str) -> None:
+        model, folds = training.train(training_table(spark, sf), settings=SMALL, splits=FOLDS)
+        training.save_artefacts(model, training.Manifest(), f"{path}/artefacts")
+        spark.createDataFrame([(f["fold"], f["auc"], f["ap"], f["trees"]) for f in folds], "fold int, auc double, average_precision double, trees int").write.parquet(
+            f"{path}/folds")
+    path = ST._once(spark, sf, "trained", build)
+    return (*training.load_artefacts(f"{path}/artefacts"), spark.read.parquet(f"{path}/folds"))
+
+
 @register("train_evaluate")
 def train_evaluate(spark, sf):
     """Boosted trees on the hourly table, few and shallow; labels follow load."""
-    hot = F.greatest(*[F.coalesce(f"cell_{i}_prb_utilization_percent", F.lit(0.0)) for i in (1, 2, 3)]) > 80
-    labelled = ST.wide(spark, sf).withColumn("scenario_label", F.when(hot, "CONGESTED").otherwise("NORMAL"))
-    path = scratch_path(spark, "training-frame")
-    training.training_frame(labelled, surplus=ST.surplus_cells(spark, sf)).write.parquet(path)
-    frame = spark.read.parquet(path)
-    small = training.BoostSettings(max_trees=3, depth=3, min_final_trees=3)
-    model, folds = training.train(frame, settings=small, splits=2)
-    scored = training.add_probability(model.transform(frame.withColumn("weight", F.lit(1.0))))
+    model, _, folds = trained(spark, sf)
+    scored = training.add_probability(model.transform(training_table(spark, sf).withColumn("weight", F.lit(1.0))))
     areas = training.area_metrics(scored).withColumn("stage", F.lit("all"))
-    per_fold = spark.createDataFrame(
-        [(f"fold {f['fold']}", f["auc"], f["ap"]) for f in folds], "stage string, auc double, average_precision double")
-    return areas.select("stage", "auc", "average_precision").unionByName(per_fold)
+    return areas.select("stage", "auc", "average_precision").unionByName(
+        folds.select(F.concat(F.lit("fold "), "fold").alias("stage"), "auc", "average_precision"))
+
+
+@register("train_importances")
+def train_importances(spark, sf):
+    """The features that the trained trees rest on; at most thirty."""
+    model, manifest, _ = trained(spark, sf)
+    return training.importance_rows(spark, model, manifest)
+
+
+HOT = "max(COALESCE(prb_utilization_percent, 0)) OVER (PARTITION BY site_id, timestamp) > 80"
+
+
+@register("training_frame_folds", Q.query(Q.MSG, Q.CELLS, *W.wide_ctes(), *W.LONG, select=f"""
+SELECT fold, count(*) AS rows, CAST(sum(label) AS BIGINT) AS failures, {Q.stamp('max(timestamp)')} AS last_time FROM (
+  SELECT *, CASE WHEN timestamp IS NULL THEN 0 ELSE CAST(coalesce(floor(3 * before / total), 0) AS BIGINT) END AS fold FROM (
+    SELECT timestamp, CASE WHEN {HOT} THEN 1 ELSE 0 END AS label, count(timestamp) OVER () AS total,
+      count(timestamp) OVER (ORDER BY timestamp NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        - count(timestamp) OVER (PARTITION BY timestamp) AS before FROM long)) GROUP BY fold"""))
+def training_frame_folds(spark, sf):
+    """Rows, failures and last time of each fold of the training table; every cell of a site-hour takes part."""
+    folded = training.time_folds(training_table(spark, sf), splits=FOLDS)
+    return folded.groupBy("fold").agg(F.count("*").alias("rows"), F.sum("label").cast("long").alias("failures"), F.max("timestamp").alias("last_time"))
+
+
+@register("artefact_round_trip", Q.query(Q.MSG, Q.CELLS, *W.wide_ctes(), *W.LONG, select="""
+SELECT count(*) AS rows, count(*) AS equal_scores, 284 AS n_features FROM long"""))
+def artefact_round_trip(spark, sf):
+    """A stored model and manifest, loaded twice, give every row the same score."""
+    first, manifest, _ = trained(spark, sf)
+    second, again, _ = trained(spark, sf)
+    rows = training_table(spark, sf).withColumn("weight", F.lit(1.0))
+    rows = training.score_with_model(rows, first).drop("features", "rawPrediction", "probability", "prediction")
+    both = training.add_probability(second.transform(rows), "second_score")
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("failure_score") == F.col("second_score")).alias("equal_scores")).withColumn(
+        "n_features", F.lit(len(again.feature_columns) if again == manifest else -1))

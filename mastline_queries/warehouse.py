@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mastline.functions import scalars as S
 from mastline.operators import normalize as N
 from mastline.operators import predictions as P
+from mastline.operators.state import SeriesState
 from mastline.plans import features, gold, semantic
 from mastline_queries import layout
 from mastline_queries import inputs as I
@@ -112,6 +113,35 @@ def dim_antenna_variants(spark, sf):
         ["sector_id", "mimo_layers", "azimuth_degree", "tilt_degree"], "antenna_sk", latest=False)
 
 
+HISTORY = """r AS (SELECT *, row_number() OVER (PARTITION BY site_id, antenna_id, snapshot_time ORDER BY sequence_number DESC, message_id DESC) AS rn
+  FROM antennas WHERE snapshot_time IS NOT NULL),
+c AS (SELECT *, row(sector_id, mimo_layers, azimuth_degree, tilt_degree) AS a,
+  lag(row(sector_id, mimo_layers, azimuth_degree, tilt_degree)) OVER (PARTITION BY site_id, antenna_id ORDER BY snapshot_time) AS b FROM r WHERE rn = 1),
+history AS (SELECT site_id, antenna_id, sector_id, mimo_layers, azimuth_degree, tilt_degree, snapshot_time AS valid_from,
+  lead(snapshot_time) OVER (PARTITION BY site_id, antenna_id ORDER BY snapshot_time) AS valid_to FROM c WHERE b IS DISTINCT FROM a)"""
+
+
+@register("dim_antenna_history", Q.query(Q.MSG, Q.ANTENNAS, HISTORY, select=f"""
+SELECT md5(concat_ws('|', site_id, antenna_id, strftime(valid_from, '%Y-%m-%d %H:%M:%S.%f'))) AS antenna_version_sk, site_id, antenna_id, sector_id,
+  mimo_layers, azimuth_degree, tilt_degree, {Q.stamp('valid_from')} AS valid_from, {Q.stamp('valid_to')} AS valid_to, valid_to IS NULL AS is_current
+FROM history"""))
+def dim_antenna_history(spark, sf):
+    return gold.dim_antenna_history(ST.silver(spark, sf, "antennas"))
+
+
+@register("fact_antenna_versions", Q.query(Q.MSG, Q.ANTENNAS, HISTORY, select="""
+SELECT f.site_id, h.tilt_degree, count(*) AS readings, sum(f.rssi_dbm) AS rssi, sum(f.tilt_degree - h.tilt_degree) AS drift
+FROM antennas f LEFT JOIN history h ON f.site_id = h.site_id AND f.antenna_id = h.antenna_id AND f.snapshot_time >= h.valid_from
+  AND (h.valid_to IS NULL OR f.snapshot_time < h.valid_to) GROUP BY ALL"""))
+def fact_antenna_versions(spark, sf):
+    """Antenna readings by the tilt that was valid at their time."""
+    antennas = ST.silver(spark, sf, "antennas")
+    history = gold.dim_antenna_history(antennas).withColumnRenamed("tilt_degree", "valid_tilt")
+    dated = gold.join_version(antennas, history, ["site_id", "antenna_id"], "snapshot_time", ["antenna_version_sk", "valid_tilt"])
+    return dated.groupBy("site_id", F.col("valid_tilt").alias("tilt_degree")).agg(
+        F.count("*").alias("readings"), F.sum("rssi_dbm").alias("rssi"), F.sum(F.col("tilt_degree") - F.col("valid_tilt")).alias("drift"))
+
+
 @register("dim_link", Q.query(Q.MSG, Q.LINKS, newest("transport_links", "site_id, link_id", ["link_type"]),
           select="SELECT md5(concat_ws('|', site_id, link_id)) AS link_sk, * FROM newest"))
 def dim_link(spark, sf):
@@ -525,7 +555,7 @@ def wide_to_long(spark, sf):
     return features.all_cells(ST.wide(spark, sf), ST.surplus_cells(spark, sf))
 
 
-def feature_select() -> list[str]:
+def feature_select(backfill: bool = True) -> list[str]:
     code = "CASE " + " ".join(f"WHEN {{c}} = '{k}' THEN {v}" for k, v in layout.STATUS_CODES.items()) + " ELSE 0 END"
     tech = "CASE " + " ".join(f"WHEN technology = '{k}' THEN {v}" for k, v in layout.TECHNOLOGY_CODES.items()) + " ELSE 2 END"
     part = "PARTITION BY site_id, cell_id ORDER BY timestamp NULLS FIRST"
@@ -544,7 +574,7 @@ def feature_select() -> list[str]:
     for k in layout.LAG_KPIS:
         for s in layout.LAG_STEPS:
             lags.append(f"lag({k}, {s}) OVER ({part}) AS {k}_lag{s}")
-            filled.append(
+            filled.append(f"{k}_lag{s}" if not backfill else
                 Q.rnd(f"COALESCE(first_value({k}_lag{s} IGNORE NULLS) OVER ({part} ROWS BETWEEN CURRENT ROW AND "
                       f"UNBOUNDED FOLLOWING), avg({k}) OVER (PARTITION BY site_id, cell_id))", 8)
                 + f" AS {k}_lag{s}")
@@ -558,6 +588,25 @@ def feature_select() -> list[str]:
     ]
 
 
+@register("model_features_by_load", Q.query(Q.MSG, Q.CELLS, *wide_ctes(), *LONG, *feature_select(backfill=False), select=(
+    f"SELECT * EXCLUDE (timestamp), {Q.stamp('timestamp')} AS timestamp FROM feat")))
+def model_features_by_load(spark, sf):
+    """Features of four loads in time order, each from its own rows and the last 24 of every cell; no lag looks ahead."""
+    def build(path: str) -> None:
+        rows = wide_to_long(spark, sf)
+        seconds = F.unix_seconds("timestamp")
+        low, high = rows.agg(F.min(seconds), F.max(seconds)).first()
+        due = F.coalesce(F.floor((seconds - low) * 4 / (high - low + 1)), F.lit(0))  # rows without a time come first
+        state = SeriesState(spark, f"{path}/state", ["site_id", "cell_id"], "timestamp")
+        for load in (0, 1, 2, 2, 3):  # the third load comes twice
+            made = state.advance(rows.where(due == load), load, lambda both: features.build_features(both, backfill=False))
+            made.write.mode("overwrite").parquet(f"{path}/features/load={load}")
+
+    out = spark.read.parquet(f"{ST._once(spark, sf, 'features-by-load', build)}/features").drop("load")
+    soft = [c for c in out.columns if c.endswith(("_mean", "_std")) or "_delta" in c]
+    return out.withColumns({c: F.round(c, 8) for c in soft})
+
+
 @register("model_features", Q.query(Q.MSG, Q.CELLS, *wide_ctes(), *LONG, *feature_select(), select=(
     f"SELECT * EXCLUDE (timestamp), {Q.stamp('timestamp')} AS timestamp FROM feat")))
 def model_features(spark, sf):
@@ -570,7 +619,7 @@ EDGE = 0.0001234  # no feature's step or mean falls next to it
 
 
 def aligned_select() -> str:
-    """Per cell number: how many values of each manifest feature are positive and negative; absent ones are 0."""
+    """Per cell number: how many values of each manifest feature are positive and negative, and their mean; absent ones are 0."""
     made = set(layout.METRICS) | {"hour_of_day", "day_of_week", "day_of_month", "month", "is_weekend", "is_night"}
     m = features.Manifest()
     made |= {f"{k}_roll{n}_{x}" for k in layout.ROLL_KPIS for n in layout.ROLL_WINDOWS for x in ("mean", "std", "max", "min")}
@@ -579,6 +628,8 @@ def aligned_select() -> str:
     for c in m.feature_columns:
         for sign, test in (("pos", f"> {EDGE}"), ("neg", f"< -{EDGE}")):
             cols.append((f"count(*) FILTER (WHERE {c} {test})" if c in made else "0") + f" AS {c}_{sign}" if c != "cell_id" else "")
+        if c != "cell_id":
+            cols.append((Q.rnd(f"avg(COALESCE({c}, 0))", 2) if c in made else "CAST(0 AS DOUBLE)") + f" AS {c}_avg")
     return "SELECT cell_id AS key_cell_id, " + ", ".join(filter(None, cols)) + " FROM feat GROUP BY cell_id"
 
 
@@ -587,4 +638,4 @@ def aligned(spark, sf):
     rows = features.align_features(features.build_features(wide_to_long(spark, sf)))
     names = [c for c in features.Manifest().feature_columns if c != "cell_id"]
     return rows.groupBy("key_cell_id").agg(*[x for c in names for x in (
-        F.count_if(F.col(c) > EDGE).alias(f"{c}_pos"), F.count_if(F.col(c) < -EDGE).alias(f"{c}_neg"))])
+        F.count_if(F.col(c) > EDGE).alias(f"{c}_pos"), F.count_if(F.col(c) < -EDGE).alias(f"{c}_neg"), F.round(F.avg(c), 2).alias(f"{c}_avg"))])

@@ -23,6 +23,7 @@ def test_only_new_files_are_read(spark, land, tmp_path):
     files.write_manifest(todo, manifest)
     land(message(message_id="m-2"), name="b.json")
     rows, todo = files.read_new_snapshots(spark, folder, manifest)
+    assert [f.rsplit("/", 1)[1] for f in rows.inputFiles()] == ["b.json"]  # the old file is not opened
     assert [r["message_id"] for r in rows.collect()] == ["m-2"]
     files.write_manifest(todo, manifest)
     assert files.read_new_snapshots(spark, folder, manifest)[1].isEmpty()
@@ -47,6 +48,58 @@ def test_silver_and_gold_layout(spark, land, tmp_path):
     assert spark.table("cells").count() == 3
 
 
+def test_catalog_tables_know_partitions_and_rows(spark, tmp_path):
+    days = spark.createDataFrame([(f"2026-01-0{1 + k % 3}", k) for k in range(90)], "d string, v int").select(F.to_date("d").alias("gold_date"), "v")
+    sinks.write_gold(days.where("v < 60"), str(tmp_path / "fact"), ["gold_date"])
+    table = files.create_tables(spark, str(tmp_path), {"fact": ["gold_date"]}, "serving_test")[0]
+    more = days.where("v >= 60").withColumn("gold_date", F.lit("2026-01-04").cast("date"))
+    sinks.write_gold(more, str(tmp_path / "fact"), ["gold_date"], dynamic=True)
+    assert spark.table(table).count() == 60  # not before the refresh
+    files.refresh_loaded(spark, table, True)
+    assert spark.table(table).count() == 90
+    one = spark.table(table).where("gold_date = date '2026-01-04'")
+    plan = one._jdf.queryExecution()
+    assert "PartitionFilters: [isnotnull(gold_date" in plan.executedPlan().toString()
+    assert files.known_rows(spark, table) == 90
+    assert spark.table(table)._jdf.queryExecution().optimizedPlan().stats().rowCount().get() == 90
+    assert one.count() == 30 and len(one.inputFiles()) == 1
+    assert files.create_tables(spark, str(tmp_path), {"fact": ["gold_date"]}, "serving_test") == [table]
+
+
+def test_the_ledger_counts_what_is_written(spark, tmp_path):
+    from mastline.operators.ledger import RunLedger
+
+    ledger, base = RunLedger(spark, str(tmp_path / "ledger")), str(tmp_path / "silver")
+    rows = spark.range(10).withColumn("at", F.when(F.col("id") % 4 > 0, F.lit(1)))
+    for load, part in enumerate((rows, rows.where("id < 3"), rows.limit(0))):
+        for _ in range(2):  # a retry changes nothing
+            ledger.write({"a": (part, F.col("at").isNull()), "b": (part, None)}, base, load)
+    got = {(r.table, r.load): (r.rows_in, r.rows_out, r.rows_quarantined) for r in ledger.read().collect()}
+    assert got == {("a", 0): (10, 7, 3), ("b", 0): (10, 10, 0), ("a", 1): (3, 2, 1), ("b", 1): (3, 3, 0), ("a", 2): (0, 0, 0), ("b", 2): (0, 0, 0)}
+    assert spark.read.parquet(f"{base}/a").count() == 9 and spark.read.parquet(f"{base}/_quarantine/a").count() == 4
+
+
+def test_streams_report_their_counts(spark, tmp_path):
+    import time
+
+    from mastline.operators.ledger import StreamCounts
+
+    seen = StreamCounts()
+    spark.streams.addListener(seen)
+    try:
+        for part in range(2):
+            spark.range(5 + part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        jobs.run_to_files(stream.observe("landed", F.count(F.lit(1)).alias("rows")), str(tmp_path / "out"), str(tmp_path / "log"))
+        for _ in range(100):
+            if len(seen.rows) >= 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert sorted(values["rows"] for _, _, name, values in seen.rows if name == "landed") == [5, 6]
+
+
 def test_predictions_round_trip_and_null_tokens(spark, tmp_path):
     (tmp_path / "2026-05-20_predictions.csv").write_text(
         'TIMESTAMP,SITE_ID,CELL_ID,FAILURE_PROBABILITY,PREDICTED_FAILURE,RISK_LEVEL\n'
@@ -68,8 +121,15 @@ def test_backfill_windows_and_skip(spark, tmp_path):
         "ran_telemetry/year=2026/month=01/day=01/hour=12/ran_telemetry_20260101_1215.json"]
     out = str(tmp_path / "landing")
     for _ in range(2):
-        sinks.write_backfill(chunks, out)
+        sinks.write_backfill(chunks, out, "t")
     assert spark.read.json(out).count() == 2
+    assert spark.read.json(f"{out}/{sinks.OUTSIDE}").count() == 1
+    later = chunks.withColumn("t", F.col("t") + F.expr("interval 1 day")).withColumn("chunk_start", F.col("chunk_start") + F.expr("interval 1 day"))
+    sinks.write_backfill(chunks.unionByName(later), out, "t")
+    assert spark.read.json(out).count() == 4 and spark.read.json(f"{out}/{sinks.OUTSIDE}").count() == 2
+    sinks.write_backfill(later, out, "t", overwrite=True)
+    assert spark.read.json(out).count() == 4
+    assert sorted(sinks.landed_folders(spark, out, sinks.HOUR_LAYOUT))[0] == ("2026", "01", "01", "00")
 
 
 def test_options():

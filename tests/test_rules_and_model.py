@@ -102,3 +102,20 @@ def test_model_size():
     assert len(semantic.TABLES) == 11 and len(semantic.RELATIONSHIPS) == 13
     kinds = [m.agg for t in semantic.TABLES.values() for m in t.measures.values()]
     assert {k: kinds.count(k) for k in set(kinds)} == {"avg": 36, "count_distinct": 7, "sum": 4, "count": 4, "max": 1}
+
+
+def test_facts_shrink_before_they_meet_a_dimension(spark):
+    spec = MODEL.tables["cell_performance"]
+    facts = spark.createDataFrame([(k % 4 if k % 7 else None, k % 2, float(k)) for k in range(60)], "RAN_key int, cell_key int, sinr_db double")
+    rest = {*spec.dimensions.values(), *[m.column for m in spec.measures.values() if m.column]} - set(facts.columns)
+    facts = facts.select("*", *[F.lit(None).cast("double").alias(c) for c in sorted(rest)])
+    site = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y")], "site_sk int, region string")
+    frames = {spec.source: facts, "dim_site": site}
+    joined = facts.join(site, facts.RAN_key == site.site_sk, "left")
+    for inner in (False, True):
+        out = MODEL.query(frames, ["sinr", "cell_performance.cell_count"], ["site.region"], inner=inner)
+        kept = joined.where("site_sk is not null") if inner else joined
+        want = kept.groupBy("region").agg(F.avg("sinr_db").alias("v"), F.count_distinct("cell_key").alias("c")).collect()
+        assert {(r[0], r[1], r[2]) for r in out.collect()} == {(r.region, r.v, r.c) for r in want}
+    plan = MODEL.query(frames, ["sinr"], ["site.region"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate ") == 2 and plan.index("Join ") < plan.rindex("Aggregate ")  # one of them below the join

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from mastline.operators import latest, slots, stats, timebuckets, timeseries
+from mastline.operators import blocks, latest, slots, stats, timebuckets, timeseries
 from mastline.operators.blocks import chunk_of
 from mastline.plans import features, training
 
@@ -40,13 +40,13 @@ def expected(pdf):
     return out.set_index(["k", "t"])
 
 
-@pytest.mark.parametrize("block", [None, 12, 40])
-def test_features_match_pandas(spark, block):
+@pytest.mark.parametrize("block,chunk", [(None, None), (12, "hour"), (40, "hour"), (12, None), (40, None)])
+def test_features_match_pandas(spark, block, chunk):
     pdf = series()
     df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
     got = timeseries.add_series_features(
         df, ["k"], ["t"], roll=["v"], roll_sizes=(3, 12), lag=["v"], lag_steps=(1, 6), delta=["v"], delta_steps=(1,),
-        block_rows=block, chunk=chunk_of("t", "hour")).toPandas().set_index(["k", "t"])
+        block_rows=block, chunk=chunk_of("t", chunk) if chunk else None).toPandas().set_index(["k", "t"])
     want = expected(pdf)
     assert len(got) == len(want)
     for c in want.columns:
@@ -83,14 +83,15 @@ def test_all_features_share_one_shuffle_and_sort(spark):
     assert len(features.Manifest().feature_columns) == 284
 
 
-def test_asof_join_matches_merge_asof(spark):
+@pytest.mark.parametrize("ranges", [None, 1, 23])
+def test_asof_join_matches_merge_asof(spark, ranges):
     rng = random.Random(5)
     left = pd.DataFrame([(k, T0 + dt.timedelta(minutes=rng.randint(0, 5000)), i)
                          for i, k in enumerate([rng.choice("aab") for _ in range(300)])], columns=["k", "t", "i"])
     right = pd.DataFrame([(rng.choice("ab"), T0 + dt.timedelta(minutes=m), float(m)) for m in range(300, 5000, 37)],
                          columns=["k", "rt", "w"])
     got = timeseries.asof_join(
-        spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "rt", ["w"], chunk="hour")
+        spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "rt", ["w"], ranges=ranges)
     want = pd.merge_asof(left.sort_values("t"), right.sort_values("rt"), left_on="t", right_on="rt", by="k")
     mine = {r["i"]: r["w"] for r in got.collect()}
     assert len(mine) == 300
@@ -187,3 +188,29 @@ def test_lag_fill_is_linear_and_asof_ignores_null_keys(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4
     assert {r.id: r.v for r in out.collect()} == {"a": 70, "b": None, "c": None}
+
+
+def test_a_key_that_is_hot_in_one_hour_runs_in_many_tasks(spark):
+    """A million rows of one key in one hour, many at one instant: no range holds more than its share."""
+    n = 1_000_000
+    at = F.timestamp_seconds(F.lit(1_780_000_000) + F.col("id") % 3000)
+    left = spark.range(n).select(F.lit("hot").alias("k"), at.alias("t"), F.col("id").alias("i"))
+    right = spark.range(600).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.lit(1_780_000_000) + F.col("id") * 5).alias("u"), F.col("id").alias("w"))
+    ranges = 16
+    got = timeseries.asof_join(left, right, ["k"], "t", "u", ["w"], ranges=ranges)
+    bad = got.where(~F.col("w").eqNullSafe(F.floor((F.col("i") % 3000) / 5)))
+    assert got.count() == n and bad.count() == 0
+    cut = blocks.range_cut(left, ["k", "t", "i"], ranges)
+    sizes = [r["count"] for r in cut.groupBy(blocks.RANGE).count().collect()]
+    assert len(sizes) == ranges and max(sizes) < 3 * n / ranges
+    still = left.withColumn("t", F.lit(T0))  # one instant
+    sizes = [r["count"] for r in blocks.range_cut(still, ["k", "t", "i"], ranges).groupBy(blocks.RANGE).count().collect()]
+    assert len(sizes) == ranges and max(sizes) < 3 * n / ranges
+
+
+def test_asof_ties_and_nulls(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 5, 2), ("a", None, 3), (None, 5, 4), ("b", 1, 5)], "k string, t int, i int")
+    right = spark.createDataFrame([("a", 5, 7, "x"), ("a", 5, 9, "y"), ("a", 5, 8, "z"), (None, 1, 1, "n"), ("b", 2, 1, "late")], "k string, u int, o int, w string")
+    for ranges in (1, 7):
+        got = {r.i: r.w for r in timeseries.asof_join(left, right, ["k"], "t", "u", ["w"], tie=["o"], ranges=ranges).collect()}
+        assert got == {1: "y", 2: "y", 3: None, 4: None, 5: None}
