@@ -206,6 +206,7 @@ def _not_up() -> Column:
     return F.coalesce(F.col("cell_status") != "UP", F.lit(True))
 
 
+# Dashboard alerts and diagnoses. Texts, categories and thresholds.
 def cell_rules(handover: float = 93, battery: float = 20) -> list[Rule]:
     cell = F.coalesce("cell_id", F.lit("?"))
     return [
@@ -290,6 +291,7 @@ def top_alerts(feed: DataFrame, k: int = 8) -> DataFrame:
     return feed.orderBy(*severity_order(), "site", "message").limit(k)
 
 
+# The texts and thresholds of the diagnosis, in order.
 def diagnose_cell(handover: float = 93) -> Column:
     """Most likely cause of a cell's state, first match wins."""
     return S.ladder(
