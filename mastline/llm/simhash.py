@@ -94,6 +94,9 @@ def links(distinct: DataFrame) -> DataFrame:
     The variants are combined before the shuffle; a place keeps 65 bits, whatever
     the number of documents.
     """
+    # A row grows 65-fold: the narrow ones are spread first. A given number of
+    # partitions is not coalesced, as their narrow size would suggest.
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bits")
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)))
     variants = distinct.select("bits", F.explode(flips).alias("flip")).select(F.col("bits").bitwiseXOR(F.col("flip")).alias("place"), "flip")
     met = variants.groupBy("place").agg(F.bit_or("flip").alias("flips"), F.max(F.col("flip") == 0).alias("own")).where(
