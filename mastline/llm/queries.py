@@ -27,16 +27,27 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op1_substring_dedup"] = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS u FROM d),
-p AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY u) - length(line) - 1 AS s, max(u) OVER (PARTITION BY r) AS lines,
-  regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS ws FROM l),
-k AS (SELECT *, CASE WHEN len(ws) >= 15 THEN array_to_string(ws, ' ') END AS unit FROM p),
-g AS (SELECT *, CASE WHEN unit IS NOT NULL THEN row_number() OVER (PARTITION BY unit ORDER BY doc_id, u) > 1 ELSE FALSE END AS gone FROM k)
-SELECT doc_id, CAST(coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed, count(*) FILTER (WHERE gone) AS n_spans,
-  coalesce(string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s AS BIGINT) + length(line) AS VARCHAR), ',' ORDER BY u) FILTER (WHERE gone), '') AS spans,
-  coalesce(string_agg(line || CASE WHEN u = lines THEN '' ELSE chr(10) END, '' ORDER BY u) FILTER (WHERE NOT gone), '') AS kept_text,
-  sha256(coalesce(string_agg(line || CASE WHEN u = lines THEN '' ELSE chr(10) END, '' ORDER BY u) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM g GROUP BY r, doc_id
+t AS (SELECT r, doc_id, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+') AS ts FROM d),
+p AS (SELECT r, doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS k, len(ts) AS n FROM t),
+w AS (SELECT r, doc_id, k, n, regexp_replace(token, '^[\\x20\\x09-\\x0D]+', '') AS raw, lower(raw) AS word,
+  CAST(sum(length(token)) OVER o AS BIGINT) AS stop, sum(length(token) - length(replace(token, chr(10), ''))) OVER o AS line,
+  substr(md5(lower(regexp_replace(token, '^[\\x20\\x09-\\x0D]+', ''))), 1, 1) IN ('0', '1', '2') AS cut
+  FROM p WINDOW o AS (PARTITION BY r ORDER BY k)),
+ws AS (SELECT r, list(word ORDER BY k) AS words FROM w GROUP BY r),
+e AS (SELECT r, doc_id, k, k = 0 OR lag(cut) OVER (PARTITION BY r ORDER BY k) AS begins,
+  min(CASE WHEN cut OR k = n - 1 THEN k END) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_end FROM w),
+s AS (SELECT r, doc_id, k AS a, begins, lead(next_end, 14) OVER (PARTITION BY r ORDER BY k) AS b FROM e),
+u AS (SELECT r, doc_id, a, b, 'W' || array_to_string(words[a + 1:b + 1], ' ') AS unit FROM s JOIN ws USING (r) WHERE begins AND b IS NOT NULL
+  UNION ALL SELECT r, doc_id, min(k), max(k), 'L' || string_agg(word, ' ' ORDER BY k) FROM w GROUP BY r, doc_id, line HAVING count(*) >= 15),
+g AS (SELECT r, a, b FROM (SELECT *, rank() OVER (PARTITION BY unit ORDER BY doc_id, a) AS place FROM u WHERE doc_id IS NOT NULL) WHERE place > 1),
+gone AS (SELECT r, k, k - row_number() OVER (PARTITION BY r ORDER BY k) AS island FROM (SELECT DISTINCT r, unnest(range(a, b + 1)) AS k FROM g)),
+spans AS (SELECT r, min(w.stop - length(w.raw)) AS a, max(w.stop) AS b FROM gone JOIN w USING (r, k) GROUP BY r, island),
+cuts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(a || ':' || b, ',' ORDER BY a) AS spans,
+  string_agg(substr(text, before + 1, a - before), '' ORDER BY a) || substr(any_value(text), max(b) + 1) AS kept_text FROM cuts JOIN d USING (r) GROUP BY r)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(spans, '') AS spans, coalesce(kept_text, text) AS kept_text,
+  sha256(coalesce(kept_text, text)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
 """
 
 

@@ -198,9 +198,24 @@ def brute_lines(texts):
     return {(d, n) for k, (d, n, s) in enumerate(rows) if any(alike(s, o) for _, _, o in rows[:k])}
 
 
-def test_later_lines_equal_brute_force(spark):
+def crowd(seed=12, n=70):
+    """Lines of one group: many are like each other, but unlike the first of them."""
+    rng = random.Random(seed)
+    base = [w + str(k) for k, w in enumerate(WORDS[:16])]
+    out = [" ".join(base[:9] + ["far" + str(k) for k in range(7)])]
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(6, 16), rng.choice([1, 1, 2])):
+            words[at] = "v" + str(rng.randint(0, 8))
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("crowded", [lines.CROWD, 3])
+def test_later_lines_equal_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(lines, "CROWD", crowded)
     rng = random.Random(8)
-    texts = corpus() + family()
+    texts = corpus() + family() + crowd()
     for _ in range(30):  # lines of all lengths around the threshold
         words = [rng.choice(WORDS) + str(rng.randint(0, 30)) for _ in range(rng.choice([3, 5, 8, 20, 70, 130, 200]))]
         other = [w if rng.random() > 0.14 else "y" + w for w in words]
@@ -267,20 +282,53 @@ def test_level_family_takes_empty_batches():
     assert family_.add(none, none.astype(np.int64), none.astype(np.int64), none.astype(bool))[0].tolist() == []
 
 
-def test_line_hashing_keeps_the_first(spark):
+def plain_units(text, least=15):
+    """Every unit by its definition: (first word, last word, kind and words)."""
+    lines_, words = [LINE.findall(x) for x in text.lower().split("\n")], LINE.findall(text.lower())
+    at = 0
+    for line in lines_:
+        if len(line) >= least:
+            yield at, at + len(line) - 1, ("L", *line)
+        at += len(line)
+    is_cut = [hashlib.md5(w.encode()).hexdigest()[0] in "012" for w in words]
+    for a in range(len(words)):
+        if a == 0 or is_cut[a - 1]:
+            ends = [b for b in range(a + least - 1, len(words)) if is_cut[b] or b == len(words) - 1]
+            if ends:
+                yield a, ends[0], ("W", *words[a:ends[0] + 1])
+
+
+def test_unit_hashing_keeps_the_first(spark):
+    rng = random.Random(21)
     texts = corpus()
-    seen, expect = {}, {}
+    passage = sentence(rng, 70)[:-1].split(" ")
+    wrapped = "\n".join(" ".join(passage[k:k + 6]) for k in range(0, 70, 6))  # short lines
+    inside = sentence(rng, 20)[:-1] + " " + " ".join(passage) + " " + sentence(rng, 20)  # inside a line
+    texts += [" ".join(passage), wrapped, inside, sentence(rng, 40), "too few words"]
+    seen, expect, share = {}, {}, {}
     for d, t in enumerate(texts):
-        at, gone, spans = 0, 0, []
-        for u, line in enumerate(t.split("\n")):
-            key = substrings.normalise(line)
-            if len(key.split()) >= substrings.MIN_WORDS and seen.setdefault(key, (d, u)) != (d, u):
-                spans.append(f"{at}:{at + len(line)}")
-                gone += len(line)
-            at += len(line) + 1
-        expect[d] = (gone, ",".join(spans))
-    got = {r.doc_id: (r.n_removed, r.spans) for r in substrings.remove_repeats(frame(spark, texts)).collect()}
-    assert got == expect and sum(g for g, _ in got.values()) > 0
+        gone, bounds = set(), [m.span() for m in LINE.finditer(t)]
+        for a, b, key in plain_units(t):
+            if seen.setdefault(key, (d, a)) != (d, a):
+                gone |= set(range(a, b + 1))
+        starts = [k for k in sorted(gone) if k - 1 not in gone]
+        ends = [k for k in sorted(gone) if k + 1 not in gone]
+        spans = [(bounds[a][0], bounds[b][1]) for a, b in zip(starts, ends)]
+        kept = "".join(t[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(t)]))
+        expect[d] = (sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), kept)
+        share[d] = len(gone)
+    got = {r.doc_id: (r.n_removed, r.spans, r.kept_text) for r in substrings.remove_repeats(frame(spark, texts)).collect()}
+    assert got == expect
+    n = len(texts)
+    assert share[n - 4] > 50 and share[n - 3] > 50 and share[n - 2] == share[n - 1] == 0
+
+
+def test_units_of_two_texts_of_one_id(spark):
+    rng = random.Random(5)
+    first, second = sentence(rng, 30), sentence(rng, 30)
+    rows = [(1, first), (2, second + "\n" + first), (2, "short"), (3, None), (None, first), (1, first)]
+    got = {(r.doc_id, r.kept_text) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, first), (2, second + "\n"), (2, "short"), (3, ""), (None, first)}
 
 
 # -- 4 ---------------------------------------------------------------------------
@@ -392,11 +440,41 @@ def test_trees_find_numbers_without_a_plus(spark):
     rng = random.Random(6)
     def number():
         return f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
-    texts = [f"call {'+1 ' if k % 3 else ''}{number()} now, order {rng.randint(1000, 9999)} {rng.randint(100, 999)} of {rng.randint(1990, 2030)}-{rng.randint(10, 12)}" for k in range(600)]
+    texts, bare, orders, dates = [], {}, {}, {}
+    for k in range(600):
+        plus = "+1 " if k % 3 else ""
+        phone, order, date = number(), f"{rng.randint(1000, 9999)} {rng.randint(100, 999)}", f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"
+        card = "4111 1111 1111 1111" if k % 5 == 0 else "4111 1111 1111 1112"
+        texts.append(f"call {plus}{phone} now, order {order} of {date}, paid by {card} from 10.0.{k % 256}.7.")
+        at = texts[-1].index(phone)
+        if not plus:
+            bare[k] = f"phone:{at}:{at + len(phone)}"
+        orders[k], dates[k] = (f"phone:{texts[-1].index(x)}:{texts[-1].index(x) + len(x)}" for x in (order, date))
+    got = {r.doc_id: r for r in pii.report(frame(spark, texts)).collect()}
+    spans = {d: set(r.spans.split(",")) for d, r in got.items()}
+    assert sum(bare[d] in spans[d] for d in bare) >= 0.9 * len(bare)
+    assert not any(orders[d] in spans[d] or dates[d] in spans[d] for d in range(600))
+    assert all(got[d].n_phone == 0 for d in bare)  # added spans never count as base ones
+    assert all(len(spans[d]) <= 4 for d in spans)  # ip, phone, a valid card at times, and nothing for the rest
+
+
+def test_trees_score_what_base_spans_leave(spark):
+    rng = random.Random(7)
+    texts = [f"tel +1 (555) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} or order {rng.randint(100000, 999999)}" for _ in range(400)]
+    joined = "192.168.0.1 (555) 234-5678"
+    texts.append(f"log {joined} end")
+    found = pii.with_base(pii.candidates(frame(spark, texts)))[1].where("doc_id = 400 and gen = 'number'")
+    piece = pii.open_pieces(found).collect()
+    assert [(r.value, r.start, r.end, r.before) for r in piece] == [("(555) 234-5678", 16, 30, "log 192.168.0.1 ")]
+    got = pii.report(frame(spark, texts)).where("doc_id = 400").first()
+    assert got.spans == "ip:4:15,phone:16:30" and (got.n_ip, got.n_phone) == (1, 0)
+
+
+def test_addresses_in_words(spark):
+    texts = [f"mail user{k}@host{k % 7}.example.org or ring x{k}@local please" for k in range(300)] + ["write to jane.doe (at) firm.example (dot) org today"]
     got = {r.doc_id: r for r in pii.report(frame(spark, texts)).collect()}
-    bare = [d for d in range(len(texts)) if d % 3 == 0]
-    found = sum("phone" in got[d].spans for d in bare)
-    assert found == 0 or all(got[d].n_phone == 0 for d in bare)  # added spans never count as base ones
+    assert got[300].spans == "email:9:45" and got[300].n_email == 0
+    assert all("," not in got[d].spans for d in range(300))
 
 
 # -- 10 --------------------------------------------------------------------------
