@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from mastline.sources.runs import Folder, Run, Runs
 
 BITS_PER_KEY = 12
-FILTER = "bucket int, word long, bits long"
+FILTER = "_bucket int, word long, bits long"
 
 
 def _mask(h: Column) -> Column:
@@ -47,21 +47,21 @@ class KeyStore:
     def _write(self, keys: DataFrame, run: Run) -> None:
         """Filters first: a run counts when its keys are there, and then it has both."""
         words = max(1, -(-keys.count() * BITS_PER_KEY // 64 // self.buckets))
-        rows = keys.select("bucket", self._word(F.lit(words)).alias("word"), _mask(F.col("_h")).alias("bits")).groupBy("bucket", "word").agg(
+        rows = keys.select("_bucket", self._word(F.lit(words)).alias("word"), _mask(F.col("_h")).alias("bits")).groupBy("_bucket", "word").agg(
             F.bit_or("bits").alias("bits"))
         folder = f"{self.filters}/run={run[0]}-{run[1]}"
         Folder(self.spark, self.filters).remove(f"run={run[0]}-{run[1]}")
         rows.write.parquet(f"{folder}/words={words}")
-        self.runs.write(keys.hint("rebalance", "bucket"), run, ["bucket"])
+        self.runs.write(keys.hint("rebalance", "_bucket"), run, ["_bucket"])
 
     def _candidates(self, hashed: DataFrame, runs: list[Run]) -> list[tuple[Run, int]]:
         """Files whose filter may hold a key of the batch: at most one per run and bucket."""
         sized = [(f"{r[0]}-{r[1]}", self._words(r)) for r in runs]
-        probes = hashed.select("bucket", "_h", F.explode(F.array(*(F.struct(F.lit(r).alias("run"), F.lit(w).cast("long").alias("words")) for r, w in sized))).alias("_r"))
-        probes = probes.select("bucket", "_r.run", self._word(F.col("_r.words")).alias("word"), _mask(F.col("_h")).alias("mask"))
+        probes = hashed.select("_bucket", "_h", F.explode(F.array(*(F.struct(F.lit(r).alias("run"), F.lit(w).cast("long").alias("words")) for r, w in sized))).alias("_r"))
+        probes = probes.select("_bucket", "_r.run", self._word(F.col("_r.words")).alias("word"), _mask(F.col("_h")).alias("mask"))
         tables = [self.spark.read.schema(FILTER).parquet(f"{self.filters}/run={r}/words={w}").withColumn("run", F.lit(r)) for r, w in sized]
-        may = probes.join(reduce(DataFrame.unionByName, tables), ["run", "bucket", "word"]).where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-        found = [(tuple(map(int, r.run.split("-"))), r.bucket) for r in may.select("run", "bucket").distinct().collect()]
+        may = probes.join(reduce(DataFrame.unionByName, tables), ["run", "_bucket", "word"]).where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
+        found = [(tuple(map(int, r.run.split("-"))), r["_bucket"]) for r in may.select("run", "_bucket").distinct().collect()]
         return sorted(found)
 
     # -- batches ---------------------------------------------------------------------
@@ -70,12 +70,12 @@ class KeyStore:
         stored. ``fresh`` has each key once; null parts of a key are values. A load
         that comes again gets the same rows, since it sees earlier loads only."""
         h = F.xxhash64(*self.keys)
-        hashed = fresh.withColumn("_h", h).withColumn("bucket", F.pmod(h, F.lit(self.buckets)).cast("int"))
+        hashed = fresh.withColumn("_h", h).withColumn("_bucket", F.pmod(h, F.lit(self.buckets)).cast("int"))
         runs = self.runs.visible(before=number)
         self.opened = self._candidates(hashed, runs) if runs else []
         out = hashed
         if self.opened:
-            known = [self.spark.read.schema(self._schema(fresh)).parquet(f"{self.runs.at(r)}/bucket={b}") for r, b in self.opened]
+            known = [self.spark.read.schema(self._schema(fresh)).parquet(f"{self.runs.at(r)}/_bucket={b}") for r, b in self.opened]
             seen = reduce(DataFrame.unionByName, known).withColumnsRenamed({k: f"_seen_{i}" for i, k in enumerate(self.keys)} | {"_h": "_seen_h"})
             same = F.col("_h") == F.col("_seen_h")
             for i, k in enumerate(self.keys):
@@ -83,8 +83,8 @@ class KeyStore:
             out = hashed.join(seen, same, "left_anti")
         out = out.persist()
         try:
-            self._write(out.select("bucket", "_h", *self.keys), (number, number))
-            return out.drop("_h", "bucket")
+            self._write(out.select("_bucket", "_h", *self.keys), (number, number))
+            return out.drop("_h", "_bucket")
         finally:
             self._held = out  # still read by the caller; ``release`` lets it go
 
@@ -96,9 +96,9 @@ class KeyStore:
 
     def compact(self, like: DataFrame, before: int | None = None) -> list[Run]:
         """Merge files of one size; the keys of two loads never meet, so a merge is a union."""
-        schema = T.StructType([*self._schema(like).fields, T.StructField("bucket", T.IntegerType())])
+        schema = T.StructType([*self._schema(like).fields, T.StructField("_bucket", T.IntegerType())])
 
         def merge(parts: list[Run], run: Run) -> None:
-            self._write(self.runs.read(schema, parts).select("bucket", "_h", *self.keys), run)
+            self._write(self.runs.read(schema, parts).select("_bucket", "_h", *self.keys), run)
 
         return self.runs.compact(merge, before)

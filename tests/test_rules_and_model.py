@@ -119,3 +119,20 @@ def test_facts_shrink_before_they_meet_a_dimension(spark):
         assert {(r[0], r[1], r[2]) for r in out.collect()} == {(r.region, r.v, r.c) for r in want}
     plan = MODEL.query(frames, ["sinr"], ["site.region"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate ") == 2 and plan.index("Join ") < plan.rindex("Aggregate ")  # one of them below the join
+
+
+def test_folds_train_side_by_side_on_one_table(spark):
+    from mastline.plans import training
+
+    manifest = features.Manifest()
+    signal = (F.col("id") * 37) % 101
+    frame = spark.range(400).select(
+        F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"), F.when(signal > 60, 1.0).otherwise(0.0).alias("label"),
+        *[(signal.cast("float") if c == "prb_utilization_percent" else F.lit(0.0).cast("float")).alias(c) for c in manifest.feature_columns])
+    small = training.BoostSettings(max_trees=3, depth=2, min_rows=5, min_final_trees=2, feature_sample=1.0)
+    model, folds = training.train(frame, manifest, small, splits=2)
+    assert [f["fold"] for f in folds] == [1, 2] and all(f["auc"] > 0.95 for f in folds)
+    assert training.top_importances(model, manifest)[0][0] == "prb_utilization_percent"
+    assert len(training.importance_rows(spark, model, manifest).collect()) == 30
+    scored = training.score_with_model(frame.withColumn("weight", F.lit(1.0)), model)
+    assert scored.where((F.col("failure_score") > 0.5) != (F.col("label") == 1)).count() < 20
