@@ -3,9 +3,10 @@
 The wide equipment fact is declared as a list of parts. Every part is reduced
 to one row per (site, bucket) before anything is joined:
 
-* raw rows -> numeric hash aggregate per component and state (see ``rollup``);
+* readings -> one aggregate per component (means, modes, maxima), combined before
+  its shuffle; a mode's state is a count per state name, of which there are few;
 * one shuffle of the result by (site, bucket), on which everything else runs:
-  modes, slot numbering, pivot, and the left joins of all parts.
+  slot numbering, pivot, and the left joins of all parts.
 """
 
 from __future__ import annotations
@@ -191,18 +192,12 @@ class Part:
             return patterns
         return [p.format(slot=i) for i in range(1, self.slots + 1) for p in patterns]
 
-    def labels(self) -> list[str]:
-        return [*self.first.values(), *self.modes.values()]
-
-    def numbers(self) -> list[str]:
-        return [source for source, _ in self.means.values()]
-
     def aggregates(self) -> list[Column]:
-        """Final aggregates over reduced rows."""
+        """One aggregate over the readings; ties of a mode take the smallest value."""
         out = [F.max(source).alias(name) for name, source in self.first.items()]
-        out += [R.mode_of(source, list(self.modes.values())).alias(name) for name, source in self.modes.items()]
+        out += [F.mode(source, deterministic=True).alias(name) for name, source in self.modes.items()]
         for name, (source, digits) in self.means.items():
-            mean = F.round(R.mean_of(source), digits)
+            mean = F.round(F.avg(source), digits)
             out.append((mean.cast("int") if name in self.whole else mean).alias(name))
         return out
 
@@ -345,16 +340,14 @@ FACT_RAN_COLUMNS = [
 SURPLUS_COLUMNS = [p.surplus for p in JOINED_PARTS if p.surplus]
 
 
-def _reduced(silver: DataFrame, part: Part) -> DataFrame:
+def _readings(silver: DataFrame, part: Part) -> DataFrame:
     rows = silver if part.where is None else silver.where(F.col(part.where[0]) == part.where[1])
-    rows = time_bucket(rows, day=None)
-    keys = [*SITE_BUCKET, part.component] if part.slots else SITE_BUCKET
-    return R.reduce_rows(rows, keys, part.labels(), part.numbers(), spread_by=SITE_BUCKET)
+    return time_bucket(rows, day=None)
 
 
 def _per_component(silver: DataFrame, part: Part) -> DataFrame:
     # The component's id is also an output column, so it is grouped under its own name.
-    return _reduced(silver, part).withColumn("_component", F.col(part.component)).groupBy(
+    return _readings(silver, part).withColumn("_component", F.col(part.component)).groupBy(
         *SITE_BUCKET, "_component").agg(*part.aggregates())
 
 
@@ -363,8 +356,7 @@ def build_part(silver: DataFrame, part: Part) -> DataFrame:
     if part.slots:
         columns = {p: p for p in [*part.first, *part.modes, *part.means]}
         return slot_ops.slot_pivot(_per_component(silver, part), SITE_BUCKET, "_component", part.slots, columns, part.surplus)
-    reduced = _reduced(silver, part)
-    return reduced.groupBy(*SITE_BUCKET).agg(*part.aggregates())
+    return _readings(silver, part).groupBy(*SITE_BUCKET).agg(*part.aggregates())
 
 
 def fact_ran(silver: Mapping[str, DataFrame]) -> DataFrame:
