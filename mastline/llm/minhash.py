@@ -87,7 +87,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = shingle_sets(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], WIDTH)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in found], pa.binary()),
-                 pa.array([parity_sketch(s) for s in found], pa.binary())], names=["node", "shingles", "sketch"])
+                 pa.array([parity_sketch(s) for s in found], pa.binary()),
+                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())], names=["node", "shingles", "sketch", "digest"])
 
 
 def _possible(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +189,15 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = signed.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
     member = known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "node").distinct()
-    keys = known.join(classes, "digest").where("doc_id = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
+    keys = known.join(classes, "digest").where("doc_id = node").select(
+        "node", F.xxhash64("digest").alias("own_set"), F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
     full = keys.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     rows = cut(keys.join(full, "h").distinct(), "buckets")
 
     nodes = rows.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    sets = cut(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles binary, sketch binary").distinct(), "sets")
+    sets = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles binary, sketch binary, digest binary")
+    sets = cut(sets.select("node", "shingles", "sketch", F.xxhash64("digest").alias("own_set")).distinct(), "sets")
 
     degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
     lead = rows.join(degree, "node").groupBy("h").agg(
@@ -205,10 +208,13 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = member.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = cut(_verified(star, sets).unionByName(same), "links")
 
-    placed = rows.join(connected(found), "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c"))
+    placed = rows.join(connected(found), "node", "left").select("h", "node", "own_set", "n", F.coalesce("component", "node").alias("c"))
     open_buckets = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high").select(
         "h", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("parts"))
-    open_rows = cut(placed.join(open_buckets, "h").join(sets.select("node", "sketch").dropDuplicates(["node"]), "node"), "open")
+    # An id with several texts has a sketch for each. Should two of them share the hash,
+    # both sketches are tried, which costs a comparison and loses no pair.
+    sketches = sets.select("node", "own_set", "sketch")
+    open_rows = cut(placed.join(open_buckets, "h").join(sketches, ["node", "own_set"]).drop("own_set"), "open")
     more = cut(_verified(_rest(open_rows).join(star, ["a", "b"], "left_anti"), sets), "links")
     return member, found.unionByName(more)
 
