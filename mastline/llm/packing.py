@@ -24,8 +24,6 @@ from mastline.llm.textarrays import lean
 CAPACITY = 4096
 #: Pieces per shard: bounds the memory of one task, whatever the input's size.
 SHARD_PIECES = 20_000
-#: Underfull bins that the local search of a shard looks at per round, and its rounds.
-SEARCH_BINS, SEARCH_ROUNDS = 400, 8
 END_ID = 1
 #: Entries of the per-worker memo of encoded words; it is emptied when full.
 MEMO_ENTRIES = 400_000
@@ -168,66 +166,123 @@ class _Bins:
             self.fill[b] += need
             put(self.capacity - self.fill[b], b)
 
-    def _improve(self, a: int, b: int) -> bool:
-        """Make the fuller bin ``b`` fuller at the cost of ``a``: a move, a
-        one-for-one or a two-for-one exchange, whichever fills ``b`` most."""
-        room = self.capacity - self.fill[b]
-        if not room or not self.items[a]:
-            return False
-        n = self.lengths
+    def _offers(self, a: int) -> dict[int, list[int]]:
+        """Size -> one or two pieces of bin ``a``; two may be of one length."""
+        by_size: dict[int, list[int]] = {}
+        for k in self.items[a]:
+            held = by_size.setdefault(self.lengths[k], [])
+            if len(held) < 2:
+                held.append(k)
+        offers = {size: held[:1] for size, held in by_size.items()}
+        sizes = sorted(by_size)
+        for i, x in enumerate(sizes):
+            for y in sizes[i:]:
+                if x != y or len(by_size[x]) == 2:
+                    offers.setdefault(x + y, [by_size[x][0], by_size[y][-1]])
+        return offers
+
+    def _improve(self, a: int, index: "_Takers") -> bool:
+        """Make a fuller bin fuller at the cost of ``a``: by the move, one-for-one or
+        two-for-one exchange that raises the sum of squared fills most."""
         best, change = 0, None
-        sizes = sorted({n[k]: k for k in self.items[a]}.items())
-        values = [s for s, _ in sizes]
-        for give_size, give in [(0, None), *{n[k]: k for k in self.items[b]}.items()]:
-            top = give_size + room
-            at = bisect_left(values, top + 1) - 1
-            if at >= 0 and values[at] - give_size > best:
-                best, change = values[at] - give_size, ([sizes[at][1]], [give] if give is not None else [])
-            lo, hi = 0, len(values) - 1
-            while lo < hi and best < room:  # two from a for one (or none) of b
-                got = values[lo] + values[hi]
-                if got <= top:
-                    if got - give_size > best:
-                        best, change = got - give_size, ([sizes[lo][1], sizes[hi][1]], [give] if give is not None else [])
-                    lo += 1
-                else:
-                    hi -= 1
-            if best == room:
-                break
+        for size, pieces in self._offers(a).items():
+            raised, b, back = index.best(size, self.fill[a], a)
+            if raised > best:
+                best, change = raised, (pieces, b, back)
         if change is None:
             return False
-        for k in change[0]:
+        pieces, b, back = change
+        gain = sum(self.lengths[k] for k in pieces)
+        for k in pieces:
             self.items[a].remove(k)
             self.items[b].append(k)
-        for k in change[1]:
-            self.items[b].remove(k)
-            self.items[a].append(k)
-        self.fill[a] -= best
-        self.fill[b] += best
+        if back >= 0:
+            gain -= self.lengths[back]
+            self.items[b].remove(back)
+            self.items[a].append(back)
+        self.fill[a] -= gain
+        self.fill[b] += gain
+        index.put(a)
+        index.put(b)
         return True
 
-    def search(self, bins: int, rounds: int) -> None:
-        """Raise the sum of squared fills, emptying the least filled bins."""
-        for _ in range(rounds):
-            open_bins = sorted((b for b in range(len(self.items)) if self.items[b] and self.fill[b] < self.capacity), key=lambda b: self.fill[b])
-            if sum(self.capacity - self.fill[b] for b in open_bins) < self.capacity:
-                return  # the room left is less than one bin
-            open_bins, moved = open_bins[:bins], False
-            for i, a in enumerate(open_bins):
-                for b in reversed(open_bins[i + 1:]):
-                    if not self.items[a]:
-                        break
-                    if self.fill[b] >= self.fill[a]:
-                        moved |= self._improve(a, b)
-            if not moved:
-                return
+    def fewest(self) -> int:
+        """No packing has fewer bins: by the sum of lengths, and by how many pieces
+        of a size or longer fit into one bin."""
+        sizes = np.sort(np.array(self.lengths, np.int64))
+        longer = np.arange(len(sizes), 0, -1)
+        return max(-(-int(sizes.sum()) // self.capacity), int((-(-longer // (self.capacity // sizes))).max(initial=0)))
+
+    def search(self) -> None:
+        """Raise the sum of squared fills, emptying the least filled bins, until no
+        packing can have fewer bins or no exchange of any two underfull bins helps.
+        Every exchange raises the sum, so the search ends."""
+        fewest, moved = self.fewest(), True
+        while moved and sum(map(bool, self.items)) > fewest:
+            moved = False
+            open_bins = sorted((b for b in range(len(self.items)) if 0 < self.fill[b] < self.capacity), key=lambda b: self.fill[b])
+            index = _Takers(self, open_bins)
+            for a in open_bins:
+                while 0 < self.fill[a] < self.capacity and self._improve(a, index):
+                    moved = True
+
+
+class _Takers:
+    """What underfull bins can take: for each size that a bin holds, and for none,
+    the largest size that fits once such a piece is given back."""
+
+    def __init__(self, bins: _Bins, members: list[int]):
+        self.bins, self.at, self.used = bins, {}, 0
+        self.most, self.given, self.fill, self.bin, self.piece = np.zeros((5, 1024), np.int64)
+        for b in members:
+            self.put(b)
+
+    def put(self, b: int) -> None:
+        """Enter bin ``b``, or what it holds now; a full or empty bin takes nothing."""
+        bins = self.bins
+        if b in self.at:
+            self.most[slice(*self.at.pop(b))] = -1
+        room = bins.capacity - bins.fill[b]
+        if not room or not bins.items[b]:
+            return
+        kept = {0: -1, **{bins.lengths[k]: k for k in bins.items[b]}}
+        if self.used + len(kept) > len(self.most):
+            self._grow(len(kept))
+        place = slice(self.used, self.used + len(kept))
+        self.given[place], self.piece[place] = list(kept), list(kept.values())
+        self.most[place], self.fill[place], self.bin[place] = self.given[place] + room, bins.fill[b], b
+        self.at[b] = (place.start, place.stop)
+        self.used = place.stop
+
+    def _grow(self, more: int) -> None:
+        """Leave out what is outdated, with room for twice what is left."""
+        live = np.flatnonzero(self.most[:self.used] >= 0)
+        wide = np.full((5, 2 * (len(live) + more) + 1024), -1, np.int64)
+        for row, column in zip(wide, (self.most, self.given, self.fill, self.bin, self.piece)):
+            row[:len(live)] = column[live]
+        self.most, self.given, self.fill, self.bin, self.piece = wide
+        self.used = len(live)
+        starts = np.flatnonzero(np.concatenate(([True], self.bin[1:self.used] != self.bin[:self.used - 1]))) if self.used else []
+        self.at = {int(self.bin[i]): (int(i), int(j)) for i, j in zip(starts, [*starts[1:], self.used])}
+
+    def best(self, size: int, fill: int, a: int) -> tuple[int, int, int]:
+        """(half the rise of the sum, bin, piece given back or -1) where a piece or two
+        of ``size`` from bin ``a``, filled to ``fill``, do most good; rise 0: nowhere."""
+        n = self.used
+        ok = np.flatnonzero((self.most[:n] >= size) & (self.given[:n] < size) & (self.fill[:n] >= fill) & (self.bin[:n] != a))
+        if not len(ok):
+            return 0, -1, -1
+        gain = size - self.given[ok]
+        rise = gain * (self.fill[ok] - fill + gain)
+        k = int(rise.argmax())
+        return int(rise[k]), int(self.bin[ok[k]]), int(self.piece[ok[k]])
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(bin, offset) of every piece: best fit, longest first, then local search."""
     bins = _Bins(lengths, capacity)
     bins.best_fit(sorted(range(len(lengths)), key=lambda k: -lengths[k]))
-    bins.search(SEARCH_BINS, SEARCH_ROUNDS)
+    bins.search()
     out = [(0, 0)] * len(lengths)
     number = 0
     for items in bins.items:
@@ -242,9 +297,11 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``pieces`` (with ``doc_id``, ``piece``, ``length``) plus ``sequence_id`` and ``offset``.
 
-    The shard of a piece is a hash of its values, so a hot document or length
-    spreads out; equal rows that repeat fall together and are told apart there.
-    Lengths must lie in 1..capacity. An empty table gives an empty one.
+    The shard of a piece is a hash of its values and its place in the table, so
+    hot documents, lengths and rows that repeat spread out; ``pieces`` must be a
+    written table, which reads alike each time. Of equal lengths a smaller
+    (doc_id, piece) is placed first; a null doc_id ranks last. Lengths must lie in
+    1..capacity. An empty table gives an empty one.
     """
     shards = max(1, -(-pieces.count() // shard_pieces))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
@@ -257,7 +314,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         return order.append_column("sequence_id", pa.array([(shard << 32) + b for b, _ in placed], pa.int64())).append_column(
             "offset", pa.array([o for _, o in placed], pa.int64()))
 
-    spread = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(shards)))
+    spread = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     return spread.groupBy("_shard").applyInArrow(run, fields + ", sequence_id long, offset long")
 
 
