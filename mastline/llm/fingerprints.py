@@ -24,10 +24,9 @@ from mastline.llm.textarrays import _power_tables, lean, mix64, U64
 #: Levels whose names enter the sketch; phrases of level 2 have about 9 bytes, of level 3 about 27.
 LEVELS = (2, 3)
 SKETCH = 64
-#: Neighbouring documents are looked up inside ranges of so many ids.
-RANGE = 256
-#: A table of so many guests (16 bytes each) may be broadcast; ranges widen with the input to stay below.
-GUESTS = 200_000
+#: Neighbouring documents are looked up inside ranges of ids with about so many rows each,
+#: and of at most so many ranges; beyond, ranges hold more rows.
+RANGE, MAX_RANGES = 256, 4096
 
 
 def _toss_table(size: int) -> np.ndarray:
@@ -158,6 +157,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
+def _ranged(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``part``, the number of the range that ``rank`` lies in."""
+    from pyspark.ml.feature import Bucketizer
+
+    parts = min(MAX_RANGES, rows.count() // RANGE + 1)
+    cuts = []
+    if parts > 1:
+        cuts = rows.agg(F.percentile_approx("rank", [k / parts for k in range(1, parts)], 4 * parts).alias("cuts")).first()["cuts"]
+    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    if len(splits) == 2:
+        return rows.withColumn("part", F.lit(0))
+    return Bucketizer(splits=splits, inputCol="_rank", outputCol="_part").transform(rows.withColumn("_rank", F.col("rank").cast("double"))).withColumn(
+        "part", F.col("_part").cast("int")).drop("_rank", "_part")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_chars, edited_sha256, both fingerprints, and their likeness.
 
@@ -167,20 +181,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id follow each other in the order of a hash of their
     text. A lone document is its own next one. Other columns play no part.
 
-    Texts are shuffled once, by ranges of ids. What a range needs from the next
-    one is a single guest row. The guests' table has one row per range and is
-    counted: it is broadcast up to ``GUESTS`` rows, and beyond (ids with wide
-    gaps) joined by a shuffle.
+    Texts are shuffled once, by ranges of ids that are cut at quantiles, so that ids
+    may be dense, sparse or hashed. What a range needs from the next one is a single
+    guest; at most ``MAX_RANGES`` cuts reach the driver, and as many guests are
+    broadcast.
     """
     lowest = F.lit(-(1 << 62))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    width = max(RANGE, docs.count() * 2 // GUESTS)
-    rows = rows.withColumn("rank", F.coalesce("doc_id", lowest)).withColumn("part", F.floor(F.col("rank") / width))
+    rows = _ranged(rows.withColumn("rank", F.coalesce("doc_id", lowest)))
     tops = cut(rows.groupBy("part").agg(F.max("rank").alias("rank")), "ranges")
     every = Window.partitionBy()
-    guests = tops.select("rank", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(every)).alias("host"))
-    if tops.count() <= GUESTS:
-        guests = F.broadcast(guests)
+    guests = F.broadcast(tops.select("rank", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(every)).alias("host")))
     own = rows.select("part", F.lit(0).alias("guest"), "doc_id", "text", "rank")
     moved = rows.drop("part").join(guests, "rank").select(F.col("host").alias("part"), F.lit(1).alias("guest"), "doc_id", "text", "rank")
     placed = own.unionByName(moved).withColumn("tie", F.xxhash64("text")).repartition("part").sortWithinPartitions(

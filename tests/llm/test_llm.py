@@ -211,6 +211,19 @@ def crowd(seed=12, n=70):
     return out
 
 
+def test_two_texts_of_one_id_keep_both_their_links(spark):
+    """All share one bucket, and its lead, the id with most sets, is like none of the others."""
+    rng = random.Random(4)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    near = [" ".join([*t.split(" ")[:-1], "other"]) for t in (a, b)]
+    rows = [(0, sentence(rng, 40)) for _ in range(4)] + [(1, a), (1, b), (2, near[0]), (3, near[1]), (4, sentence(rng, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = minhash.signatures(docs).withColumn("bands", F.when(F.col("n_shingles") > 0, F.array(F.lit(7).cast("long"))))
+    _, found = minhash.links(docs, signed)
+    assert {(r.a, r.b) for r in found.where("a <> b").collect()} >= {(1, 2), (1, 3)}
+    assert {(r.a, r.b) for r in found.where("a <> b").collect()} <= {(1, 2), (1, 3), (2, 1), (3, 1)}
+
+
 @pytest.mark.parametrize("crowded", [lines.CROWD, 3])
 def test_later_lines_equal_brute_force(spark, monkeypatch, crowded):
     monkeypatch.setattr(lines, "CROWD", crowded)
@@ -344,6 +357,22 @@ def test_fingerprints(docs):
     assert got[10].fingerprint == got[11].fingerprint and got[11].near_next == 1
 
 
+@pytest.mark.parametrize("spread", [1, 10**15])
+def test_next_documents_across_ranges(spark, monkeypatch, spread):
+    """Every edited text takes its end from the next document, whatever the gaps between ids."""
+    monkeypatch.setattr(fingerprints, "RANGE", 7)
+    rng = random.Random(8)
+    texts = {k * spread - 5: sentence(rng, rng.randint(1, 30)) for k in rng.sample(range(1000), 90)}
+    out = fingerprints.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    order = sorted(texts, reverse=True)
+    want = {}
+    for k, d in enumerate(order):
+        own, other = texts[d], texts[order[(k + 1) % len(order)]]
+        edit = len(own) // 3
+        want[d] = hashlib.sha256((own[:len(own) - edit] + (other[:edit])).encode()).hexdigest()
+    assert {r.doc_id: r.edited_sha256 for r in out.collect()} == want
+
+
 def test_equal_substrings_share_phrases():
     rng = random.Random(2)
     body = sentence(rng, 400)
@@ -519,8 +548,13 @@ def test_encoder_equals_the_tokenizer():
 def test_local_search_empties_bins():
     bins = packing._Bins([6, 6, 4, 4, 5, 5], 10)
     bins.items, bins.fill = [[0, 2], [1], [3, 4], [5]], [10, 6, 9, 5]
-    bins.search(10, 5)
+    bins.search()
     assert sum(bool(b) for b in bins.items) == 3 and all(f <= 10 for f in bins.fill)
+    bins = packing._Bins([3, 3, 3, 3, 4, 4, 4], 10)  # the emptiest bin gives two pieces of one length
+    bins.items, bins.fill = [[0, 1], [4, 2], [5, 6, 3]], [6, 7, 11]
+    bins.capacity = 12
+    bins.search()
+    assert sum(bool(b) for b in bins.items) == 2
     rng = random.Random(1)
     lengths = [rng.randint(1, 4096) for _ in range(3000)]
     placed = packing.pack_lengths(lengths)
@@ -530,6 +564,33 @@ def test_local_search_empties_bins():
     assert max(fill.values()) <= 4096 and sum(fill.values()) == sum(lengths)
 
 
+def test_local_search_ends_where_no_exchange_helps():
+    rng = random.Random(5)
+    lengths = [rng.randint(1000, 2000) for _ in range(1500)]
+    bins = packing._Bins(lengths, 4096)
+    bins.best_fit(sorted(range(len(lengths)), key=lambda k: -lengths[k]))
+    before = len(bins.items)
+    bins.search()
+    full = [(sum(lengths[k] for k in b), b) for b in bins.items if b]
+    assert sorted(k for _, b in full for k in b) == list(range(1500)) and all(f <= 4096 for f, _ in full)
+    assert bins.fewest() < len(full) < before - 15
+    for f, a in full[:150]:
+        offers = {lengths[k] for k in a} | {lengths[x] + lengths[y] for x in a for y in a if x != y}
+        for g, b in full:
+            if g < 4096 and g >= f and a is not b:
+                assert not any(s > back and g + s - back <= 4096 for s in offers for back in [0, *(lengths[k] for k in b)])
+
+
+def test_repeated_rows_fill_several_shards(spark, tmp_path):
+    path = str(tmp_path / "pieces")
+    spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+                             F.lit(1000).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32")).write.parquet(path)
+    rows = packing.pack(spark.read.parquet(path), shard_pieces=500).groupBy("sequence_id").agg(
+        F.collect_set("offset").alias("offsets"), F.count("*").alias("k")).collect()
+    assert sum(r.k for r in rows) == 3000 and all(len(r.offsets) == r.k <= 4 for r in rows)
+    assert len({r.sequence_id >> 32 for r in rows}) == 6 and len(rows) <= 750 + 6
+
+
 # -- pipeline --------------------------------------------------------------------
 def test_pipeline_equals_brute_force(spark, tmp_path):
     texts = corpus(seed=9, n=80)
