@@ -4,9 +4,10 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from mastline.plans import gold
-from mastline_queries import staging
+from mastline.plans import features, gold
+from mastline_queries import inputs, staging
 
 
 @pytest.fixture()
@@ -37,3 +38,22 @@ def test_a_question_writes_only_its_own_fact(spark, tables):
     star = staging.star(spark, tables)
     assert star["Fact_Alarms"].count() == star["Fact_Alarms"].count()
     assert [p.name.rsplit("-", 1)[0][:16] for p in set(shared.glob("*")) - before] == ["gold-Fact_Alarms"]
+
+
+def test_cell_tables_are_shuffled_once_by_site(spark, tables):
+    for made in (gold.fact_cells, features.hourly_wide):
+        df = made(staging.silver(spark, tables, "cells"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert moved and not [line for line in moved if "bucket_start" in line or "hour_ts" in line or "_key" in line]
+
+
+def test_lines_without_a_site_make_no_snapshot(spark, tables, tmp_path):
+    other = tmp_path / "nulls"
+    lines = spark.read.parquet(f"{tables}/lineitem.parquet")
+    lines.unionByName(lines.limit(3).withColumn("l_suppkey", F.lit(None).cast("long"))).write.parquet(f"{other}/lineitem.parquet")
+    supplier = spark.read.parquet(f"{tables}/supplier.parquet")
+    supplier.unionByName(supplier.limit(1).withColumn("s_suppkey", F.lit(None).cast("long"))).write.parquet(f"{other}/supplier.parquet")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{other}/{name}.parquet")
+    assert inputs.messages(spark, str(other)).count() == lines.count() == 12
