@@ -8,12 +8,15 @@ made them strict (a number without its plus and country, an address in words);
 and what it does not look like from candidates on base spans of other kinds, and
 from those that their format or context rules out: dates, numbers of orders and
 versions, card numbers that fail their check, addresses without a domain. A
-threshold per loose generator is set on held-out candidates, and what reaches it
-is added. A candidate that touches base spans is scored by what they leave of it.
+threshold per loose generator is set on scores by trees that did not see the
+candidate, and what reaches it is added. A candidate that touches base spans is scored by what they leave of it.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -42,9 +45,8 @@ OTHER_NUMBER = r"(?i)(?:order|invoice|ticket|case|item|serial|model|version|rele
 #: The kind under which an accepted loose candidate is listed.
 LISTED = {"contact": "email", "number": "phone"}
 ORDER = ("email", "ip", "card", "phone")
-#: Bound on the candidates that the trees learn from, and on those held out; drawn by hash.
-TRAIN_ROWS, PRECISION, BINS = 20_000, 0.95, 50
-TREES = dict(maxIter=10, maxDepth=4, stepSize=0.3, seed=7, labelCol="label", featuresCol="features")
+PRECISION, BINS = 0.95, 50
+TREES = dict(maxIter=10, maxDepth=4, stepSize=0.3, seed=7, labelCol="label", featuresCol="features", weightCol="weight")
 
 
 def _digits(v: Column) -> Column:
@@ -173,20 +175,30 @@ def open_pieces(loose: DataFrame) -> DataFrame:
                        F.right(lead, F.lit(24)).alias("before"), F.left(rest, F.lit(8)).alias("after")).distinct()
 
 
-def train(known: DataFrame, rows: int = TRAIN_ROWS):
-    """(model, {generator: (threshold, precision, recall)}) from at most 2 * ``rows``
-    labelled candidates, or None where they hold one class only. A threshold lies
-    halfway below the least score from which on the held-out precision reaches ``PRECISION``;
-    precision and recall are those of the held-out half at the threshold."""
+def _fit(rows: DataFrame):
+    """Boosted trees over weighted rows. Up to so many rows MLlib proposes its splits from all of them, not from a draw."""
+    return GBTClassifier(**TREES, maxBins=32 if (n := rows.count()) <= 10_000 else math.ceil(math.sqrt(n))).fit(rows)
+
+
+def train(known: DataFrame):
+    """(model, {generator: (threshold, precision, recall)}) from all labelled
+    candidates, or None where no half of them holds both classes.
+
+    Candidates of equal features are one row with their number as its weight. Each
+    half, drawn by hash, is scored by trees that learned from the other one; a threshold
+    lies halfway below the least of these scores from which on the precision reaches ``PRECISION``;
+    precision and recall are those at the threshold. The model itself learns from both halves."""
     draw = F.xxhash64("doc_id", "start", "gen")  # both forms of a candidate fall into one half
-    sample = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(known)).orderBy(draw, "text_key", "end", "form").limit(2 * rows).select(
-        "gen", "label", "features", F.pmod(draw, F.lit(2)).alias("fold")).repartition(8), "pii-sample")
-    fit = sample.where("fold = 0")
-    if {r[0] for r in fit.select("label").distinct().collect()} != {0.0, 1.0}:
+    equal = features(known).groupBy("gen", "label", *FEATURES, F.pmod(draw, F.lit(2)).alias("fold")).agg(F.count("*").cast("double").alias("weight"))
+    rows = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(equal).select("gen", "label", "features", "fold", "weight"), "pii-labelled")
+    classes = {(r["fold"], r["label"]) for r in rows.select("fold", "label").distinct().collect()}
+    able = [k for k in (0, 1) if {(k, 0.0), (k, 1.0)} <= classes]
+    if not able:
         return None
-    model = GBTClassifier(**TREES).fit(fit)
-    bins = model.transform(sample.where("fold = 1")).select("gen", "label", F.floor(vector_to_array("probability")[1] * (BINS - 1)).alias("bin")).groupBy("gen", "bin").agg(
-        F.count("*").alias("n"), F.sum("label").alias("hits")).collect()
+    score = F.floor(vector_to_array("probability")[1] * (BINS - 1))
+    scored = [_fit(rows.where(F.col("fold") == k)).transform(rows.where(F.col("fold") == 1 - k)).select("gen", "label", "weight", score.alias("bin")) for k in able]
+    bins = reduce(DataFrame.unionByName, scored).groupBy("gen", "bin").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("hits")).collect()
+    model = _fit(rows)
     limits = {}
     for gen, _, _ in LOOSE:
         own = sorted((r for r in bins if r["gen"] == gen), key=lambda r: -r["bin"])

@@ -506,6 +506,26 @@ def test_addresses_in_words(spark):
     assert all("," not in got[d].spans for d in range(300))
 
 
+def test_every_labelled_candidate_counts(spark):
+    odd = F.col("id") % 2 == 1
+    rows = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.col("id").alias("text_key"), F.lit("number").alias("gen"), F.lit(0).cast("long").alias("start"),
+        F.lit(14).cast("long").alias("end"), F.when(odd, "(555) 010-2030").otherwise("2020-10-10").alias("value"), F.lit("").alias("before"),
+        F.lit("").alias("after"), odd.cast("double").alias("label"), F.lit(0).alias("form"))
+    seen = []
+    fit = pii.GBTClassifier.fit
+
+    def noted(self, table, *more):
+        seen.append(table.agg(F.sum("weight")).first()[0])
+        return fit(self, table, *more)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii.GBTClassifier, "fit", noted)
+        _, limits = pii.train(rows)
+    assert limits["number"][1:] == (1.0, 1.0)
+    assert seen[0] + seen[1] == 60_000 and seen[2] == 60_000
+
+
 # -- 10 --------------------------------------------------------------------------
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
