@@ -234,3 +234,13 @@ def test_versions_and_the_facts_of_their_time(spark, ranges):
     for r in fact.collect():
         valid = [v for k, v, a, b in want if r.at is not None and k == r.k and a <= r.at and (b is None or r.at < b)]
         assert dated[r.i] == (valid[0] if valid else None) and len(valid) <= 1
+
+
+@pytest.mark.parametrize("ranges", [2, 7])
+def test_a_value_may_hold_over_whole_ranges(spark, ranges):
+    # One key holds a value over whole ranges; the other changes at every reading.
+    rows = [(k, T0 + dt.timedelta(minutes=i), 0, f"m{i}", i % 2 if k == "b" else i // 70) for i in range(200) for k in "ab"]
+    df = spark.createDataFrame(rows, "k string, snapshot_time timestamp, sequence_number int, message_id string, tilt int")
+    history = gold.dimension_history(df, ["k"], ["tilt"], "sk", ranges=ranges)
+    got = history.collect()
+    assert {(r.k, r.tilt, r.valid_from, r.valid_to) for r in got} == brute_history(rows) and len(got) == 203
