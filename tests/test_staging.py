@@ -6,8 +6,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from mastline.operators import blocks
 from mastline.plans import features, gold
-from mastline_queries import inputs, staging
+from mastline_queries import catalog, inputs, staging  # noqa: F401
+from mastline_queries.registry import SPARK
 
 
 @pytest.fixture()
@@ -48,6 +50,15 @@ def test_cell_tables_are_shuffled_once_by_site(spark, tables):
         assert moved and not [line for line in moved if "bucket_start" in line or "hour_ts" in line or "_key" in line]
 
 
+def test_readings_of_versions_stay_with_their_site(spark, tables, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(gold, "range_cut", lambda df, *more: cuts.append(df) or blocks.range_cut(df, *more))
+    assert gold.dim_antenna_history(staging.silver(spark, tables, "antennas")).count() >= 9
+    plan = cuts[0]._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "antenna_id" in line]
+
+
 def test_lines_without_a_site_make_no_snapshot(spark, tables, tmp_path):
     other = tmp_path / "nulls"
     lines = spark.read.parquet(f"{tables}/lineitem.parquet")
@@ -57,3 +68,19 @@ def test_lines_without_a_site_make_no_snapshot(spark, tables, tmp_path):
     for name in ("nation", "region"):
         spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{other}/{name}.parquet")
     assert inputs.messages(spark, str(other)).count() == lines.count() == 12
+
+
+def test_a_question_about_cells_writes_no_cell_fact(spark, tables):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("*"))
+    rows = SPARK["sem_avg_sinr_by_site"](spark, tables).collect()
+    assert {(r.site_name, r.region) for r in rows} == {("S0", "R"), ("S1", "R"), ("S2", "R")}
+    assert [p.name.rsplit("-", 1)[0] for p in set(shared.glob("*")) - before] == ["gold-dim_site"]
+
+
+def test_partitions_are_written_once(spark, tables):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("*"))
+    rows = SPARK["partition_rows"](spark, tables).collect()
+    assert len(rows) == 9 and all(r.total >= 1 for r in rows)
+    assert [p.name.rsplit("-", 1)[0] for p in set(shared.glob("*")) - before] == ["partitions"]
