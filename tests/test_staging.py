@@ -50,6 +50,12 @@ def test_cell_tables_are_shuffled_once_by_site(spark, tables):
         assert moved and not [line for line in moved if "bucket_start" in line or "hour_ts" in line or "_key" in line]
 
 
+def test_arrays_are_not_worked_out_to_filter_lines(spark, tables):
+    for name in ("cells", "radio_units", "batteries", "transport_links"):
+        plan = staging.silver(spark, tables, name)._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
+
+
 def test_readings_of_versions_stay_with_their_site(spark, tables, monkeypatch):
     cuts = []
     monkeypatch.setattr(gold, "range_cut", lambda df, *more: cuts.append(df) or blocks.range_cut(df, *more))
