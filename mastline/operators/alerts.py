@@ -38,9 +38,7 @@ def _alert(severity, category, kind, component, code, message, value) -> Column:
         return (x if isinstance(x, Column) else F.lit(x)).cast("string")
     component = text(component)
     site = F.col("ran_metadata.site_id")
-    alert_id = F.concat_ws("-", site, F.col("sequence_number").cast("string"), F.lit(code), component) \
-        if not isinstance(code, Column) else \
-        F.concat_ws("-", site, F.col("sequence_number").cast("string"), code, component)
+    alert_id = F.concat_ws("-", site, F.col("sequence_number").cast("string"), F.lit(code), component)
     return F.struct(
         alert_id.alias("alert_id"), text(severity).alias("severity"), text(category).alias("category"),
         text(kind).alias("component_type"), component.alias("component_id"), text(code).alias("code"),
@@ -49,19 +47,17 @@ def _alert(severity, category, kind, component, code, message, value) -> Column:
 
 
 def _state_alert(category: str, kind: str, id_field: str):
+    # Lambdas are interpreted, node by node: each level has its own texts, and none is worked out twice.
     def one(item: Column) -> Column:
-        down = F.coalesce(item["op_state"] == "FAILED", F.lit(False)) | F.coalesce(
-            item["status"] == "DOWN", F.lit(False))
-        level = S.ladder([
-            (down, F.lit("DOWN")),
-            (item["op_state"] == "DEGRADED", F.lit("DEGRADED")),
-            (item["op_state"] == "RECOVERING", F.lit("RECOVERING")),
-        ])
+        state = item["op_state"]
+        down = (state.eqNullSafe("FAILED")) | (item["status"].eqNullSafe("DOWN"))
         name = F.coalesce(item[id_field], F.lit("unknown"))
-        severity = S.ladder([(level == "DOWN", "CRITICAL"), (level == "DEGRADED", "WARNING")], "INFO")
-        text = F.concat(F.lit(f"{kind} "), name, F.lit(" is "), F.lower(level))
-        return F.when(level.isNotNull(), _alert(
-            severity, category, kind, name, F.concat(F.lit("COMPONENT_"), level), text, item["op_state"]))
+        return S.ladder([
+            (fires, _alert(severity, category, kind, name, f"COMPONENT_{level}",
+                           F.concat(F.lit(f"{kind} "), name, F.lit(f" is {level.lower()}")), state))
+            for fires, severity, level in [
+                (down, "CRITICAL", "DOWN"), (state == "DEGRADED", "WARNING", "DEGRADED"),
+                (state == "RECOVERING", "INFO", "RECOVERING")]])
     return one
 
 
@@ -138,7 +134,8 @@ def derive_alerts(raw: DataFrame, limits: dict[str, float] = LIMITS) -> Column:
     keyed = F.transform(live, lambda a: F.struct(
         S.rank_of(a["severity"], S.SEVERITY_RANK, 9).alias("r"), a["category"].alias("c"),
         a["component_id"].alias("i"), a["code"].alias("k"), a.alias("alert")))
-    return F.transform(F.array_sort(keyed), lambda k: k["alert"])
+    # No null is left, so the built-in order does; a comparing lambda is interpreted.
+    return F.sort_array(keyed)["alert"]
 
 
 def summarize(alerts: Column) -> Column:

@@ -114,3 +114,17 @@ def test_staged_snapshots_prune_columns(spark, land, tmp_path):
     schema = plan.split("ReadSchema")[1]
     assert "batteries" in schema and "radio_units" not in schema and "cells" not in schema
     assert staged.select(F.size("cells")).first()[0] == 3
+
+
+def test_no_lambda_compares_derived_alerts(spark, land):
+    raw = files.read_snapshots(spark, land(message()))
+    text = A.derive_alerts(raw)._jc.toString()
+    assert "sort_array" in text and "array_sort" not in text
+    # A state's text is looked up nowhere: it is part of the rule that fires.
+    cells = [{"cell_id": c, "status": s, "op_state": o} for c, s, o in (
+        (None, "DOWN", None), ("B", "UP", "DEGRADED"), ("C", None, "RECOVERING"), ("D", "DOWN", "DEGRADED"), ("E", None, None))]
+    rows = raw.select(F.explode(A.derive_alerts(files.read_snapshots(spark, land(message(cells=cells))))).alias("a")).select("a.*")
+    found = [(r.component_id, r.severity, r.code, r.message, r.value) for r in rows.collect() if r.component_type == "cell"]
+    assert found == [
+        ("D", "CRITICAL", "COMPONENT_DOWN", "cell D is down", "DEGRADED"), ("unknown", "CRITICAL", "COMPONENT_DOWN", "cell unknown is down", None),
+        ("B", "WARNING", "COMPONENT_DEGRADED", "cell B is degraded", "DEGRADED"), ("C", "INFO", "COMPONENT_RECOVERING", "cell C is recovering", "RECOVERING")]

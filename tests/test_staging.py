@@ -90,3 +90,24 @@ def test_partitions_are_written_once(spark, tables):
     rows = SPARK["partition_rows"](spark, tables).collect()
     assert len(rows) == 9 and all(r.total >= 1 for r in rows)
     assert [p.name.rsplit("-", 1)[0] for p in set(shared.glob("*")) - before] == ["partitions"]
+
+
+def test_whole_snapshots_are_read_once_and_not_written(spark, tables):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("*"))
+    counts = {name: SPARK[name](spark, tables).count() for name in ("cell_stream", "transport_stream", "derived_alert_summary")}
+    assert counts == {"cell_stream": 33, "transport_stream": 22, "derived_alert_summary": 12}  # one snapshot has no components
+    assert SPARK["derived_alerts"](spark, tables).count() > 0
+    assert set(shared.glob("*")) == before
+
+
+@pytest.mark.parametrize("name", ["snapshot_files", "incremental_silver"])
+def test_landed_snapshots_are_packed_and_leave_no_copy(spark, tables, name):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("*"))
+    rows = SPARK[name](spark, tables).collect()
+    assert sum(r.messages for r in rows) == (11 if name == "incremental_silver" else 12) and len(rows) == 3  # one has no cells
+    made = set(shared.glob("*")) - before
+    assert [p.name.rsplit("-", 1)[0] for p in made] == ["incremental" if name == "incremental_silver" else name.replace("_", "-")]
+    landed = [p for p in made.pop().glob("landed/**/*") if p.is_file() and p.name.startswith("part-")]
+    assert landed and all(p.name.endswith(".json.gz") for p in landed)
