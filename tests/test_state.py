@@ -244,3 +244,16 @@ def test_a_value_may_hold_over_whole_ranges(spark, ranges):
     history = gold.dimension_history(df, ["k"], ["tilt"], "sk", ranges=ranges)
     got = history.collect()
     assert {(r.k, r.tilt, r.valid_from, r.valid_to) for r in got} == brute_history(rows) and len(got) == 203
+
+
+def test_readings_are_compared_once_not_once_a_column(spark):
+    rows = spark.createDataFrame(
+        [("a", dt.datetime(2026, 1, 1, h), 10 * h if h < 3 else None, "x" if h == 1 else None) for h in range(5)] + [("b", None, 7, None)],
+        "k string, ingested_at timestamp, v int, w string")
+    newest = latest.newest_by_pattern(rows, ["k"], F.struct(F.col("ingested_at").isNull(), F.col("ingested_at")))
+    assert {(r.k, r._row.v, r._row.w) for r in newest.collect()} == {("a", 10, "x"), ("a", 20, None), ("a", None, None), ("b", 7, None)}
+    plan = latest.latest_snapshot(rows, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    nearest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
+    assert nearest.count("max_by") == 1
+    got = {r.k: (r.ingested_at, r.v, r.w) for r in latest.latest_snapshot(rows, ["k"]).collect()}
+    assert got == {"a": (dt.datetime(2026, 1, 1, 4), 20, "x"), "b": (None, 7, None)}
