@@ -136,3 +136,24 @@ def test_folds_train_side_by_side_on_one_table(spark):
     assert len(training.importance_rows(spark, model, manifest).collect()) == 30
     scored = training.score_with_model(frame.withColumn("weight", F.lit(1.0)), model)
     assert scored.where((F.col("failure_score") > 0.5) != (F.col("label") == 1)).count() < 20
+
+
+def test_folds_are_floats_on_disk_and_kept_nowhere_else(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from mastline.plans import training
+
+    manifest = features.Manifest()
+    signal = (F.col("id") * 37) % 101
+    frame = spark.range(200).select(
+        F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"), F.when(signal > 60, 1.0).otherwise(0.0).alias("label"),
+        *[(signal.cast("float") if c == "sinr_db" else F.lit(0.1).cast("float")).alias(c) for c in manifest.feature_columns])
+    asked = []
+    monkeypatch.setattr(training, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: asked.append(self) or self)
+    small = training.BoostSettings(max_trees=1, depth=1, min_rows=5, min_final_trees=1, feature_sample=1.0)
+    training.train(frame, manifest, small, splits=1)
+    folds = spark.read.parquet(f"{tmp_path}/folds")
+    assert not asked and folds.schema["features"].dataType.simpleString() == "array<float>"
+    tenth = manifest.feature_columns.index("rsrp_dbm")
+    assert folds.count() == 200 and folds.select(F.col("features")[tenth] == F.lit(0.1).cast("float")).distinct().collect() == [(True,)]
